@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import minhash, mixing
+from tidemill.llm import decontam, minhash, mixing
 from tidemill.session import table
 
 
@@ -36,6 +36,24 @@ FROM o
 """
 
 
+def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
+dt AS (SELECT doc_id, unnest(w) AS tok, unnest(range(len(w))) AS p FROM d),
+bt AS (SELECT item_id, len(w) AS m, unnest(w) AS tok, unnest(range(len(w))) AS q FROM b WHERE len(w) >= 8),
+e AS (SELECT doc_id, item_id, m, p - q AS place, q FROM dt JOIN bt USING (tok)),
+n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, place) AS equal,
+             count(*) OVER (PARTITION BY doc_id, item_id, place ORDER BY q RANGE BETWEEN CURRENT ROW AND 15 FOLLOWING) AS near FROM e),
+k AS (SELECT DISTINCT doc_id, item_id, place, equal, m FROM n WHERE near >= CASE WHEN m >= 16 THEN 13 ELSE m - m * 3 // 16 END)
+SELECT doc_id, item_id, place::INT AS place, equal::INT AS equal, m::INT AS item_tokens FROM k
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY equal DESC, place) = 1
+"""
+
+
 def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,8 +73,8 @@ FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.a = d.doc_id
 
 
 def queries() -> dict:
-    return {"op1_source_mix": op1_source_mix, "op8_circulant_minhash": op8_circulant_minhash}
+    return {"op1_source_mix": op1_source_mix, "op3_spaced_seeds": op3_spaced_seeds, "op8_circulant_minhash": op8_circulant_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": OP1_SQL, "op8_circulant_minhash": OP8_SQL}
+    return {"op1_source_mix": OP1_SQL, "op3_spaced_seeds": OP3_SQL, "op8_circulant_minhash": OP8_SQL}
