@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontam, minhash, mixing
+from tidemill.llm import ann, decontam, minhash, mixing, warczip
 from tidemill.session import table
 
 
@@ -54,6 +54,39 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY equal DESC, pla
 """
 
 
+def op5_block_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP5_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
+def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    back = warczip.round_trip(pages)
+    return back.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS smallest FROM h)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 100 OR page_id IS NOT DISTINCT FROM smallest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM smallest THEN smallest END AS refers_to
+FROM f
+"""
+
+
 def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -73,8 +106,8 @@ FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.a = d.doc_id
 
 
 def queries() -> dict:
-    return {"op1_source_mix": op1_source_mix, "op3_spaced_seeds": op3_spaced_seeds, "op8_circulant_minhash": op8_circulant_minhash}
+    return {"op1_source_mix": op1_source_mix, "op3_spaced_seeds": op3_spaced_seeds, "op5_block_matrix": op5_block_matrix, "op7_warc_zip": op7_warc_zip, "op8_circulant_minhash": op8_circulant_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": OP1_SQL, "op3_spaced_seeds": OP3_SQL, "op8_circulant_minhash": OP8_SQL}
+    return {"op1_source_mix": OP1_SQL, "op3_spaced_seeds": OP3_SQL, "op5_block_matrix": OP5_SQL, "op7_warc_zip": OP7_SQL, "op8_circulant_minhash": OP8_SQL}
