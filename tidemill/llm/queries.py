@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import ann, decontam, minhash, mixing, warczip
+from tidemill.llm import ann, decontam, minhash, mixing, quality, secrets, warczip
 from tidemill.session import table
 
 
@@ -69,6 +69,13 @@ SELECT * FROM r WHERE rank <= 20
 """
 
 
+def op6_zstd_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", F.col("secret_spans").alias("all")).withColumn("base", F.expr("filter(all, x -> x.kind <> 'novel')"))
+    joined = lambda c: f"array_join(transform({c}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
+    n = lambda kind: F.expr(f"size(filter(base, x -> x.kind = '{kind}'))").cast("long").alias(f"n_{kind}")
+    return spans.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(F.expr(joined("base")), 256).alias("base_sha256"), F.expr(joined("all")).alias("spans"))
+
+
 def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
@@ -105,8 +112,12 @@ FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.a = d.doc_id
 """
 
 
+def op10_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {"op1_source_mix": op1_source_mix, "op3_spaced_seeds": op3_spaced_seeds, "op5_block_matrix": op5_block_matrix, "op7_warc_zip": op7_warc_zip, "op8_circulant_minhash": op8_circulant_minhash}
+    return {"op1_source_mix": op1_source_mix, "op3_spaced_seeds": op3_spaced_seeds, "op5_block_matrix": op5_block_matrix, "op7_warc_zip": op7_warc_zip, "op6_zstd_novelty": op6_zstd_novelty, "op8_circulant_minhash": op8_circulant_minhash, "op10_quadratic_discriminant": op10_quadratic_discriminant}
 
 
 def oracle_sql() -> dict[str, str]:
