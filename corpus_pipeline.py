@@ -4,17 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.llm import decontam, minhash, quality, secrets
 from tidemill.llm.queries import mix_rows
 from tidemill.scratch import materialise
 from tidemill.session import table
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix over what is left, as in query op1."""
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the quality classifier, learned from ``labels``, does not reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash.deduplicate(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What holds no passage of ``benchmark``."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by their kind."""
+    return secrets.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix over what is left, with the columns of query op1."""
     return mix_rows(docs)
 
 
-STAGES = [("mixing", mix)]
+STAGES = [("quality", good), ("near_dedup", distinct), ("decontamination", uncontaminated), ("secrets", redacted), ("mixing", mixed)]
 #: The stages learn a model and compress texts, which SQL cannot express; tests hold them against plain Python.
 ORACLE_SQL = None
 

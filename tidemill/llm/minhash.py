@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import textbytes
@@ -58,8 +58,11 @@ def set_key(shingles: np.ndarray) -> bytes:
     return b"".join((textbytes.mix64(shingles ^ c).sum(dtype=np.uint64) + np.uint64(len(shingles))).tobytes() for c in (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)))
 
 
-def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_key, bands (array of bucket keys), sketch (low bytes of the signature), per row of ``docs``."""
+def fingerprints(docs: DataFrame, width: int = 5, mark: Column | None = None) -> DataFrame:
+    """doc_id, mark, n_shingles, set_key, bands (array of bucket keys), sketch (low bytes of the signature), per row of ``docs``.
+
+    ``mark`` is a long that goes with each row, 0 if it isn't given.
+    """
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -78,9 +81,10 @@ def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
                 for k in range(BAND):
                     h = textbytes.mix64(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
                 bands.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "mark", "n_shingles", "set_key", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>, sketch binary")
+    mark = F.lit(0).cast("long") if mark is None else mark
+    return docs.select("doc_id", "text", mark.alias("mark")).mapInArrow(run, f"doc_id {kind}, mark long, n_shingles long, set_key binary, bands array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, want: DataFrame, width: int) -> DataFrame:
@@ -180,9 +184,9 @@ def _across(tiles: DataFrame, most: int | None, percent: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
-    prints = materialise(fingerprints(docs, width), "prints")
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, mark: Column | None = None) -> DataFrame:
+    """doc_id, mark (see :func:`fingerprints`), n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
+    prints = materialise(fingerprints(docs, width, mark), "prints")
     nodes = prints.where("n_shingles > 0").groupBy("set_key", "n_shingles", "sketch", "bands").agg(F.min("doc_id").alias("doc_id"))
     nodes = materialise(nodes.withColumn("nid", F.monotonically_increasing_id()), "classes")
     small = nodes.select("nid", "n_shingles", "sketch")
@@ -234,6 +238,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     named = named.withColumn("label", F.col("nid")) if final is None else named.join(final.withColumnRenamed("id", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_class = materialise(named.join(least, "label").select(F.col("set_key").alias("_k"), "component_id"), "components")
-    out = prints.select("doc_id", "n_shingles", "set_key").join(of_class, F.col("set_key") == F.col("_k"), "left")
+    out = prints.select("doc_id", "mark", "n_shingles", "set_key").join(of_class, F.col("set_key") == F.col("_k"), "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "mark", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """``docs``, all columns, with one row of each group of near-duplicates: that with the least id.
+
+    A kept row is known by its id and a hash of its text, so a row that repeats both goes too.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    prints = docs.select("doc_id", "text")
+    named = near_duplicates(prints, width, percent, text)
+    kept = materialise(named.where("kept").groupBy(F.col("doc_id").alias("id"), "mark").agg(F.count("*").alias("n")), "kept")
+    out = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.id")) & (F.xxhash64(F.coalesce("d.text", F.lit(""))) == F.col("k.mark")), "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        mark = "mark " * (1 + max(map(len, docs.columns)))
+        out = out.withColumn(mark, text).dropDuplicates(["doc_id", mark]).drop(mark)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import ann, decontam, minhash, mixing, quality, secrets, warczip
+from tidemill.llm import ann, decontam, licenses, minhash, mixing, quality, secrets, tokencount, urlgraph, warczip
 from tidemill.session import table
 
 
@@ -36,6 +36,45 @@ FROM o
 """
 
 
+#: The rules of query op2, as (verdict, host and path).
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op2_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op2_sql() -> str:
+    cases = []
+    for said, rule in sorted(RULES, key=lambda r: -len(r[1])):
+        host, _, rest = rule.partition("/")
+        cases.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{rest}') THEN '{said}:{rule}'")
+    steps = "".join(
+        f"r{k + 1} AS MATERIALIZED (SELECT kind, host, sum(score) AS score FROM (SELECT kind, host, seed AS score FROM seeds UNION ALL "
+        f"SELECT e.kind, e.dst, sum(r.score * e.part * {urlgraph.DAMPING}) FROM edges e JOIN r{k} r ON r.kind = e.kind AND r.host = e.src GROUP BY ALL) GROUP BY ALL),\n"
+        for k in range(urlgraph.STEPS)
+    )
+    link = urlgraph.LINK.replace("'", "''")
+    return f"""
+WITH u AS (SELECT page_id, translate(CASE WHEN contains(url, '://') THEN regexp_extract(url, '://([^/?#]*)', 1) ELSE '' END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+                  list_distinct(regexp_extract_all(html, '{link}', 1)) AS links FROM pages),
+p AS MATERIALIZED (SELECT *, CASE {' '.join(cases)} END AS hit FROM u),
+h AS (SELECT host, count(*)::DOUBLE AS n, count(*) FILTER (hit LIKE 'allow:%') AS good, count(*) FILTER (hit LIKE 'block:%') AS bad FROM p WHERE host <> '' GROUP BY host),
+seeds AS MATERIALIZED (SELECT 'trust' AS kind, host, good / n AS seed FROM h WHERE good > 0 UNION ALL SELECT 'distrust', host, bad / n FROM h WHERE bad > 0),
+l AS (SELECT host AS src, translate(unnest(links), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM p WHERE host <> ''),
+c AS (SELECT src, dst, count(*)::DOUBLE AS n FROM l WHERE src <> dst GROUP BY ALL),
+b AS (SELECT 'trust' AS kind, src, dst, n FROM c UNION ALL SELECT 'distrust', dst, src, n FROM c),
+edges AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS part FROM b),
+r0 AS (SELECT kind, host, seed AS score FROM seeds),
+{steps}
+s AS (SELECT host, sum(score) FILTER (kind = 'trust') AS trust, sum(score) FILTER (kind = 'distrust') AS distrust FROM r{urlgraph.STEPS} GROUP BY host)
+SELECT page_id, host, path, split_part(hit, ':', 2) AS rule,
+       coalesce(split_part(hit, ':', 1), CASE WHEN coalesce(distrust, 0) >= 0.5 AND coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN s USING (host)
+"""
+
+
 def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +93,10 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY equal DESC, pla
 """
 
 
+def op4_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_block_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -95,7 +138,7 @@ FROM f
 
 
 def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
 
 
 OP8_SQL = r"""
@@ -112,13 +155,32 @@ FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.a = d.doc_id
 """
 
 
+#: The unigram vocabulary of query op9: the pieces of this file, with their scores.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op9_count_viterbi(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    return tokencount.count(table(spark, sf_dir, "documents"), tokencount.vocabulary(tokenizer))
+
+
 def op10_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {"op1_source_mix": op1_source_mix, "op3_spaced_seeds": op3_spaced_seeds, "op5_block_matrix": op5_block_matrix, "op7_warc_zip": op7_warc_zip, "op6_zstd_novelty": op6_zstd_novelty, "op8_circulant_minhash": op8_circulant_minhash, "op10_quadratic_discriminant": op10_quadratic_discriminant}
+    found = (
+        op1_source_mix, op2_link_graph, op3_spaced_seeds, op4_license_compression, op5_block_matrix,
+        op6_zstd_novelty, op7_warc_zip, op8_circulant_minhash, op9_count_viterbi, op10_quadratic_discriminant,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": OP1_SQL, "op3_spaced_seeds": OP3_SQL, "op5_block_matrix": OP5_SQL, "op7_warc_zip": OP7_SQL, "op8_circulant_minhash": OP8_SQL}
+    return {
+        "op1_source_mix": OP1_SQL,
+        "op2_link_graph": _op2_sql(),
+        "op3_spaced_seeds": OP3_SQL,
+        "op5_block_matrix": OP5_SQL,
+        "op7_warc_zip": OP7_SQL,
+        "op8_circulant_minhash": OP8_SQL,
+    }
