@@ -1,4 +1,4 @@
-"""The reference workload's queries on the driver tables, each with its SQL."""
+"""All queries of the reference workload on the driver tables."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tidemill.plans import calendar, folding, ranking, relations, scalars, streams, titles, views  # noqa: F401
+from tidemill.plans.registry import ORACLES, QUERIES  # noqa: F401
