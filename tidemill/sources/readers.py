@@ -18,9 +18,9 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
 
 
 def read_json_parts(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(good rows, raw text of the records that do not fit)."""
+    """(good rows, raw text of the records that do not fit), for files of one record per line."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").json(path)
+    rows = spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", full, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
     return rows.where("_corrupt_record IS NULL").drop("_corrupt_record"), rows.where("_corrupt_record IS NOT NULL").select("_corrupt_record")
 
 
