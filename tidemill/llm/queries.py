@@ -58,11 +58,11 @@ def _op2_sql() -> str:
     return f"""
 WITH u AS (SELECT page_id, translate(CASE WHEN contains(url, '://') THEN regexp_extract(url, '://([^/?#]*)', 1) ELSE '' END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
-                  list_distinct(regexp_extract_all(html, '{link}', 1)) AS links FROM pages),
+                  list_distinct(list_transform(regexp_extract_all(html, '{link}', 1), lambda h: translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS links FROM pages),
 p AS MATERIALIZED (SELECT *, CASE {' '.join(cases)} END AS hit FROM u),
 h AS (SELECT host, count(*)::DOUBLE AS n, count(*) FILTER (hit LIKE 'allow:%') AS good, count(*) FILTER (hit LIKE 'block:%') AS bad FROM p WHERE host <> '' GROUP BY host),
 seeds AS MATERIALIZED (SELECT 'trust' AS kind, host, good / n AS seed FROM h WHERE good > 0 UNION ALL SELECT 'distrust', host, bad / n FROM h WHERE bad > 0),
-l AS (SELECT host AS src, translate(unnest(links), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM p WHERE host <> ''),
+l AS (SELECT host AS src, unnest(links) AS dst FROM p WHERE host <> ''),
 c AS (SELECT src, dst, count(*)::DOUBLE AS n FROM l WHERE src <> dst GROUP BY ALL),
 b AS (SELECT 'trust' AS kind, src, dst, n FROM c UNION ALL SELECT 'distrust', dst, src, n FROM c),
 edges AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS part FROM b),

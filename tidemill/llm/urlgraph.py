@@ -6,7 +6,7 @@ allow (block) rules caught.  Trust flows along links, distrust against them, eac
 restarts from its seeds; scores are not normalised, so a lone seed keeps exactly its share however large the
 graph is.  A host is blocked if its distrust reaches ``threshold`` and passes its trust.
 
-Links are the absolute ``href`` and ``src`` targets of the pages, counted per pair of hosts; a host's own links
+Links are the absolute ``href`` and ``src`` targets of the pages, counted once per page and pair of hosts; a host's own links
 are left out.  Hosts are spread over tasks by name; counts are added up before they are shuffled.
 
 Nulls, ties and repeats: a null url, or one without ``://``, has an empty host and path, fits no rule, is no
@@ -72,13 +72,13 @@ def _spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, and trust and distrust of the host, per row of ``pages`` (page_id, url, html)."""
     host, path = host_and_path(F.col("url"))
-    read = pages.select("page_id", host.alias("host"), path.alias("path"), F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))).alias("links"))
+    read = pages.select("page_id", host.alias("host"), path.alias("path"), F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)), _lower)).alias("links"))
     rule, said = rule_for(F.col("host"), F.col("path"), rules)
     rows = materialise(read.withColumn("rule", rule).withColumn("said", said), "judged")
     per_host = rows.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("said") == "allow").alias("good"), F.count_if(F.col("said") == "block").alias("bad"))
     kinds = F.explode(F.array(F.struct(F.lit("trust").alias("kind"), (F.col("good") / F.col("n")).alias("seed")), F.struct(F.lit("distrust").alias("kind"), (F.col("bad") / F.col("n")).alias("seed"))))
     seeds = materialise(per_host.select("host", kinds.alias("k")).where("k.seed > 0").select("k.kind", "host", "k.seed"), "seeds")
-    links = rows.where("host <> ''").select(F.col("host").alias("src"), F.explode("links").alias("dst")).withColumn("dst", _lower(F.col("dst"))).where("src <> dst")
+    links = rows.where("host <> ''").select(F.col("host").alias("src"), F.explode("links").alias("dst")).where("src <> dst")
     links = materialise(links.groupBy("src", "dst").agg(F.count("*").alias("n")), "links")
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
