@@ -31,12 +31,12 @@ def lead_election(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE c AS (SELECT doc_id AS id, unnest([md5(text), source || (doc_id // 100)]) AS k FROM documents WHERE doc_id % 10 < 2),
+WITH RECURSIVE c AS (SELECT doc_id AS id, unnest([md5(text), source || (doc_id // 100)]) AS k FROM documents),
 e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM c a JOIN c b USING (k)), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
 SELECT a AS id, min(b) AS owner FROM r GROUP BY 1
 """)
 def card_merge(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_id % 10 < 2")
+    docs = table(spark, sf_dir, "documents")
     keys = F.explode(F.array(F.md5("text"), F.concat("source", F.floor(F.col("doc_id") / 100).cast("string"))))
     return cards.merge_by_keys(docs.select("doc_id", keys.alias("k")), "doc_id", "k")
 
@@ -94,27 +94,27 @@ def fetch_plan(spark, sf_dir):
 
 
 @query("""
-WITH o AS (SELECT c_name AS name, c_custkey % 5 + 1 AS count FROM customer WHERE c_custkey % 2 = 0), s AS (SELECT DISTINCT c_name AS name FROM customer WHERE c_custkey % 3 = 0), k AS (SELECT c_name AS name FROM customer WHERE c_custkey % 5 = 0)
+WITH o AS (SELECT c_name AS name, c_custkey % 5 + 1 AS count FROM customer WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE')), s AS (SELECT DISTINCT c_name AS name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')), k AS (SELECT c_name AS name FROM customer WHERE c_acctbal < 0)
 SELECT name, coalesce(count, 0) + (s.name IS NOT NULL)::INT AS count, CASE WHEN s.name IS NOT NULL THEN '2026-02-01' ELSE '2026-01-15' END AS last, CASE WHEN o.name IS NULL THEN '2026-02-01' ELSE '2026-01-01' END AS first FROM o FULL JOIN s USING (name) WHERE name NOT IN (SELECT name FROM k)
 """)
 def name_counts(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), "c_custkey")
-    old = c.where("c_custkey % 2 = 0").select("name", (F.col("c_custkey") % 5 + 1).alias("count"), F.lit("2026-01-01").alias("first"), F.lit("2026-01-15").alias("last"))
-    return cards.name_counts(old, c.where("c_custkey % 3 = 0"), c.where("c_custkey % 5 = 0"), F.lit("2026-02-01"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), "c_custkey", "c_mktsegment", "c_acctbal")
+    old = c.where("c_mktsegment IN ('BUILDING', 'AUTOMOBILE')").select("name", (F.col("c_custkey") % 5 + 1).alias("count"), F.lit("2026-01-01").alias("first"), F.lit("2026-01-15").alias("last"))
+    return cards.name_counts(old, c.where("c_mktsegment IN ('BUILDING', 'MACHINERY')"), c.where("c_acctbal < 0"), F.lit("2026-02-01"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'old' || s_suppkey ELSE s_name END AS a, CASE WHEN s_suppkey % 4 = 0 THEN 'old' ELSE 'new' END AS b, array_to_string(list_filter([CASE WHEN s_suppkey % 3 = 0 THEN 'a' END, CASE WHEN s_suppkey % 4 = 0 THEN 'b' END], lambda x: x IS NOT NULL), ',') AS kept FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'old' || s_suppkey ELSE s_name END AS a, CASE WHEN s_nationkey > 12 THEN 'old' ELSE 'new' END AS b, array_to_string(list_filter([CASE WHEN s_acctbal < 0 THEN 'a' END, CASE WHEN s_nationkey > 12 THEN 'b' END], lambda x: x IS NOT NULL), ',') AS kept FROM supplier")
 def partial_fallback(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    new = s.select("s_suppkey", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")).alias("a"), F.when(F.col("s_suppkey") % 4 != 0, F.lit("new")).alias("b"))
+    new = s.select("s_suppkey", F.when(F.col("s_acctbal") >= 0, F.col("s_name")).alias("a"), F.when(F.col("s_nationkey") <= 12, F.lit("new")).alias("b"))
     old = s.select("s_suppkey", F.concat(F.lit("old"), F.col("s_suppkey").cast("string")).alias("a"), F.lit("old").alias("b"))
     return cards.prefer_new(["a", "b"], old, new, "s_suppkey").withColumn("kept", F.array_join("kept", ","))
 
 
-@query("SELECT md5(text) AS key, min(doc_id) AS doc_id, count(*) AS n FROM documents WHERE doc_id % 13 <> 0 GROUP BY 1")
+@query("SELECT md5(text) AS key, min(doc_id) AS doc_id, count(*) AS n FROM documents WHERE source <> 'src3' GROUP BY 1")
 def history_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("key", F.md5("text"))
-    left = docs.join(docs.where("doc_id % 13 = 0").select("doc_id"), "doc_id", "left_anti")
+    left = docs.join(docs.where("source = 'src3'").select("doc_id"), "doc_id", "left_anti")
     n = left.groupBy("key").agg(F.count("*").alias("n"))
     return select.first_of(left.select("key", "doc_id", "lang"), ["key"], [F.col("doc_id")]).join(n, "key").select("key", "doc_id", "n")
 
@@ -125,8 +125,8 @@ SELECT doc_id, day::VARCHAR AS day FROM f WHERE lang = 'en' ORDER BY f.day DESC,
 """)
 def feed_entries(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.md5("text").alias("key"), "doc_id", F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 40).cast("int")).alias("day"), "lang")
-    latest = d.agg(F.max("day").alias("top"))
-    recent = d.crossJoin(F.broadcast(latest)).where(F.col("day") > F.date_sub("top", 7)).drop("top")  # one row
+    latest = d.agg(F.max("day")).first()[0]
+    recent = d.where(F.col("day") > F.date_sub(F.lit(latest), 7))
     first = select.first_of(recent, ["key"], [F.col("day"), F.col("doc_id")])
     return first.where("lang = 'en'").orderBy(F.desc("day"), "doc_id").limit(30).select("doc_id", F.col("day").cast("string").alias("day"))
 
@@ -177,12 +177,12 @@ def hot_list(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT o_orderpriority AS round, min(o_orderdate) AS opens, max(o_orderdate) AS closes FROM orders WHERE o_custkey % 10 = 0 GROUP BY 1)
+WITH r AS (SELECT o_orderpriority AS round, min(o_orderdate) AS opens, max(o_orderdate) AS closes FROM orders GROUP BY 1)
 SELECT round, CASE WHEN opens <= TIMESTAMP '1995-06-01' AND closes >= TIMESTAMP '1995-06-01' THEN 'live' WHEN opens > TIMESTAMP '1995-06-01' THEN 'ahead' ELSE 'over' END AS state FROM r
 """)
 def round_state(spark, sf_dir):
     now = F.lit("1995-06-01").cast("timestamp")
-    r = orders(spark, sf_dir).where("o_custkey % 10 = 0").groupBy(F.col("o_orderpriority").alias("round")).agg(F.min("at").alias("opens"), F.max("at").alias("closes"))
+    r = orders(spark, sf_dir).groupBy(F.col("o_orderpriority").alias("round")).agg(F.min("at").alias("opens"), F.max("at").alias("closes"))
     return r.select("round", F.when((F.col("opens") <= now) & (F.col("closes") >= now), "live").when(F.col("opens") > now, "ahead").otherwise("over").alias("state"))
 
 

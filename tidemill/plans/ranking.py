@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.dates import iso_week
 from tidemill.operators import keywords, select, windows
 from tidemill.plans.calendar import instants
 from tidemill.plans.registry import query
@@ -132,11 +133,11 @@ def neighbours(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT unnest(range(TIMESTAMP '2023-12-25', TIMESTAMP '2024-02-06', INTERVAL 1 DAY))::DATE AS day), d AS (SELECT day, row_number() OVER (ORDER BY day)::INT AS ordinal FROM (SELECT DISTINCT ts::DATE AS day FROM events WHERE event_type = 'purchase' AND user_id % 10 = 0))
+WITH s AS (SELECT unnest(range(TIMESTAMP '2023-12-25', TIMESTAMP '2024-02-06', INTERVAL 1 DAY))::DATE AS day), d AS (SELECT day, row_number() OVER (ORDER BY day)::INT AS ordinal FROM (SELECT DISTINCT ts::DATE AS day FROM events WHERE event_type = 'purchase' AND value > 95))
 SELECT day::VARCHAR AS day, ordinal, CASE WHEN ordinal IS NULL THEN 'missing' ELSE 'published' END AS state FROM s LEFT JOIN d USING (day)
 """)
 def calendar_densify(spark, sf_dir):
-    rows = instants(spark, sf_dir).where("event_type = 'purchase' AND user_id % 10 = 0").withColumn("day", F.to_date("ts"))
+    rows = instants(spark, sf_dir).where("event_type = 'purchase' AND value > 95").withColumn("day", F.to_date("ts"))
     return windows.densify(rows, "day", F.lit("2023-12-25").cast("date"), F.lit("2024-02-05").cast("date")).withColumn("day", F.col("day").cast("string"))
 
 
@@ -187,15 +188,16 @@ def next_after(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT l_suppkey, 3 * count(*) FILTER (l_returnflag = 'R') + 2 * count(*) FILTER (l_returnflag = 'A') + count(*) AS points, sum(l_quantity)::BIGINT AS minutes, count(*) FILTER (l_returnflag = 'R') AS goals FROM lineitem WHERE year(l_shipdate) = 1995 GROUP BY 1)
-SELECT l_suppkey, row_number() OVER (ORDER BY points DESC, minutes DESC, goals DESC, l_suppkey)::INT AS place, rank() OVER (ORDER BY points DESC, minutes DESC, goals DESC) = 1 AS best FROM p
+WITH p AS (SELECT strftime(l_shipdate, '%G-%V') AS week, l_suppkey, 3 * count(*) FILTER (l_returnflag = 'R') + 2 * count(*) FILTER (l_returnflag = 'A') + count(*) AS points, sum(l_quantity)::BIGINT AS minutes, count(*) FILTER (l_returnflag = 'R') AS goals FROM lineitem GROUP BY ALL)
+SELECT week, l_suppkey, row_number() OVER (PARTITION BY week ORDER BY points DESC, minutes DESC, goals DESC, l_suppkey)::INT AS place, rank() OVER (PARTITION BY week ORDER BY points DESC, minutes DESC, goals DESC) = 1 AS best FROM p
 """)
 def weekly_best(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where(F.year("l_shipdate") == 1995)
+    li = table(spark, sf_dir, "lineitem").withColumn("week", iso_week(F.to_date("l_shipdate")))
     flag = lambda f: F.count_if(F.col("l_returnflag") == f)
-    p = li.groupBy("l_suppkey").agg((flag("R") * 3 + flag("A") * 2 + F.count("*")).alias("points"), F.sum("l_quantity").alias("minutes"), flag("R").alias("goals"))
+    p = li.groupBy("week", "l_suppkey").agg((flag("R") * 3 + flag("A") * 2 + F.count("*")).alias("points"), F.sum("l_quantity").alias("minutes"), flag("R").alias("goals"))
     order = [F.desc("points"), F.desc("minutes"), F.desc("goals")]
-    return p.select("l_suppkey", F.row_number().over(Window.orderBy(*order, "l_suppkey")).alias("place"), (F.rank().over(Window.orderBy(*order)) == 1).alias("best"))
+    w = Window.partitionBy("week")
+    return p.select("week", "l_suppkey", F.row_number().over(w.orderBy(*order, "l_suppkey")).alias("place"), (F.rank().over(w.orderBy(*order)) == 1).alias("best"))
 
 
 @query("""

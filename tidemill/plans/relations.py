@@ -89,9 +89,9 @@ def dimension_join(spark, sf_dir):
     return c.join(n, c.c_nationkey == n.n_nationkey, "left").join(r, n.n_regionkey == r.r_regionkey, "left").select("c_custkey", F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN n_name END AS slug FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@query("SELECT s_suppkey, CASE WHEN n_regionkey < 3 THEN n_name END AS slug FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def cross_walk(spark, sf_dir):
-    ids = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.lit("s").alias("prefix"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("slug"))
+    ids = table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.lit("s").alias("prefix"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("slug"))
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("s").alias("prefix"), F.col("s_nationkey").alias("id"))
     return joins.cross_walk(rows, ids, ["prefix", "id"], "slug")[0].select("s_suppkey", "slug")
 
@@ -237,22 +237,22 @@ def array_completeness(spark, sf_dir):
 
 
 @query("""
-SELECT 'lineitem.l_suppkey' AS rule, l_suppkey::VARCHAR AS key, count(*) AS n FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 <> 0) GROUP BY ALL
-UNION ALL SELECT 'orders.o_custkey', o_custkey::VARCHAR, count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 50 <> 0) GROUP BY ALL
+SELECT 'lineitem.l_suppkey' AS rule, l_suppkey::VARCHAR AS key, count(*) AS n FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) GROUP BY ALL
+UNION ALL SELECT 'orders.o_custkey', o_custkey::VARCHAR, count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') GROUP BY ALL
 """)
 def fk_audit(spark, sf_dir):
     l, o, s, c = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier", "customer"))
-    return joins.missing_keys("lineitem.l_suppkey", l, "l_suppkey", s.where("s_suppkey % 10 <> 0"), "s_suppkey").unionByName(joins.missing_keys("orders.o_custkey", o, "o_custkey", c.where("c_custkey % 50 <> 0"), "c_custkey"))
+    return joins.missing_keys("lineitem.l_suppkey", l, "l_suppkey", s.where("s_acctbal >= 0"), "s_suppkey").unionByName(joins.missing_keys("orders.o_custkey", o, "o_custkey", c.where("c_mktsegment <> 'BUILDING'"), "c_custkey"))
 
 
 @query("""
-WITH n AS (SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 3 <> 1), o AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 2)
+WITH n AS (SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders WHERE o_orderstatus <> 'O'), o AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderstatus <> 'P')
 SELECT id, CASE WHEN n.id IS NOT NULL THEN n.price ELSE o.price END AS price, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'kept' WHEN n.price = o.price AND n.status = o.status THEN 'same' ELSE 'replaced' END AS change FROM n FULL JOIN o USING (id)
 """)
 def upsert_diff(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
-    new = o.where("id % 3 <> 1").withColumn("price", F.when(F.col("id") % 7 == 0, F.col("price") + 1).otherwise(F.col("price")))
-    return select.upsert(o.where("id % 3 <> 2"), new, "id", ["status", "price"]).select("id", "price", "change")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), "o_orderpriority")
+    new = o.where("status <> 'O'").withColumn("price", F.when(F.col("o_orderpriority") == "1-URGENT", F.col("price") + 1).otherwise(F.col("price")))
+    return select.upsert(o.where("status <> 'P'").drop("o_orderpriority"), new, "id", ["status", "price"]).select("id", "price", "change")
 
 
 @query("SELECT user_id, epoch_us(min(ts))::BIGINT AS first_at FROM events GROUP BY 1 HAVING min(ts) >= TIMESTAMP '2024-01-01 12:00:00'")
@@ -263,7 +263,7 @@ def first_seen_ttl(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT l_orderkey AS id, l_linenumber - 1 AS pos, 's' || (l_suppkey % 4) AS name, l_shipdate AS seen, o_orderdate AS created, CASE l_suppkey % 4 WHEN 0 THEN 30 WHEN 1 THEN 700 END AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 11 <> 0),
+WITH l AS (SELECT l_orderkey AS id, l_linenumber - 1 AS pos, 's' || (l_suppkey % 4) AS name, l_shipdate AS seen, o_orderdate AS created, CASE l_suppkey % 4 WHEN 0 THEN 30 WHEN 1 THEN 700 END AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'),
 g AS (SELECT *, coalesce(epoch(least(seen, created)) + days * 86400 - 108000 <= epoch(TIMESTAMP '1994-01-01'), false) AS gone, row_number() OVER (PARTITION BY id ORDER BY pos, name, seen) AS rn FROM l)
 SELECT id, coalesce(string_agg(name, ',' ORDER BY rn) FILTER (NOT gone), '') AS names, count(*) FILTER (gone) AS dropped FROM g GROUP BY id HAVING NOT bool_or(gone AND rn = 1)
 """)
@@ -272,7 +272,7 @@ def retention_purge(spark, sf_dir):
     src = l.groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("s"), (F.col("l_suppkey") % 4).cast("string")).alias("name"), F.col("l_shipdate").cast("timestamp").alias("at")))), lambda x: F.struct(x["name"].alias("name"), x["at"].alias("at"))).alias("src"))
     cards = src.join(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("created")), "id")
     sources = spark.createDataFrame([("s0", 30), ("s1", 700)], "name string, days int")
-    gone = cards.where("id % 11 = 0").select("id")
+    gone = o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"))
     return select.purge_sources(cards, sources, gone, F.lit("1994-01-01").cast("timestamp")).select("id", F.array_join("names", ",").alias("names"), "dropped")
 
 

@@ -72,11 +72,11 @@ def tag_scan(spark, sf_dir):
 
 
 @query("""
-SELECT page_id, substr(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 1, 200) AS summary FROM pages
+SELECT page_id, substr(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 1, 500) AS summary FROM pages
 """)
 def strip_tags(spark, sf_dir):
     body = text.squeeze(F.regexp_replace("html", r"<[^>]*>", " "))
-    return table(spark, sf_dir, "pages").select("page_id", F.left(body, F.lit(200)).alias("summary"))
+    return table(spark, sf_dir, "pages").select("page_id", F.left(body, F.lit(500)).alias("summary"))
 
 
 @query()
@@ -93,9 +93,9 @@ def levenshtein_suggest(spark, sf_dir):
     return readers.suggest(names, "n_name", names, "n_name", 3).select(F.col("n_name").alias("name"), "nearest", F.col("distance").cast("long").alias("distance"))
 
 
-@query("SELECT doc_id, len(list_filter(regexp_split_to_array(lower(substr(text, 1, 200)), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS n_tokens FROM documents")
+@query("SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS n_tokens FROM documents")
 def search_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.search_tokens(F.substring("text", 1, 200))).cast("long").alias("n_tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.search_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
 @query("SELECT upper(substr(trim(n_name), 1, 1)) AS initial, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY 1")
@@ -164,8 +164,8 @@ def source_plan(spark, sf_dir):
 
 
 @query("""
-SELECT lower(t) AS token, count(DISTINCT page_id) AS df, string_agg(DISTINCT page_id::VARCHAR, ',' ORDER BY page_id::VARCHAR) AS postings
-FROM (SELECT page_id, unnest(list_filter(regexp_split_to_array(regexp_extract(url, '^https?://([^?#]*)', 1), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS t FROM pages) GROUP BY 1
+SELECT lower(t) AS token, page_id // 4096 AS block, count(DISTINCT page_id) AS df, string_agg(DISTINCT page_id::VARCHAR, ',' ORDER BY page_id::VARCHAR) AS postings
+FROM (SELECT page_id, unnest(list_filter(regexp_split_to_array(regexp_extract(url, '^https?://([^?#]*)', 1), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS t FROM pages) GROUP BY ALL
 """)
 def posting_lists(spark, sf_dir):
     words = table(spark, sf_dir, "pages").select("page_id", text.search_tokens(F.regexp_extract("url", r"^https?://([^?#]*)", 1)).alias("tokens"))

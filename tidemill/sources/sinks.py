@@ -39,10 +39,10 @@ def compaction_plan(rows: DataFrame, day: str, today: Column, keep_days: int) ->
     return days.groupBy(F.date_format(day, "yyyy-MM").alias("month")).agg(F.count("*").alias("days"), (F.date_add(F.last_day(F.min(day)), keep_days) < today).alias("due"))
 
 
-def posting_lists(rows: DataFrame, id_: str, tokens: str) -> DataFrame:
-    """(token, df, postings) with the ids of a token in order, as text."""
+def posting_lists(rows: DataFrame, id_: str, tokens: str, block: int = 4096) -> DataFrame:
+    """(token, block, df, postings): the ids of a token as text, in blocks of so many ids, so that no list grows with the table."""
     words = rows.select(id_, F.explode(F.array_distinct(tokens)).alias("token"))
-    return words.groupBy("token").agg(F.count("*").alias("df"), F.array_join(F.array_sort(F.collect_list(F.col(id_).cast("string"))), ",").alias("postings"))
+    return words.groupBy("token", F.floor(F.col(id_) / block).alias("block")).agg(F.count("*").alias("df"), F.array_join(F.array_sort(F.collect_list(F.col(id_).cast("string"))), ",").alias("postings"))
 
 
 def feed_xml(rows: DataFrame, title: str, link: str, at: str) -> DataFrame:

@@ -38,8 +38,8 @@ def first_seen_stream(stream: DataFrame, key: str, at: str, days: int) -> DataFr
         return rows.groupBy(key).agg(F.min("first").alias("first"), F.max("newest").alias("newest"))
 
     state = run_batches(stream, merge, f"{key} {kind}, first timestamp, newest timestamp", "first-seen")
-    newest = state.agg(F.max("newest").alias("_top"))
-    return state.join(F.broadcast(newest)).where(F.unix_timestamp("newest") >= F.unix_timestamp("_top") - days * 86400).drop("_top")
+    top = state.agg(F.unix_timestamp(F.max("newest"))).first()[0] or 0
+    return state.where(F.unix_timestamp("newest") >= top - days * 86400)
 
 
 def verdict_stream(stream: DataFrame, starts: DataFrame, key: str, at: str, now: Column) -> DataFrame:
