@@ -84,6 +84,13 @@ def name_counts(old: DataFrame, seen: DataFrame, known: DataFrame, at: Column) -
     return both.select("name", (F.coalesce("count", F.lit(0)) + hit.cast("int")).alias("count"), F.coalesce("first", at).alias("first"), F.when(hit, at).otherwise(F.col("last")).alias("last"))
 
 
+def gap_ledger(old: DataFrame, new: DataFrame, healed: DataFrame, keys: Sequence[str], ids: str) -> DataFrame:
+    """Coverage gaps (keys, ids) after a run: old and new ids together, without the healed ones; gaps with none left are gone."""
+    all_ids = old.select(*keys, F.explode(ids).alias("id")).unionByName(new.select(*keys, F.explode(ids).alias("id"))).distinct()
+    left = all_ids.join(healed.select("id"), "id", "left_anti")
+    return left.groupBy(*keys).agg(F.array_sort(F.collect_list("id")).alias(ids))
+
+
 def prefer_new(parts: Sequence[str], old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """A file's parts from the new snapshot, each kept from the old one where the new has none; and which were kept."""
     both = new.alias("n").join(old.alias("o"), F.col(f"n.{key}") == F.col(f"o.{key}"), "full")

@@ -220,3 +220,29 @@ def news_feed_view(spark, sf_dir):
 def peer_counts(spark, sf_dir):
     w = Window.partitionBy("n_regionkey")
     return table(spark, sf_dir, "nation").select("n_nationkey", F.count("*").over(w).alias("peers"), (F.col("n_name") == F.max("n_name").over(w)).alias("last"))
+
+
+@query("""
+WITH o AS (SELECT o_orderpriority AS reason, o_orderkey AS id FROM orders WHERE o_orderstatus = 'P' UNION SELECT o_orderpriority, o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000),
+l AS (SELECT * FROM o WHERE id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) SELECT reason, count(*) AS n, min(id) AS first, max(id) AS last FROM l GROUP BY 1
+""")
+def gap_ledger(spark, sf_dir):
+    o = orders(spark, sf_dir).select(F.col("o_orderpriority").alias("reason"), F.array("o_orderkey").alias("ids"), "o_orderstatus", "o_totalprice")
+    healed = lines(spark, sf_dir).where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")).distinct()
+    out = cards.gap_ledger(o.where("o_orderstatus = 'P'"), o.where("o_orderstatus = 'F' AND o_totalprice > 300000"), healed, ["reason"], "ids")
+    return out.select("reason", F.size("ids").cast("long").alias("n"), F.col("ids")[0].alias("first"), F.element_at("ids", -1).alias("last"))
+
+
+@query("""
+WITH d AS (SELECT ts::DATE AS day, count(*) FILTER (event_type <> 'error') / count(*) AS rate, median(value) AS latency FROM events GROUP BY 1)
+SELECT day::VARCHAR AS day, rate, latency, CASE WHEN rate >= 0.9 AND latency < 60 THEN 'good' WHEN rate >= 0.7 THEN 'fair' ELSE 'poor' END AS verdict FROM d
+""")
+def probe_judgement(spark, sf_dir):
+    d = instants(spark, sf_dir).groupBy(F.to_date("ts").alias("d")).agg(F.try_divide(F.count_if(F.col("event_type") != "error"), F.count("*")).alias("rate"), F.median("value").alias("latency"))
+    return d.select(F.col("d").cast("string").alias("day"), "rate", "latency", F.when((F.col("rate") >= 0.9) & (F.col("latency") < 60), "good").when(F.col("rate") >= 0.7, "fair").otherwise("poor").alias("verdict"))
+
+
+@query("SELECT n_name, s_name, place FROM (SELECT n_name, s_name, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_acctbal DESC, s_suppkey)::INT AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE place <= 5")
+def league_mini(spark, sf_dir):
+    s = windows.top(table(spark, sf_dir, "supplier"), ["s_nationkey"], [F.desc("s_acctbal"), F.col("s_suppkey")], 5, "place")
+    return s.join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", "s_name", "place")

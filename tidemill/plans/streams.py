@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import select  # noqa: F401
 from tidemill.plans.registry import query
 from tidemill.plans.relations import STARTS, VERDICT, now, starts
 from tidemill.session import table
@@ -26,3 +25,21 @@ def stream_first_seen(spark, sf_dir):
 @query(f"SELECT event_type, verdict, count(*) AS n FROM (SELECT event_type, {VERDICT} AS verdict FROM events JOIN {STARTS} USING (event_type)) GROUP BY ALL")
 def stream_verdicts(spark, sf_dir):
     return state.verdict_stream(event_stream(spark, sf_dir), starts(spark), "event_type", "ts", now())
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_dedup(spark, sf_dir):
+    once = state.dedup_stream(event_stream(spark, sf_dir).select("user_id", "ts"), ["user_id"], "ts", "90 days")
+    return state.stream_to_table(once, "dedup").select("user_id")
+
+
+@query("""
+WITH p AS (SELECT user_id AS id, count(*) FILTER (event_type = 'error')::INT % 4 AS retries FROM events GROUP BY 1), t AS (SELECT user_id AS id, bool_or(event_type = 'purchase') AS ok FROM events WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY 1)
+SELECT id, retries + (ok IS NOT NULL)::INT AS retries, retries + (ok IS NOT NULL)::INT > 3 AS dropped FROM p LEFT JOIN t USING (id) WHERE NOT coalesce(ok, false)
+""")
+def pending_retries(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    pending = e.groupBy(F.col("user_id").alias("id")).agg((F.count_if(F.col("event_type") == "error") % 4).cast("int").alias("retries"))
+    tried = e.where("ts >= '2024-01-29'").select(F.col("user_id").alias("id"), (F.col("event_type") == "purchase").alias("ok"))
+    left, dropped = state.pending_retries(pending, tried, 3)
+    return left.withColumn("dropped", F.lit(False)).unionByName(dropped.drop("reason").withColumn("dropped", F.lit(True))).select("id", "retries", "dropped")

@@ -58,6 +58,14 @@ def dedup_stream(stream: DataFrame, keys: list[str], at: str, ttl: str) -> DataF
     return stream.withWatermark(at, ttl).dropDuplicatesWithinWatermark(keys)
 
 
+def stream_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """Run an append-only stream to its end into a table of the shared folder."""
+    spark = stream.sparkSession
+    root = new_path(spark, name)
+    stream.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
 def pending_retries(pending: DataFrame, tried: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """(still pending, dropped): pending (id, retries) after outcomes (id, ok); one more retry each, dropped past ``most``."""
     after = pending.join(tried.groupBy("id").agg(F.bool_or("ok").alias("ok")), "id", "left").where(~F.coalesce("ok", F.lit(False)))
