@@ -4,13 +4,14 @@ A document's set is its distinct word shingles.  Two permutations make the whole
 the shingles over 2**32 places, the second is shifted circularly by k for coordinate k, and the coordinate is
 the least value of the shifted permutation over the set.  Bands of four coordinates put documents in buckets.
 
-Documents with equal sets are one class throughout, so copies cost one row.  In a bucket, classes are held
-against the least class first; what that joins (exactly confirmed) is one component and needs no more pairs.
-Buckets that still hold classes of different components are compared in full, in blocks of bounded size: per
-class and foreign component the likeliest partners first, and more of them only where those failed, until no
-pair across components is left.  No bucket is capped and no group is listed as all its pairs.  A pair is set
-aside without the exact test only if set sizes rule it out or 128 coordinates agree so rarely that a Jaccard
-of 0.75 would show it once in about a million pairs.
+Documents with equal sets are one class throughout, so copies cost one row.  Each class is first held against
+the least class of its likeliest bucket, which joins most of a group of near copies in one exact test per class.
+What is still apart though it shares a bucket and looks likely goes into one candidate group, and inside a
+candidate group all sets of different components are compared exactly, in blocks of bounded size.  Tasks compare
+many pairs but hand on only what connects: a tile of a bucket gives a spanning forest of its likely pairs, a
+tile of a group a spanning forest of its links.  No bucket is capped and no group is listed as all its pairs.
+A pair is set aside without the exact test only if set sizes rule it out or 128 coordinates agree so rarely that
+a Jaccard of 0.75 would show it once in about a million pairs.
 
 Nulls, ties and repeats: a null or blank text has an empty set and is linked with nothing; equal texts are
 linked; rows with equal ids are separate rows; ``component_id`` is the least non-null id reachable.  An empty
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,46 +99,13 @@ def _sets(docs: DataFrame, want: DataFrame, width: int) -> DataFrame:
             flat = pa.array([s.view(np.int64) for s, ok in zip(sets, same) if ok], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("nid").filter(pa.array(same, pa.bool_())), flat], ["nid", "shingles"])
 
-    want = want.withColumnRenamed("doc_id", "_id")
+    want = materialise(want.withColumnRenamed("doc_id", "_id"), "wanted")
     if want.count() <= SEND_ROWS:
         want = F.broadcast(want)
     rows = docs.select("doc_id", "text").join(want, F.col("doc_id").eqNullSafe(F.col("_id"))).select("nid", "set_key", "text")
     return rows.mapInArrow(run, "nid long, shingles array<long>").dropDuplicates(["nid"])
 
 
-class _Links:
-    """Exact tests of candidate pairs; keeps the sets fetched so far, the links found and the pairs that failed."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, percent: int):
-        self.docs, self.nodes, self.width, self.percent = docs, nodes, width, percent
-        self.sets = self.tested = None
-
-    def test(self, pairs: DataFrame) -> bool:
-        """Test ``pairs`` (a, b) that are new; true if any was linked."""
-        if self.tested is not None:
-            pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            return False
-        ids = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
-        if self.sets is not None:
-            ids = ids.join(self.sets.select("nid"), "nid", "left_anti")
-        want = materialise(self.nodes.join(ids, "nid").select("nid", "set_key", "doc_id"), "wanted")
-        if not want.isEmpty():
-            new = materialise(_sets(self.docs, want, self.width), "sets")
-            self.sets = new if self.sets is None else self.sets.unionByName(new)
-        a = self.sets.select(F.col("nid").alias("a"), F.col("shingles").alias("sa"))
-        b = self.sets.select(F.col("nid").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        linked = F.lit(100) * both >= F.lit(self.percent) * (F.size("sa") + F.size("sb") - both)
-        found = materialise(pairs.join(a, "a").join(b, "b").select("a", "b", linked.alias("linked")), "tested")
-        self.tested = found if self.tested is None else self.tested.unionByName(found)
-        return not found.where("linked").isEmpty()
-
-    def labels(self) -> DataFrame | None:
-        return None if self.tested is None else components(self.tested.where("linked"))
-
-
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b) with ``est``, their agreeing coordinates, without those that cannot or hardly can be linked."""
 
@@ -153,35 +122,110 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(close).select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long, est int")
 
 
-def _across(tiles: DataFrame, most: int | None, percent: int) -> DataFrame:
-    """Likely pairs across components inside each tile; per class and foreign component the ``most`` likeliest.
+class _Union:
+    """Joins of small integers; the root of a set is its least member."""
 
-    ``tiles``: bk, i, j, side, nid, label, n_shingles, sketch; at most two blocks of rows in a tile.  Also says
-    in ``more`` whether a row's list was cut.
-    """
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        while True:
+            y = self.up[x]
+            if (y == x).all():
+                return x
+            self.up[x] = self.up[y]
+            x = y
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = (int(self.roots(np.array([v]))[0]) for v in (a, b))
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _numbered(label: np.ndarray) -> tuple[np.ndarray, int]:
+    names, number = np.unique(label, return_inverse=True)
+    return number, len(names)
+
+
+def _tile_rows(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return left, right if len(right) else left
+
+
+def _pair_table(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
+
+
+def _likely_forest(percent: int):
+    """Of a tile of a bucket (side, nid, label, n_shingles, sketch): a spanning forest of the likely pairs across components."""
 
     def run(table: pa.Table) -> pa.Table:
         side, nid, label, n = (table.column(c).to_numpy() for c in ("side", "nid", "label", "n_shingles"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        right = right if len(right) else left
-        out_a, out_b, out_more = [], [], []
+        left, right = _tile_rows(side)
+        joined, out = _Union(len(nid)), []
+        for i in left:
+            js = right[(label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+            js = js[(sketch[js] == sketch[i]).sum(axis=1) >= AGREE]
+            for j in js[joined.roots(js) != joined.roots(np.array([i]))[0]]:
+                if joined.join(i, j):
+                    out.append((nid[i], nid[j]))
+        return _pair_table(out)
+
+    return run
+
+
+def _link_forest(percent: int):
+    """Of a tile of a candidate group (side, nid, label, shingles): links that connect its components, found by exact Jaccard."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, nid = table.column("side").to_numpy(), table.column("nid").to_numpy()
+        label, n_labels = _numbered(table.column("label").to_numpy())
+        lists = table.column("shingles").combine_chunks()
+        flat, at = lists.flatten().to_numpy(), np.r_[0, np.cumsum(pa.compute.list_value_length(lists).to_numpy())]
+        flat, n_flat = _numbered(flat)
+        size = np.diff(at)
+        left, right = _tile_rows(side)
+        joined, out = _Union(n_labels), []
+        mark = np.zeros(n_flat, bool)
         for i in left:
-            js = right[(label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i])) & (nid[right] != nid[i])]
+            js = right[(joined.roots(label[right]) != joined.roots(label[[i]])[0]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
             if not len(js):
                 continue
-            est = (sketch[js] == sketch[i]).sum(axis=1)
-            js, est = js[est >= AGREE], est[est >= AGREE]
-            js = js[np.lexsort((nid[js], -est, label[js]))]
-            run_at = np.flatnonzero(np.r_[True, label[js][1:] != label[js][:-1]]) if len(js) else np.zeros(0, int)
-            place = np.arange(len(js)) - np.repeat(run_at, np.diff(np.r_[run_at, len(js)]))
-            keep = place < (most or len(js))
-            for j in js[keep]:
-                out_a.append(min(nid[i], nid[j])), out_b.append(max(nid[i], nid[j])), out_more.append(not keep.all())
-        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_more, pa.bool_())], ["a", "b", "more"])
-
-    pairs = tiles.groupBy("bk", "i", "j").applyInArrow(run, "a long, b long, more boolean")
-    return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
+            mine = flat[at[i] : at[i + 1]]
+            mark[mine] = True
+            if len(js) > 16:
+                both = np.add.reduceat(mark[flat].astype(np.int64), at[:-1])[js]
+            else:
+                both = np.array([np.count_nonzero(mark[flat[at[j] : at[j + 1]]]) for j in js])
+            mark[mine] = False
+            for j in js[100 * both >= percent * (size[js] + size[i] - both)]:
+                if joined.join(label[i], label[j]):
+                    out.append((nid[i], nid[j]))
+        return _pair_table(out)
+
+    return run
+
+
+def _tiles(rows: DataFrame, group: str) -> DataFrame:
+    """``rows`` (group, label, …) dealt to tiles (group, i, j, side) that hold each pair of rows with different labels together in one tile.
+
+    A label with half a block of rows or more has blocks of its own, which never meet each other; the small
+    labels share pooled blocks, each label in one of them.  A row goes to a tile for each block it must meet.
+    """
+    sizes = rows.groupBy(group, "label").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("own", F.when(F.col("n") * 2 >= BLOCK, F.col("label")))
+    owners = sizes.groupBy(group, "own").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).alias("blocks"))
+    blocks = owners.select(group, "own", "blocks", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("at"))
+    name = F.struct(F.coalesce("own", F.lit(-1)).alias("own"), F.col("at").alias("at"))
+    blocks = blocks.select(group, name.alias("block"))
+    other = blocks.select(group, F.col("block").alias("other"))
+    meets = blocks.join(other, group).where((F.col("block.own") != F.col("other.own")) | (F.col("block.own") == -1))
+    meets = meets.select(group, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    small = F.when(F.col("own").isNull(), F.xxhash64("label")).otherwise(F.xxhash64("nid"))
+    placed = rows.join(sizes.select(group, "label", "own"), [group, "label"]).join(owners.select(group, F.coalesce("own", F.lit(-1)).alias("_o"), "blocks"), [group]).where("_o = coalesce(own, -1)")
+    placed = placed.withColumn("block", F.struct(F.col("_o").alias("own"), F.pmod(small, F.col("blocks")).alias("at")))
+    return placed.join(meets, [group, "block"]).drop("own", "_o", "blocks", "block")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, mark: Column | None = None) -> DataFrame:
@@ -193,49 +237,40 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, mark: Co
     rows = nodes.select("nid", F.explode("bands").alias("bk"))
     shared = rows.groupBy("bk").agg(F.min("nid").alias("rep"), F.count("*").alias("m")).where("m > 1")
     members = materialise(rows.join(shared, "bk"), "members")
-    links = _Links(docs, nodes, width, percent)
 
-    # against the least class of the bucket, the likeliest of a class's buckets first
+    # one exact test per class: against the likeliest of its buckets' least classes
     star = members.where("nid <> rep").select(F.col("rep").alias("a"), F.col("nid").alias("b")).distinct()
     star = materialise(_likely(star, small, percent), "likely")
-    links.test(star.groupBy("b").agg(F.max(F.struct("est", "a")).alias("m")).select("m.a", "b"))
-
-    # then one class for each component in a bucket, as long as that joins components
-    again = True
-    while again:
-        labels = links.labels()
-        if labels is None:
-            named = members.withColumn("label", F.col("nid"))
-        else:
-            named = members.join(labels.withColumnRenamed("id", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-        named = materialise(named, "named")
-        mixed = named.groupBy("bk").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
-        heads = named.join(mixed.select("bk", "least"), "bk").groupBy("bk", "least", "label").agg(F.min("nid").alias("nid"))
-        first = heads.where("label = least").select("bk", F.col("nid").alias("x"))
-        ends = heads.where("label <> least").join(first, "bk").select(F.least("x", "nid").alias("a"), F.greatest("x", "nid").alias("b")).distinct()
-        again = links.test(_likely(ends, small, percent).select("a", "b"))
-
-    # then all pairs across components, in blocks
-    most: int | None = 1
-    while True:
-        open_rows = named.join(mixed.select("bk"), "bk", "left_semi").join(small, "nid")
-        blocks = open_rows.groupBy("bk").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-        cut = open_rows.join(blocks, "bk").withColumn("i", F.pmod(F.xxhash64("nid"), F.col("blocks")))
-        pairs_of = F.explode(F.expr("transform(sequence(0L, blocks - 1), o -> struct(least(i, o) AS i, greatest(i, o) AS j, cast(i > o AS int) AS side))"))
-        tiles = cut.withColumn("t", pairs_of).select("bk", "t.i", "t.j", "t.side", "nid", "label", "n_shingles", "sketch")
-        found = materialise(_across(tiles, most, percent), "across")
-        joined = links.test(found.select("a", "b"))
-        if found.where("more").isEmpty():
-            break
-        most = None if most and most >= 64 else most * 8 if most else None
-        if joined:
-            labels = links.labels().withColumnRenamed("id", "nid")
-            named = materialise(named.drop("label").join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid")), "named")
-            mixed = named.groupBy("bk").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
-
-    final = links.labels()
-    named = nodes.select("nid", "set_key", "doc_id")
-    named = named.withColumn("label", F.col("nid")) if final is None else named.join(final.withColumnRenamed("id", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    best = materialise(star.groupBy("b").agg(F.max(F.struct("est", "a")).alias("m")).select("m.a", "b"), "best")
+    ids = best.select(F.col("a").alias("nid")).union(best.select("b")).distinct()
+    sets = materialise(_sets(docs, nodes.select("nid", "set_key", "doc_id").join(ids, "nid"), width), "sets")
+    a = sets.select(F.col("nid").alias("a"), F.col("shingles").alias("sa"))
+    b = sets.select(F.col("nid").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    linked = F.lit(100) * both >= F.lit(percent) * (F.size("sa") + F.size("sb") - both)
+    links = materialise(best.join(a, "a").join(b, "b").where(linked).select("a", "b"), "links")
+    labels = components(links)
+
+    # buckets of three and more that still hold different components: what looks likely there
+    label_of = labels.withColumnRenamed("id", "nid")
+    named = members.where("m > 2").join(label_of, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    apart = named.groupBy("bk").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bk")
+    open_rows = materialise(named.join(apart, "bk", "left_semi").select("bk", "nid", "label").join(small, "nid"), "open")
+    forest = _tiles(open_rows, "bk").groupBy("bk", "i", "j").applyInArrow(_likely_forest(percent), "a long, b long")
+    side = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}"))
+    stars = star.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
+    groups = components(materialise(forest.unionByName(stars).distinct(), "candidates"))
+
+    # inside a candidate group, all sets of different components
+    in_group = groups.select(F.col("id").alias("nid"), F.col("label").alias("grp")).join(label_of, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    in_group = materialise(in_group, "groups")
+    rest = in_group.join(sets.select("nid"), "nid", "left_anti").select("nid")
+    more = materialise(_sets(docs, nodes.select("nid", "set_key", "doc_id").join(rest, "nid"), width), "sets")
+    with_sets = _tiles(in_group, "grp").join(sets.unionByName(more), "nid")
+    found = with_sets.groupBy("grp", "i", "j").applyInArrow(_link_forest(percent), "a long, b long")
+    links = materialise(links.unionByName(found), "links")
+
+    named = nodes.select("nid", "set_key", "doc_id").join(components(links).withColumnRenamed("id", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_class = materialise(named.join(least, "label").select(F.col("set_key").alias("_k"), "component_id"), "components")
     out = prints.select("doc_id", "mark", "n_shingles", "set_key").join(of_class, F.col("set_key") == F.col("_k"), "left")
