@@ -86,3 +86,16 @@ def test_pipeline(spark, tmp_path):
         size, source, total, target = want[r.doc_id]
         assert (r.size, r.source, r.source_size) == (size, source, total) and abs(r.target - target) < 1e-6 and 0 <= r.taken <= 2 * size
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "secrets", "mixing"]
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    extra = "size int, sid int, mark int, id int, k int, n int, key string, h long, t string, taken int, secret_spans string, cls int, label int"
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    row = (None, None, None, None, None, *[None] * len(extra.split(",")))
+    for rows in ([], [row], [row, row, (1, "word " * 30, "en", "s", 150, *[7] * 6, "k", 7, "t", 7, "s", 7, 7)]):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = materialise(stage(spark, docs, str(tmp_path)), name)
+            assert docs.count() == (len(rows) if name == "quality" else len({r[0] for r in rows})), name
