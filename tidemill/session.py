@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,6 +22,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if it isn't installed for them."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), root) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of ``sf_dir``."""
+    find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
