@@ -78,9 +78,15 @@ def test_streams_equal_batches(spark, tmp_path):
     stream = spark.readStream.schema("k int, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
     got = {r.k: r["first"] for r in state.first_seen_stream(stream, "k", "at", 3).collect()}
     assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[3][1]}
+    root = str(tmp_path / "_state")
+    one = state.first_seen_stream(stream.where("k = 1"), "k", "at", 3, root).collect()
+    more = datetime.datetime(2025, 12, 31)
+    spark.createDataFrame([(1, more)], "k int, at timestamp").write.mode("append").parquet(str(tmp_path))
+    two = state.first_seen_stream(stream.where("k = 1"), "k", "at", 3, root).collect()
+    assert one[0]["first"] == rows[0][1] and two[0]["first"] == more
     starts = spark.createDataFrame([(k, datetime.datetime(2026, 1, 2)) for k in (1, 2, 3, 4)], "k int, start timestamp")
     counts = {(r.k, r.verdict): r.n for r in state.verdict_stream(stream, starts, "k", "at", F.lit(datetime.datetime(2026, 1, 3))).collect()}
-    assert counts == {(1, "out"): 1, (1, "in"): 1, (2, "out"): 1, (2, "future"): 1, (3, "future"): 1, (4, "out"): 1}
+    assert counts == {(1, "out"): 2, (1, "in"): 1, (2, "out"): 1, (2, "future"): 1, (3, "future"): 1, (4, "out"): 1}
 
 
 def test_pending(spark):

@@ -13,23 +13,33 @@ from tidemill.operators.select import window_verdict
 from tidemill.scratch import new_path
 
 
-def run_batches(stream: DataFrame, merge, schema: str, name: str) -> DataFrame:
-    """Run ``stream`` to its end; ``merge(state, batch)`` gives the next state. Returns the last state."""
+def _last_state(spark, root: str) -> str | None:
+    """The newest state table under ``root``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/state-*")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    numbers = [int(f.getPath().getName().rpartition("-")[2]) for f in found or ()]
+    return f"{root}/state-{max(numbers)}" if numbers else None
+
+
+def run_batches(stream: DataFrame, merge, schema: str, name: str, root: str | None = None) -> DataFrame:
+    """Run ``stream`` to its end; ``merge(state, batch)`` gives the next state. Returns the last state.
+
+    Batch n reads the state of batch n - 1 and overwrites its own, so running a batch again changes nothing, and
+    a later run with the same ``root`` goes on where the last one stopped.
+    """
     spark = stream.sparkSession
-    root = new_path(spark, name)
-    held = {"path": None}
+    root = root or new_path(spark, name)
 
     def step(batch: DataFrame, number: int) -> None:
-        now = spark.read.schema(schema).parquet(held["path"]) if held["path"] else spark.createDataFrame([], schema)
-        path = f"{root}/state-{number}"
-        merge(now, batch).write.mode("overwrite").parquet(path)
-        held["path"] = path
+        before = spark.read.schema(schema).parquet(f"{root}/state-{number - 1}") if number else spark.createDataFrame([], schema)
+        merge(before, batch).write.mode("overwrite").parquet(f"{root}/state-{number}")
 
     stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(held["path"]) if held["path"] else spark.createDataFrame([], schema)
+    last = _last_state(spark, root)
+    return spark.read.schema(schema).parquet(last) if last else spark.createDataFrame([], schema)
 
 
-def first_seen_stream(stream: DataFrame, key: str, at: str, days: int) -> DataFrame:
+def first_seen_stream(stream: DataFrame, key: str, at: str, days: int, root: str | None = None) -> DataFrame:
     """Earliest time per key, without keys that the newest time seen leaves ``days`` behind."""
     kind = stream.schema[key].dataType.simpleString()
 
@@ -37,7 +47,7 @@ def first_seen_stream(stream: DataFrame, key: str, at: str, days: int) -> DataFr
         rows = state.unionByName(batch.groupBy(key).agg(F.min(at).alias("first"), F.max(at).alias("newest")))
         return rows.groupBy(key).agg(F.min("first").alias("first"), F.max("newest").alias("newest"))
 
-    state = run_batches(stream, merge, f"{key} {kind}, first timestamp, newest timestamp", "first-seen")
+    state = run_batches(stream, merge, f"{key} {kind}, first timestamp, newest timestamp", "first-seen", root)
     top = state.agg(F.unix_timestamp(F.max("newest"))).first()[0] or 0
     return state.where(F.unix_timestamp("newest") >= top - days * 86400)
 
