@@ -15,8 +15,8 @@ _R, _R_INV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1
 _powers: dict[str, np.ndarray] = {}
 
 
-def slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets of its rows and the end) of runs of rows of about ``most`` bytes; null reads as empty.
+def slices(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets of its rows and the end) of runs of rows of about ``most`` bytes (a pass over them takes some fifty times that); null reads as empty.
 
     A longer text comes alone and whole.
     """
@@ -39,7 +39,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     if name not in _powers or len(_powers[name]) < n:
-        p = np.full(max(n, 1 << 21), base, np.uint64)
+        p = np.full(max(n, (1 << 19) + 1), base, np.uint64)
         p[0] = 1
         _powers[name] = np.multiply.accumulate(p)
     return _powers[name][:n]
