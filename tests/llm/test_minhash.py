@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tidemill.llm import minhash, textbytes
 from tidemill.llm.components import components
@@ -63,9 +64,10 @@ def test_against_all_pairs(spark):
     assert near(spark, rows) == brute(rows)
 
 
-def test_chain_and_blocks(spark, monkeypatch):
-    """A chain in which only neighbours are linked, and buckets that are larger than a block."""
-    monkeypatch.setattr(minhash, "BLOCK", 3)
+@pytest.mark.parametrize("bound, most", [("BLOCK", 3), ("BLOCK_SHINGLES", 150)])
+def test_chain_and_blocks(spark, monkeypatch, bound, most):
+    """A chain in which only neighbours are linked, and buckets and groups that are larger than a block."""
+    monkeypatch.setattr(minhash, bound, most)
     words = [f"t{i}" for i in range(400)]
     rows = [(i, " ".join(words[4 * i : 4 * i + 60])) for i in range(60)] + [(500 + i, " ".join(words[:60] + [f"z{i}"] * 4)) for i in range(30)]
     assert near(spark, rows) == brute(rows)

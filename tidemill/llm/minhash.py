@@ -33,7 +33,8 @@ from tidemill.scratch import materialise
 COORDINATES, BAND = 128, 4
 #: Of 128 agreeing coordinates, 96 are expected at Jaccard 0.75 with a deviation of 4.9.
 AGREE = 72
-BLOCK = 512
+#: Most rows and shingles of a block; a tile is two blocks.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 #: Most candidate classes whose ids are sent to every executor (at most 40 MB); more are joined by shuffle.
 SEND_ROWS = 500_000
 
@@ -208,14 +209,14 @@ def _link_forest(percent: int):
 
 
 def _tiles(rows: DataFrame, group: str) -> DataFrame:
-    """``rows`` (group, label, …) dealt to tiles (group, i, j, side) that hold each pair of rows with different labels together in one tile.
+    """``rows`` (group, label, weight, …) dealt to tiles (group, i, j, side) that hold each pair of rows with different labels together in one tile.
 
-    A label with half a block of rows or more has blocks of its own, which never meet each other; the small
+    Blocks are bounded by rows and by the sum of ``weight``.  A label with half a block or more has blocks of its own, which never meet each other; the small
     labels share pooled blocks, each label in one of them.  A row goes to a tile for each block it must meet.
     """
-    sizes = rows.groupBy(group, "label").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("own", F.when(F.col("n") * 2 >= BLOCK, F.col("label")))
-    owners = sizes.groupBy(group, "own").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).alias("blocks"))
+    sizes = rows.groupBy(group, "label").agg(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("weight") / F.lit(BLOCK_SHINGLES)).alias("n"))
+    sizes = sizes.withColumn("own", F.when(F.col("n") * 2 >= 1, F.col("label")))
+    owners = sizes.groupBy(group, "own").agg(F.ceil(F.sum("n")).alias("blocks"))
     blocks = owners.select(group, "own", "blocks", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("at"))
     name = F.struct(F.coalesce("own", F.lit(-1)).alias("own"), F.col("at").alias("at"))
     blocks = blocks.select(group, name.alias("block"))
@@ -225,7 +226,7 @@ def _tiles(rows: DataFrame, group: str) -> DataFrame:
     small = F.when(F.col("own").isNull(), F.xxhash64("label")).otherwise(F.xxhash64("nid"))
     placed = rows.join(sizes.select(group, "label", "own"), [group, "label"]).join(owners.select(group, F.coalesce("own", F.lit(-1)).alias("_o"), "blocks"), [group]).where("_o = coalesce(own, -1)")
     placed = placed.withColumn("block", F.struct(F.col("_o").alias("own"), F.pmod(small, F.col("blocks")).alias("at")))
-    return placed.join(meets, [group, "block"]).drop("own", "_o", "blocks", "block")
+    return placed.join(meets, [group, "block"]).drop("own", "_o", "blocks", "block", "weight")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, mark: Column | None = None) -> DataFrame:
@@ -256,14 +257,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, mark: Co
     named = members.where("m > 2").join(label_of, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     apart = named.groupBy("bk").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bk")
     open_rows = materialise(named.join(apart, "bk", "left_semi").select("bk", "nid", "label").join(small, "nid"), "open")
-    forest = _tiles(open_rows, "bk").groupBy("bk", "i", "j").applyInArrow(_likely_forest(percent), "a long, b long")
+    forest = _tiles(open_rows.withColumn("weight", F.lit(0)), "bk").groupBy("bk", "i", "j").applyInArrow(_likely_forest(percent), "a long, b long")
     side = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}"))
     stars = star.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
     groups = components(materialise(forest.unionByName(stars).distinct(), "candidates"))
 
     # inside a candidate group, all sets of different components
     in_group = groups.select(F.col("id").alias("nid"), F.col("label").alias("grp")).join(label_of, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-    in_group = materialise(in_group, "groups")
+    in_group = materialise(in_group.join(nodes.select("nid", F.col("n_shingles").alias("weight")), "nid"), "groups")
     rest = in_group.join(sets.select("nid"), "nid", "left_anti").select("nid")
     more = materialise(_sets(docs, nodes.select("nid", "set_key", "doc_id").join(rest, "nid"), width), "sets")
     with_sets = _tiles(in_group, "grp").join(sets.unionByName(more), "nid")
