@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import aggregate, checks, cluster, folds, joins, keywords, select, windows
+from tidemill.functions import text
+from tidemill.operators import aggregate, cards, checks, cluster, folds, joins, keywords, select, windows
 
 
 def ts(minutes):
@@ -179,3 +180,32 @@ def test_empty_inputs(spark):
     assert select.dedup(df, "k", "t", "source").count() == 0
     assert windows.with_quota(df, ["k"], F.col("e") == "c", [F.col("t")], 3, 1).count() == 0
     assert joins.within(df, df.withColumnRenamed("at", "bt").select("k", "bt"), ["k"], "at", "bt", 10).count() == 0
+
+
+def test_anchored_and_speech(spark):
+    patterns = [("official", f"{keywords.ANCHOR} signs"), ("rumour", f"linked with {keywords.ANCHOR}")]
+    rows = [("Ann signs; club linked with Ann", "Ann"), ("Anna signs", "Ann"), ("ann signs", "Ann"), (r"A\Eb (x) SIGNS", r"A\Eb (x)"), (None, "Ann"), ("Ann signs", None), ("", "")]
+    df = spark.createDataFrame(rows, "t string, n string")
+    got = [[tuple(x) for x in r.x] for r in df.select(keywords.anchored(F.col("t"), F.col("n"), patterns).alias("x")).collect()]
+    assert got == [[("official", "Ann signs"), ("rumour", "linked with Ann")], [], [], [("official", r"A\Eb (x) SIGNS")], [], [], []]
+    said = spark.createDataFrame([('Ann: "we go on"',), ('Ann said, “we go on”',), ('"We go on," says Ann',), ('Ann: "yes"',), (None,)], "t string")
+    assert [r.f for r in said.select(keywords.speech(F.col("t"), F.lit("Ann"), ("said", "says")).alias("f")).collect()] == ["colon", "before", "after", None, None]
+
+
+def test_title_claims_reasons(spark):
+    rows = spark.createDataFrame([(i, "Ann signs") for i in range(6)] + [(6, None)], "id int, title string")
+    names = spark.createDataFrame([(1, "Ann"), (2, "Ann"), (2, "Bob"), (3, "Cid"), (4, "Ann"), (5, "Ann"), (6, "Ann")], "id int, player string")
+    clubs = spark.createDataFrame([(1, "X", "from"), (1, "Y", "to"), (4, "X", "to"), (4, "Y", "to"), (5, "X", "from"), (5, "X", "to")], "id int, club string, role string")
+    got = {r.id: (r.player, r["from"], r.to, r.status, r.reason) for r in cards.title_claims(rows, names, clubs, [("official", f"{keywords.ANCHOR} signs")]).collect()}
+    none = (None,) * 4
+    assert got == {0: (*none, "no-player"), 1: ("Ann", "X", "Y", "official", None), 2: (*none, "many-players"), 3: (*none, "no-stage"), 4: (*none, "many-clubs"), 5: (*none, "same-club"), 6: (*none, "no-stage")}
+
+
+def test_fact_mismatches_and_templates(spark):
+    claims = spark.createDataFrame([(1, 5, "a"), (1, 5, "a"), (1, None, "b"), (None, 1, "n"), (9, 1, "a")], "k int, v int, w string")
+    facts = spark.createDataFrame([(1, 5, "a"), (None, 2, None), (2, 2, "c")], "k int, v int, w string")
+    got = sorted((str(r.k), r.mismatches) for r in checks.fact_mismatches(claims, facts, ["k"], ["v", "w"]).collect())
+    assert got == [("1", []), ("1", []), ("1", ["w"]), ("9", ["unknown"]), ("None", ["v", "w"])]
+    assert checks.fact_mismatches(claims.limit(0), facts, ["k"], ["v"]).count() == 0
+    lines = claims.select(text.fill_template(F.lit("x"), {"x": "{v} of {w}"}, {"v": F.col("v"), "w": F.concat(F.lit("{v}"), "w")}).alias("l")).collect()
+    assert [r.l for r in lines] == ["5 of {v}a", "5 of {v}a", None, "1 of {v}n", "1 of {v}a"]

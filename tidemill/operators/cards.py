@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators import keywords
 from tidemill.operators.cluster import components
 
 
@@ -96,3 +97,21 @@ def prefer_new(parts: Sequence[str], old: DataFrame, new: DataFrame, key: str) -
     both = new.alias("n").join(old.alias("o"), F.col(f"n.{key}") == F.col(f"o.{key}"), "full")
     kept = F.filter(F.array(*[F.when(F.col(f"n.{p}").isNull() & F.col(f"o.{p}").isNotNull(), F.lit(p)) for p in parts]), lambda x: x.isNotNull())
     return both.select(F.coalesce(f"n.{key}", f"o.{key}").alias(key), *[F.coalesce(f"n.{p}", f"o.{p}").alias(p) for p in parts], kept.alias("kept"))
+
+
+def title_claims(rows: DataFrame, names: DataFrame, clubs: DataFrame, patterns: Sequence[tuple[str, str]]) -> DataFrame:
+    """id, player, from, to, status, evidence, reason: what each title of ``rows`` (id, title) claims, or why it claims nothing.
+
+    ``names`` (id, player) are the players found in a title, ``clubs`` (id, club, role) its clubs with role ``from``
+    or ``to``; ``patterns`` are those of :func:`keywords.anchored`, the strongest first.  Reasons: no-player,
+    many-players, no-stage, many-clubs, same-club.
+    """
+    who = names.groupBy("id").agg(F.count_distinct("player").alias("players"), F.min("player").alias("player"))
+    role = lambda r: [F.count_distinct(F.when(F.col("role") == r, F.col("club"))).alias(f"n_{r}"), F.min(F.when(F.col("role") == r, F.col("club"))).alias(r)]
+    where = clubs.groupBy("id").agg(*role("from"), *role("to"))
+    out = rows.select("id", "title").join(who, "id", "left").join(where, "id", "left")
+    out = out.withColumn("hit", F.get(keywords.anchored(F.col("title"), F.col("player"), patterns), 0))
+    rules = [("no-player", F.col("player").isNull()), ("many-players", F.col("players") > 1), ("no-stage", F.col("hit").isNull()), ("many-clubs", (F.col("n_from") > 1) | (F.col("n_to") > 1)), ("same-club", F.col("from") == F.col("to"))]
+    out = out.withColumn("reason", keywords.cascade(rules))
+    good = lambda c: F.when(F.col("reason").isNull(), c)
+    return out.select("id", good(F.col("player")).alias("player"), good(F.col("from")).alias("from"), good(F.col("to")).alias("to"), good(F.col("hit.stage")).alias("status"), good(F.col("hit.evidence")).alias("evidence"), "reason")

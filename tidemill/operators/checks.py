@@ -39,6 +39,21 @@ def out_of_order(rows: DataFrame, keys: Sequence[str], position: str, value: str
     return rows.withColumn("before", before).where(F.col(value) <= F.col("before"))
 
 
+def fact_mismatches(claims: DataFrame, facts: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """``claims`` (keys and fields) with ``mismatches``: the fields that differ from the facts, in order, or ``unknown`` where no fact has the keys.
+
+    A claim's null field says nothing and is never a mismatch; null keys are keys like any other.  ``facts`` has
+    one row per key (see :func:`duplicates`); a key with several is held against the fact that differs least.
+    """
+    right = facts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(f).alias(f"_f{i}") for i, f in enumerate(fields)], F.lit(True).alias("_known"))
+    mine = claims.withColumn("_row", F.monotonically_increasing_id())
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    wrong = F.filter(F.array(*[F.when(F.col(f).isNotNull() & ~F.col(f).eqNullSafe(F.col(f"_f{i}")), F.lit(f)) for i, f in enumerate(fields)]), lambda x: x.isNotNull())
+    wrong = F.when(F.col("_known"), wrong).otherwise(F.array(F.lit("unknown")))
+    rows = mine.join(right, on, "left").select("_row", *claims.columns, wrong.alias("mismatches"))
+    return rows.groupBy("_row").agg(F.min_by(F.struct(*claims.columns, "mismatches"), F.struct(F.size("mismatches"), "mismatches")).alias("r")).select("r.*")
+
+
 def gate(issues: DataFrame) -> None:
     """Ends the job if any issue is an error; at most twenty are shown."""
     bad = issues.where("severity = 'error'").limit(20).collect()

@@ -54,6 +54,32 @@ def cascade(rules: Sequence[tuple[str, Column]], default: str | None = None) ->
     return out
 
 
+#: Stands for the anchoring name in patterns.
+ANCHOR = "\u0001"
+
+
+def anchored(text: Column, name: Column, patterns: Sequence[tuple[str, str]]) -> Column:
+    """Array of (stage, evidence) of the patterns that match around a row's own name, in order.
+
+    ``patterns`` are (stage, regular expression) in which ``ANCHOR`` stands for the name, so that one fixed set of
+    expressions serves every name.  The evidence is what the first match covers, with the name put back.  Names
+    count as whole words only.  A null or empty text or name matches nothing.
+    """
+    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}])"))
+    marked = F.when(F.length(name) > 0, F.regexp_replace(F.translate(text, ANCHOR, " "), quoted, F.lit(ANCHOR)))
+    found = F.array(*[F.struct(F.lit(stage).alias("stage"), F.regexp_extract(marked, rf"(?i){pattern}", 0).alias("evidence")) for stage, pattern in patterns])
+    found = F.filter(found, lambda x: x.evidence.contains(ANCHOR))
+    return F.transform(found, lambda x: F.struct(x.stage.alias("stage"), F.replace(x.evidence, F.lit(ANCHOR), name).alias("evidence")))
+
+
+def speech(text: Column, name: Column, verbs: Sequence[str], least: int = 2) -> Column:
+    """How a quotation of ``least`` words or more is given to a name: ``colon`` (name: "…"), ``before`` (name said "…"), ``after`` ("…" said name), or null."""
+    said, words = "|".join(re.escape(v) for v in verbs), rf"\S+(?:\s+\S+){{{least - 1},}}"
+    quote = "|".join(rf"{a}{words}?{b}" for a, b in (('"', '"'), ("“", "”"), ("«", "»")))
+    forms = (("colon", rf"{ANCHOR}\s*:\s*(?:{quote})"), ("before", rf"{ANCHOR},?\s+(?:{said}),?:?\s+(?:{quote})"), ("after", rf"(?:{quote}),?\s+(?:{said})\s+{ANCHOR}"))
+    return F.get(anchored(text, name, forms), 0)["stage"]
+
+
 # Factors of the composite score.
 TIER = {1: 1.25, 2: 1.0, 3: 0.8}
 TRACKED, BIG, CUP, TRANSFER = 3.0, 1.3, 1.25, 1.2
