@@ -31,3 +31,27 @@ def test_scan(spark):
     got = sorted((r.doc_id, r.license) for r in licenses.scan(df).collect())
     assert got == sorted((i, x) for i, t, _ in rows for x in dict(CASES)[t])
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_words_around_a_statement_do_not_hide_it():
+    tail = " and more words of plain prose go on here without any end, line after line, on the same line as it"
+    for n in (0, 20, 40, 60, 97):
+        for text in ("Released under the MIT License." + tail[:n], tail[:n] + " released under the mit license\n" + tail + "\n" + tail):
+            found = licenses.statements(text)
+            assert [f["license"] for f in found] == ["MIT"], text
+            assert text[found[0]["start"] : found[0]["end"]].lower() == "released under the mit license"
+    assert [f["license"] for f in licenses.statements("This Source Code Form is subject to the terms of\nthe Mozilla Public\n# License, v. 2.0" + tail)] == ["MPL-2.0"]
+
+
+def test_all_licences_of_a_text():
+    text = "Released under the MIT License, and the data are licensed under CC BY-SA 4.0; the rest is licensed under the Apache License, Version 2.0 or so"
+    assert [f["license"] for f in licenses.statements(text)] == ["MIT", "CC-BY-SA-4.0", "Apache-2.0"]
+    for name, wording in (("AGPL-3.0", "gnu affero general"), ("LGPL-3.0", "gnu lesser general"), ("GPL-3.0", "gnu general")):
+        assert [f["license"] for f in licenses.statements(f"This work is licensed under the {wording} public license, version 3")] == [name]
+
+
+def test_spdx():
+    ids = lambda t: [f["license"] for f in licenses.statements(t)]
+    assert ids("// SPDX-License-Identifier: MIT\nint x;") == ["MIT"]
+    assert ids("# SPDX-License-Identifier: (GPL-2.0+ OR Apache-2.0) AND CC0-1.0") == ["GPL-2.0", "Apache-2.0", "CC0-1.0"]
+    assert ids("SPDX-License-Identifier: Nothing-1.0") == []

@@ -1,10 +1,13 @@
 """License scans by conditional compression against licence wordings.
 
-Lines that speak of a licence or of copying are candidates, with the lines that directly go on with them.  Each
-candidate block is compressed alone and with each template as raw zstandard dictionary; the template that takes
-most bytes away, as a share of the block's own size, is the likeliest.  It is confirmed by an exact comparison
-of wordings: the words of block and template are aligned, and the differences may be few, and may not touch the
-words that tell one licence or version from another.
+The surroundings of every word that speaks of a licence or of copying are candidates.  In them each template is
+laid over every stretch of words that could hold it, whatever lines or prose go before and after.  A stretch is
+confirmed by an exact comparison of wordings: the words of stretch and template are aligned, and the differences
+may be few, and may not touch the words that tell one licence or version from another.  It is then compressed
+alone and with the template as raw zstandard dictionary, which must take away enough of its bytes.  Of stretches
+that overlap the one with the fewest words of its licence's relatives counts, then the one with the fewest
+differences, then the one that loses most bytes; all others that are
+left are reported too, so a text may state several licences.  Identifiers of an SPDX tag are read one by one.
 
 Nulls, ties and repeats: a null or empty text has no blocks; equal shares go to the first template in order;
 rows are read one by one and repeated rows give repeated results; texts are read whole.  An empty table gives
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -44,15 +48,41 @@ TEMPLATES = (
     ("CC0-1.0", "released under the creative commons cc0 1.0 universal public domain dedication", ("cc0",)),
     ("Proprietary", "copyright. all rights reserved. no part of this work may be reproduced without permission", ("rights", "reserved")),
 )
+#: Identifiers of SPDX tags, by the licence they name.
+SPDX = {
+    "Apache-2.0": ("apache-2.0",), "MIT": ("mit",), "BSD-3-Clause": ("bsd-3-clause",), "MPL-2.0": ("mpl-2.0",), "CC0-1.0": ("cc0-1.0",),
+    "CC-BY-4.0": ("cc-by-4.0",), "CC-BY-SA-4.0": ("cc-by-sa-4.0",), "CC-BY-NC-4.0": ("cc-by-nc-4.0",),
+    "GPL-3.0": ("gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later"), "GPL-2.0": ("gpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later"),
+    "LGPL-3.0": ("lgpl-3.0", "lgpl-3.0-only", "lgpl-3.0-or-later"), "AGPL-3.0": ("agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later"),
+}
+TAG = "spdx-license-identifier: "
+TEMPLATES += tuple((name, TAG + i, (i,)) for name, ids in SPDX.items() for i in ids)
 TRIGGERS = ("licen[cs]e", "copyright", "redistribut", "permission is", "creative commons", "all rights reserved", "public domain", "spdx")
 
-#: Least share of a block's compressed bytes that its template must take away, and most of the words that may differ.
+#: Least share of a stretch's compressed bytes that its template must take away, and most of the words that may differ.
 GAIN, DIFFER = 0.3, 0.34
-#: A block is at most so many lines and code points; what follows in a longer line is a block of its own if it has a trigger word.
-LINES, REACH = 12, 1200
+#: Code points before and after a trigger word in which its statement is looked for; no template is as long as either.
+BACK, REACH = 400, 1200
 
 _trigger = re.compile("|".join(TRIGGERS), re.I)
 _word = re.compile(r"[a-z0-9][a-z0-9.\-]*[a-z0-9]|[a-z0-9]")
+_tag = re.compile(r"spdx-license-identifier:[ \t]*([a-z0-9.+\- \t()]+)", re.I | re.A)
+_LOWER = {c: c + 32 for c in range(65, 91)}
+_spdx = {i: next(k for k, t in enumerate(TEMPLATES) if t[1] == TAG + i) for ids in SPDX.values() for i in ids}
+
+
+def _marks(words: list[str]) -> dict[str, int]:
+    """Bits of the places of each word."""
+    out: dict[str, int] = {}
+    for k, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << k
+    return out
+
+
+#: Per template laid over texts: its number, how many words it has, their places, and the words that must be kept.
+_laid = [(i, len(w), _marks(w), frozenset(t[2])) for i, t in enumerate(TEMPLATES) if not t[1].startswith(TAG) for w in [_word.findall(t[1])]]
+#: Per template the words, not its own, that tell a licence of the same family: GPL from LGPL, say.
+_foreign = [{w for name, _, told in TEMPLATES if name != n and set(told) & set(telling) for w in told} - set(_word.findall(t)) for n, t, telling in TEMPLATES]
 
 
 @lru_cache(None)
@@ -61,30 +91,16 @@ def _compressors():
     return make(None), [make(zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t, _ in TEMPLATES]
 
 
-def line_end(text: str, at: int) -> int:
-    end = text.find("\n", at)
-    return len(text) if end < 0 else end
-
-
-def blocks(text: str):
-    """(start, end) of candidate blocks: from the start of the sentence that holds a trigger word to the end of its line, or of those it goes on in."""
-    done = -1
+def regions(text: str):
+    """(start, end) of the surroundings of trigger words, joined where they overlap; whole words."""
+    start = end = -1
     for m in _trigger.finditer(text):
-        if m.start() < done:
-            continue
-        line = text.rfind("\n", 0, m.start()) + 1
-        start = max(line, m.start() - 400)
-        for stop in re.finditer(r"[.!?]\s+(?=[A-Z])", text[start : m.start() + 1]):
-            line = start + stop.end()
-        start = max(start, line)
-        end = line_end(text, m.end())
-        for _ in range(LINES - 1):  # a line that does not end its sentence goes on in the next
-            after = line_end(text, end + 1)
-            if end - start >= REACH or text[start:end].rstrip()[-1:] in ".!?" or not text[end:after].strip():
-                break
-            end = after
-        end = min(end, start + REACH)
-        done = end
+        if end < 0 or m.start() - BACK > end:
+            if end >= 0:
+                yield start, end
+            start = max(0, m.start() - BACK)
+        end = min(len(text), m.end() + REACH)
+    if end >= 0:
         yield start, end
 
 
@@ -109,19 +125,80 @@ def differences(block: str, number: int) -> tuple[float, float, bool]:
     return 1 - hit / len(a), 1 - hit / span, all(w in kept for w in telling)
 
 
+def gain_of(stretch: str, number: int) -> float:
+    """Share of the stretch's compressed bytes that a template takes away."""
+    data = stretch.lower().encode("utf-8", "surrogatepass")
+    plain, primed = _compressors()
+    alone = len(plain.compress(data))
+    return (alone - len(primed[number].compress(data))) / alone
+
+
+def stretches(words: list[str], size: int, marks: dict[str, int], telling: frozenset[str]):
+    """(first, after last, differences) of the best stretch of ``words`` from each start that may hold a template of ``size`` words.
+
+    The words in common are those of a longest common subsequence, kept as the zero bits of one integer.
+    """
+    full = (1 << size) - 1
+    # words that are too far from any of the telling ones cannot belong to a stretch
+    reach = int(size / (1 - DIFFER)) + 1
+    heads = [k for k, w in enumerate(words) if w in telling]
+    for i, first in enumerate(words):
+        if first not in marks:
+            continue
+        near = bisect_left(heads, i)
+        if near == len(heads) or heads[near] >= i + reach:
+            continue
+        bits, best, left = full, None, set(telling)
+        for j in range(i, min(i + reach, len(words))):
+            w = words[j]
+            hit = bits & marks.get(w, 0)
+            bits = ((bits + hit) | (bits - hit)) & full
+            left.discard(w)
+            if left or not hit:
+                continue
+            same = size - bits.bit_count()
+            missing, extra = 1 - same / size, 1 - same / (j + 1 - i)
+            if missing <= DIFFER and extra <= DIFFER and (best is None or missing + extra < best[0]):
+                best = (missing + extra, j + 1)
+        if best:
+            yield i, best[1], best[0]
+
+
 def statements(text: str | None) -> list[dict]:
-    """Confirmed licence statements of a text: start, end, license, gain, missing, extra."""
+    """Confirmed licence statements of a text: start, end, license, gain, missing, extra; by start."""
+    text = text or ""
     found = []
-    for start, end in blocks(text or ""):
-        block = text[start:end]
-        for gain, minus in ranked(block)[:3]:
-            if gain < GAIN:
-                break
-            missing, extra, told = differences(block, -minus)
-            if told and missing <= DIFFER and extra <= DIFFER:
-                found.append({"start": start, "end": end, "license": TEMPLATES[-minus][0], "gain": round(gain, 4), "missing": round(missing, 4), "extra": round(extra, 4)})
-                break
-    return found
+    for start, end in regions(text):
+        # lower-casing by code point keeps places; the words are of ASCII letters alone
+        at = [(m.start() + start, m.end() + start) for m in _word.finditer(text[start:end].translate(_LOWER))]
+        words = [text[s:e].translate(_LOWER) for s, e in at]
+        has = set(words)
+        likely = []
+        for number, size, marks, telling in _laid:
+            if not telling <= has:
+                continue
+            taken: list[tuple[int, int]] = []
+            for i, j, _ in sorted(stretches(words, size, marks, telling), key=lambda x: (x[2], x[0])):
+                if any(i < b and a < j for a, b in taken):
+                    continue
+                s, e = at[i][0], at[j - 1][1]
+                missing, extra, told = differences(text[s:e], number)
+                if told and missing <= DIFFER and extra <= DIFFER:
+                    taken.append((i, j))
+                    gain = gain_of(text[s:e], number)
+                    if gain >= GAIN:
+                        likely.append((len(_foreign[number].intersection(words[i:j])), missing + extra, -gain, number, s, e, missing, extra))
+        for m in _tag.finditer(text, start, end):
+            for w in re.finditer(r"[a-z0-9.+\-]+", m[1], re.I | re.A):
+                number = _spdx.get(re.sub(r"\+$", "-or-later", w[0].translate(_LOWER)), _spdx.get(w[0].translate(_LOWER)))
+                if number is not None:
+                    likely.append((0, 0.0, -gain_of(TAG + w[0], number), number, m.start() if w.start() == 0 else m.start(1) + w.start(), m.start(1) + w.end(), 0.0, 0.0))
+        done: list[tuple[int, int]] = []
+        for _, _, minus, number, s, e, missing, extra in sorted(likely):
+            if all(e <= a or b <= s for a, b in done):
+                done.append((s, e))
+                found.append({"start": s, "end": e, "license": TEMPLATES[number][0], "gain": round(-minus, 4), "missing": round(missing, 4), "extra": round(extra, 4)})
+    return sorted(found, key=lambda f: (f["start"], f["end"], f["license"]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
