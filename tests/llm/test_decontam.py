@@ -62,3 +62,25 @@ def test_clean_and_empty(spark):
     assert sorted(r.at for r in decontam.clean(docs, items).collect()) == [6, 7]
     assert decontam.clean(docs, items.limit(0)).count() == 3
     assert decontam.contaminated(docs.limit(0), items).count() == 0
+
+
+def test_masks_of_short_items_find_every_allowed_pattern():
+    for n in range(decontam.LEAST, decontam.WINDOW):
+        masks = [m for m, low, high in decontam.SIZED if low <= n <= high]
+        for gone in itertools.combinations(range(n), n * 3 // 16):
+            assert any(all(c == "0" or p + i not in gone for i, c in enumerate(m)) for m in masks for p in range(n - len(m) + 1)), (n, gone)
+
+
+def test_short_items_with_changes_and_word_for_word(spark):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 16)]
+    docs = []
+    for n, text in items:
+        for gone in itertools.combinations(range(n), n * 3 // 16 if n >= 8 else 0):
+            docs.append((len(docs), "before " + " ".join("changed" if k in gone else w for k, w in enumerate(text.split())) + " after"))
+        docs.append((len(docs), " ".join(text.split()[1:])))  # at the start of a document, without the first token
+    assert run(spark, docs, items) == brute(docs, items)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    short = sorted((r.doc_id, r.item_id) for r in decontam.contaminated(d, b, 1).collect() if r.item_id < 8)
+    assert short == sorted((i, n) for i, t in docs for n, x in items[:7] if f" {x} " in f" {t} ")
+    assert {r.doc_id for r in decontam.clean(d, b.where("item_id < 8")).collect()} == {i for i, _ in docs} - {i for i, _ in short}

@@ -3,10 +3,12 @@
 Texts become arrays of token hashes (lower-cased runs of letters, marks and digits).  A mask picks some of the
 tokens of a span and ignores the rest; equal hashes under a mask are a hit, which fixes how a benchmark text
 would lie over the document.  The two masks are chosen so that any 16 tokens of which at least 13 agree hold a
-hit of one of them.  Around each hit the two texts are then compared token by token: a document is
+hit of one of them, and so for items of 13 to 15 tokens; items of 8 to 12 tokens have a shorter mask that any of
+their allowed patterns holds, and items of fewer are hashed whole.  Only masks that the benchmark has items for are
+laid over the documents.  Around each hit the two texts are then compared token by token: a document is
 contaminated by an item if, somewhere along that alignment, 16 successive places hold at least 13 equal tokens
-(13/16 of the item's tokens if it has fewer than 16).  Items of fewer than eight tokens identify nothing and
-are left out.
+(13/16 of the item's tokens if it has fewer than 16, all of them if it has fewer than eight).  Items of fewer than
+``least`` tokens are left out.
 
 Nulls, ties and repeats: null and empty texts have no tokens and match nothing; equal benchmark texts are
 matched once and reported for each of their item ids; repeated documents with one ``doc_id`` are reported once;
@@ -15,6 +17,8 @@ null ids are ids like any other.  Either table may be empty; columns other than
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,10 @@ from tidemill.scratch import materialise
 #: Each covers six tokens; ``1`` counts, ``0`` is ignored.
 MASKS = ("11010111", "11100010011")
 WINDOW, EQUAL, LEAST = 16, 13, 8
+#: The mask of items of LEAST to SHORT tokens.
+SHORT, SHORT_MASK = 12, "11101"
+#: (mask, least and most tokens of its items), for items of one token and more.
+SIZED = (*((m, SHORT + 1, 2**31 - 1) for m in MASKS), (SHORT_MASK, LEAST, SHORT), *(("1" * n, n, n) for n in range(1, LEAST)))
 TOKEN = r"[\p{L}\p{M}\p{N}]+"
 #: Most rows of seed hashes or candidates that are sent to every executor (24 and 32 bytes each); beyond it both sides are shuffled.
 SEND_ROWS = 400_000
@@ -32,22 +40,27 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
 
 
-def seeds(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` (key, t) as (key, p, h): the hash under each mask at each place."""
-    placed = rows.where(F.size("t") >= LEAST).select(key, "t", F.explode(F.expr(f"sequence(0, size(t) - {LEAST})")).alias("p"))
+def seeds(rows: DataFrame, key: str, numbers: Sequence[int], items: bool = False) -> DataFrame:
+    """``rows`` (key, t) as (key, p, h): the hash under each mask of SIZED that ``numbers`` names at each place; of ``items`` under their own masks only."""
+    least = min(len(SIZED[k][0]) for k in numbers)
+    placed = rows.where(F.size("t") >= least).select(key, "t", F.explode(F.expr(f"sequence(0, size(t) - {least})")).alias("p"))
     hashes = []
-    for k, mask in enumerate(MASKS):
+    for k in numbers:
+        mask, low, high = SIZED[k]
         h = F.xxhash64(F.lit(k), *[F.get("t", F.col("p") + i) for i, c in enumerate(mask) if c == "1"])
-        hashes.append(F.when(F.col("p") + len(mask) <= F.size("t"), h))
-    return placed.select(key, "p", F.stack(F.lit(len(MASKS)), *hashes).alias("h")).where("h IS NOT NULL")
+        fits = F.col("p") + len(mask) <= F.size("t")
+        hashes.append(F.when(fits & F.size("t").between(low, high) if items else fits, h))
+    return placed.select(key, "p", F.stack(F.lit(len(hashes)), *hashes).alias("h")).where("h IS NOT NULL")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, place (token of the document under the item's first one), equal, item_tokens; a row per pair found."""
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("t")).where(F.size("t") >= LEAST)
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id, item_id, place (token of the document under the item's first one), equal, item_tokens; a row per pair found, for items of ``least`` tokens (one at least) and more."""
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("t")).where(F.size("t") >= max(least, 1))
     items = materialise(items.groupBy("t").agg(F.collect_set("item_id").alias("ids"), F.max(F.col("item_id").isNull()).alias("nameless")).withColumn("cls", F.monotonically_increasing_id()), "items")
-    wanted = materialise(seeds(items.select("cls", "t"), "cls").select("h", "cls", F.col("p").alias("q")), "seeds")
-    found = seeds(docs.select("doc_id", tokens(F.col("text")).alias("t")), "doc_id")
+    any_of = items.agg(*[F.coalesce(F.bool_or(F.size("t").between(low, high)), F.lit(False)) for _, low, high in SIZED]).first()
+    numbers = [k for k, there in enumerate(any_of) if there] or [0]
+    wanted = materialise(seeds(items.select("cls", "t"), "cls", numbers, True).select("h", "cls", F.col("p").alias("q")), "seeds")
+    found = seeds(docs.select("doc_id", tokens(F.col("text")).alias("t")), "doc_id", numbers)
     small = wanted.count() <= SEND_ROWS
     hits = found.join(F.broadcast(wanted) if small else wanted, "h").select("doc_id", "cls", (F.col("p") - F.col("q")).alias("place")).distinct()
     hits = materialise(hits, "hits")
@@ -56,7 +69,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         near = F.broadcast(near)
     laid = docs.select("doc_id", "text").join(near, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "cls", "place", tokens(F.col("text")).alias("d"))
     laid = laid.join(items, "cls").withColumn("same", F.expr("transform(t, (x, i) -> if(x = get(d, cast(place + i AS int)), 1, 0))"))
-    need = F.expr(f"if(size(t) >= {WINDOW}, {EQUAL}, size(t) - size(t) * {WINDOW - EQUAL} div {WINDOW})")
+    need = F.expr(f"if(size(t) >= {WINDOW}, {EQUAL}, if(size(t) >= {LEAST}, size(t) - size(t) * {WINDOW - EQUAL} div {WINDOW}, size(t)))")
     best = F.expr(f"array_max(transform(sequence(1, size(t)), i -> aggregate(slice(same, i, {WINDOW}), 0, (a, x) -> a + x)))")
     kept = laid.where(best >= need).select("doc_id", "place", F.size("t").alias("item_tokens"), F.expr("aggregate(same, 0, (a, x) -> a + x)").alias("equal"), F.explode(F.expr("if(nameless, concat(ids, array(null)), ids)")).alias("item_id"))
     top = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("equal", (-F.col("place")).alias("back"), "item_tokens")).alias("m"))
@@ -64,5 +77,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs``, all columns, without the rows whose ``doc_id`` is contaminated (null ids stay)."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """``docs``, all columns, without the rows whose ``doc_id`` is contaminated by an item of any length (null ids stay)."""
+    return docs.join(contaminated(docs, benchmark, 1).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)

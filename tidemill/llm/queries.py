@@ -76,7 +76,7 @@ FROM p LEFT JOIN s USING (host)
 
 
 def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 1)
 
 
 OP3_SQL = r"""
