@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and strings that a primed zstandard compressor finds novel in a sensitive context.
 
-The patterns give the base spans.  Beside them, every long mixed string on a line with a sensitive word before
-it is a candidate.  A compressor primed with a dictionary of identifiers and code words compresses the text
-around the candidate with and without it; the difference is what the candidate adds.  Names, paths and words
-that the dictionary or the surroundings hold add a few bytes, random strings add nearly their own length, and
-those are reported as kind ``novel``.
+The patterns give the base spans.  Beside them, every long string with a sensitive word near it, on its line or
+the lines before and after, is a candidate, and so is the body of every PEM private key.  A compressor primed with
+a dictionary of identifiers and code words compresses the text around the candidate with and without it; the
+difference is what the candidate adds.  Names, paths and words that the dictionary or the surroundings hold add a
+few bytes, random strings add nearly what their alphabet needs, and those are reported as kind ``novel``.  Copies
+of a candidate do not count as its surroundings, unless several stand where no sensitive word is near.
 
 Spans count code points, end exclusive.  Nulls, ties and repeats: a null text is empty; empty texts have no
 spans; rows are judged one by one, so repeated rows give repeated results; texts are scanned whole.  Only texts
@@ -13,7 +14,9 @@ that hold one of the sensitive words or the start of a pattern are sent to Pytho
 
 from __future__ import annotations
 
+import random
 import re
+import string
 
 import pandas as pd
 import zstandard
@@ -52,22 +55,55 @@ IDENTIFIERS = (
     "http:// https:// www. .com .org .net /usr/local/bin /var/lib /home/user C:\\Users application/json text/html utf-8 "
 )
 
-#: A candidate is novel if it adds at least this share of its length to the compressed bytes.
-NOVEL = 0.7
-#: Code points of text around a candidate that it is compressed with, and on its line before it where a sensitive word counts.
-AROUND, BEFORE = 256, 64
+#: A candidate is novel if it adds at least this share of its length to the compressed bytes, or
+#: the share ALIKE of what so many random strings of its alphabet add on average.
+NOVEL, ALIKE, RANDOM = 0.7, 0.85, 3
+#: Code points of text around a candidate that it is compressed with, and in which a sensitive word counts.
+AROUND = 256
 
 _base = (("assign", re.compile(ASSIGN, re.I | re.A), 2, ASSIGN_LEAST), ("access", re.compile(ACCESS), 0, ACCESS_LEAST), ("hex", re.compile(HEX[:-1] + f"{{{HEX_LEAST},}}"), 0, HEX_LEAST))
 _candidate = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
+_pem = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(.{16,}?)(?=-----END |\Z)", re.S)
+_classes = (string.ascii_lowercase, string.ascii_uppercase, string.digits)
 _sensitive = re.compile("|".join(SENSITIVE), re.I | re.A)
 _squeeze = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
 
 
-def novelty(text: str, start: int, end: int) -> float:
-    """Bytes that text[start:end] adds to its compressed surroundings, by its length."""
+def novelty(text: str, start: int, end: int) -> tuple[float, float]:
+    """Bytes that text[start:end] adds to its compressed surroundings, by its length and by what random strings of its length and alphabet add."""
+    low, own = max(0, start - AROUND), text[start:end]
+    before, after = text[low:start], text[end : end + AROUND]
+    if own in before or own in after:
+        copies = [low + m.start() for m in re.finditer(re.escape(own), text[low : end + AROUND]) if low + m.start() != start]
+        if sum(not _near(text, at, at + len(own)) for at in copies) < 2:
+            before, after = before.replace(own, ""), after.replace(own, "")
+    size = lambda s: len(_squeeze.compress((before + after + s).encode("utf-8", "surrogatepass")))
+    alone = size("")
+    usual = sum(size(x) for x in _random(own)) / RANDOM - alone
+    return (size(own) - alone) / len(own), (size(own) - alone) / max(usual, 1)
+
+
+def _novel(text: str, start: int, end: int) -> bool:
+    by_length, by_random = novelty(text, start, end)
+    return by_length >= NOVEL or by_random >= ALIKE
+
+
+def _random(own: str) -> list[str]:
+    """RANDOM strings of the length of ``own`` and of the alphabet of its classes of characters; the same ones for the same string."""
+    alphabet = "".join(c for c in _classes if not set(c).isdisjoint(own))
+    alphabet += "".join(sorted(set(own) - set(alphabet)))
+    draw = random.Random(len(own))
+    return ["".join(draw.choices(alphabet, k=len(own))) for _ in range(RANDOM)]
+
+
+def _near(text: str, start: int, end: int) -> bool:
+    """Whether a sensitive word stands on the line of text[start:end], beside it, or on the nearest lines with text before or after."""
     before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-    size = lambda s: len(_squeeze.compress(s.encode("utf-8", "surrogatepass")))
-    return (size(before + after + text[start:end]) - size(before + after)) / (end - start)
+    first = before.rfind("\n", 0, len(before[: before.rfind("\n") + 1].rstrip())) + 1
+    last = after.find("\n")
+    if last >= 0:
+        last = after.find("\n", len(after) - len(after[last:].lstrip()))
+    return bool(_sensitive.search(before, first) or _sensitive.search(after if last < 0 else after[:last]))
 
 
 def find(text: str | None) -> list[tuple[str, int, int]]:
@@ -76,13 +112,17 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         return []
     found = [(kind, m.start(), m.end()) for kind, pattern, group, least in _base for m in pattern.finditer(text) if len(m[group]) >= least]
     base = [(s, e) for _, s, e in found]
+    bodies = [m.span(1) for m in _pem.finditer(text)]
+    for s, e in bodies:
+        s, e = e - len(text[s:e].lstrip()), s + len(text[s:e].rstrip())
+        if s < e and _novel(text, s, e):
+            found.append(("novel", s, e))
+            base.append((s, e))
     for m in _candidate.finditer(text):
         s, e = m.span()
-        has = m[0]
-        if sum(c.isdigit() for c in has) < 2 or sum(c.isalpha() for c in has) < 2 or any(s < b and a < e for a, b in base):
+        if any(s < b and a < e for a, b in base):
             continue
-        line = max(text.rfind("\n", 0, s) + 1, s - BEFORE)
-        if _sensitive.search(text, line, s) and novelty(text, s, e) >= NOVEL:
+        if _near(text, s, e) and _novel(text, s, e):
             found.append(("novel", s, e))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
