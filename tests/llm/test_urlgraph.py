@@ -68,3 +68,15 @@ def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert urlgraph.judge(df, RULES).count() == 0
     assert urlgraph.judge(df.union(spark.createDataFrame([(1, "http://a.com/en/", "")])), ()).select(F.col("verdict")).first()[0] == "allow"
+
+
+def test_cycles_are_settled(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/x">' for h in hosts)
+    pages = [(1, "http://bad.org/", link("a.net")), (2, "http://a.net/", link("bad.org")), (3, "http://c.net/", link("a.net", "c2.net"))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.host: r.distrust for r in urlgraph.judge(df, RULES).collect()}
+    d = urlgraph.DAMPING
+    # against links: bad.org gives all to a.net, which gives half each to bad.org and c.net
+    bad = 1 / (1 - d * d / 2)
+    want = {"bad.org": bad, "a.net": d * bad, "c.net": d * d * bad / 2}
+    assert all(abs(got[h] - want[h]) < 2e-9 for h in want), (got, want)

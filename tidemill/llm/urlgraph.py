@@ -4,7 +4,7 @@ A rule is a host (with all its subdomains) and the start of a path; the longest
 For urls without a rule their host decides.  A host is a trusted (blocked) seed to the share of its pages that
 allow (block) rules caught.  Trust flows along links, distrust against them, each as personalised PageRank that
 restarts from its seeds; scores are not normalised, so a lone seed keeps exactly its share however large the
-graph is.  A host is blocked if its distrust reaches ``threshold`` and passes its trust.
+graph is.  Rounds go on until the scores are settled.  A host is blocked if its distrust reaches ``threshold`` and passes its trust.
 
 Links are the absolute ``href`` and ``src`` targets of the pages, counted once per page and pair of hosts; a host's own links
 are left out.  Hosts are spread over tasks by name; counts are added up before they are shuffled.
@@ -17,6 +17,7 @@ seeds.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,7 @@ from tidemill.scratch import materialise
 
 #: Target hosts of absolute links.
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
+#: Ranks are settled when all later rounds together can move no host by SETTLED.  STEPS is the number of rounds that the SQL unrolls.
 DAMPING, STEPS, SETTLED = 0.85, 20, 1e-9
 
 
@@ -58,15 +60,18 @@ def _spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     rank = seeds.withColumnRenamed("seed", "score")
     if edges.isEmpty():
         return rank
-    for _ in range(STEPS):
+    # a round moves at most DAMPING times the sum of what the round before it moved, so all that is to come is a geometric series
+    most = max(seeds.agg(F.sum("seed")).first()[0] or 0.0, 1.0)
+    bound = math.ceil(math.log(SETTLED * (1 - DAMPING) / most) / math.log(DAMPING)) + 10
+    for _ in range(bound):
         flow = edges.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("part") * DAMPING).alias("score"))
         new = flow.unionByName(seeds.withColumnRenamed("seed", "score")).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         new = materialise(new, "ranks")
-        moved = new.alias("n").join(rank.alias("o"), ["kind", "host"], "left").agg(F.coalesce(F.max(F.abs(F.col("n.score") - F.coalesce("o.score", F.lit(0.0)))), F.lit(0.0))).first()[0]
+        moved = new.alias("n").join(rank.alias("o"), ["kind", "host"], "left").agg(F.coalesce(F.sum(F.abs(F.col("n.score") - F.coalesce("o.score", F.lit(0.0)))), F.lit(0.0))).first()[0]
         rank = new
-        if moved < SETTLED:
-            break
-    return rank
+        if moved * DAMPING / (1 - DAMPING) < SETTLED:
+            return rank
+    raise RuntimeError(f"the ranks of hosts are not settled after {bound} rounds: the last moved {moved}")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], threshold: float = 0.5) -> DataFrame:
