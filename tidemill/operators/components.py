@@ -11,18 +11,23 @@ from tidemill.scratch import materialise
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) for every vertex of ``edges`` (a, b: long); label is the least id of its component.
 
-    Each round points every vertex at its least neighbour, follows the pointers twice, and contracts the edges;
-    at least half of the vertices that still have edges go each round.
+    Each round points every vertex at its least neighbour, follows the pointers twice, and contracts the edges, until
+    none is left; at least half of the vertices that still have edges go each round.  The pointers of the rounds are
+    written, and followed one after another at the end.  Loops (a = b) and rows with a null name no vertex.
     """
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct()
-    left = materialise(both, "edges")
-    names = materialise(left.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct(), "labels")
+    real = edges.where("a <> b").select("a", "b")
+    left = materialise(real.union(real.select("b", "a")).distinct(), "edges")
+    rounds: list[DataFrame] = []
     while not left.isEmpty():
         up = left.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
-        up = materialise(up, "parents")
         twice = up.alias("x").join(up.alias("y"), F.col("x.p") == F.col("y.a"), "left").select(F.col("x.a").alias("v"), F.coalesce("y.p", "x.p").alias("p"))
-        twice = materialise(twice, "grandparents")
-        names = materialise(names.join(twice, names.label == twice.v, "left").select("id", F.coalesce("p", "label").alias("label")), "labels")
+        twice = materialise(twice, "pointers")
+        rounds.append(twice)
         left = left.join(twice.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(twice.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
         left = materialise(left.where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
-    return names
+    if not rounds:
+        return left.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    names = rounds[0].select(F.col("v").alias("id"), F.col("p").alias("label"))
+    for later in rounds[1:]:
+        names = names.join(later, F.col("label") == F.col("v"), "left").select("id", F.coalesce("p", "label").alias("label"))
+    return materialise(names, "components")
