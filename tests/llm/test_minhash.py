@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from tidemill.llm import minhash, textbytes
-from tidemill.llm.components import components
+from tidemill.operators.components import components
 
 
 def shingles(text):
@@ -115,3 +115,35 @@ def test_components(spark):
         for a, b in edges:
             up[a] = up[b] = min(up[a], up[b])
     assert got == {v: up[v] for e in edges if e[0] != e[1] for v in e}
+
+
+def test_large_buckets(spark, monkeypatch):
+    """Buckets whose facts are sent to their rows, and tiles of few rows."""
+    monkeypatch.setattr(minhash, "LARGE", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    rows = corpus(6, 5, 24)
+    assert near(spark, rows) == brute(rows)
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_of_one_polynomial_differ(spark):
+    """Words on which any polynomial modulo a power of two agrees."""
+    for n in (1024, 2048, 4096):
+        x, y = thue_morse(n), thue_morse(n, "b", "a")
+        one, two = textbytes.shingle_sets(pa.array([x, y]))
+        assert one[0] != two[0]
+    rows = [(1, thue_morse(2048)), (2, thue_morse(2048, "b", "a")), (3, "a\0"), (4, "a"), (5, "a" * 8), (6, "a" * 9), (7, "a" * 16)]
+    assert near(spark, rows) == brute(rows)
+
+
+def test_near_copies_without_ids(spark):
+    words = [f"t{i}" for i in range(80)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join([*words, "other"])]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(None, None)], "doc_id long, text string")
+    out = minhash.deduplicate(df).collect()
+    assert len(out) == 2 and sum(r.text in texts for r in out) == 1
+    mixed = spark.createDataFrame([(None, texts[0]), (5, texts[1]), (4, texts[2])], "doc_id long, text string")
+    assert [r.doc_id for r in minhash.deduplicate(mixed).collect()] == [4]

@@ -138,7 +138,7 @@ FROM f
 
 
 def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("mark", "component")
 
 
 OP8_SQL = r"""

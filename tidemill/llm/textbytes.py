@@ -11,8 +11,9 @@ _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_R, _R_INV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+_R = np.uint64(0x9E3779B97F4A7C15)
+#: The first k bytes of eight, for k of 0 to 8.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def slices(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -37,14 +38,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if name not in _powers or len(_powers[name]) < n:
-        p = np.full(max(n, (1 << 19) + 1), base, np.uint64)
-        p[0] = 1
-        _powers[name] = np.multiply.accumulate(p)
-    return _powers[name][:n]
-
-
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): byte bounds of the words ``[^\\x20\\x09-\\x0D]+``, and each row's first word (and the end)."""
     ink = ~_WS[data]
@@ -60,11 +53,19 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words with A-Z lower-cased: a polynomial of the bytes modulo 2**64, scattered."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _power("up", _R, len(data)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power("down", _R_INV, len(data) + 1)[starts]
-    return mix64(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+    """64-bit hashes of words with A-Z lower-cased: each eight bytes are scattered with a key of their place, then their sum with the length."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    low = np.zeros(len(data) + 8, np.uint8)
+    low[: len(data)] = _LOWER[data]
+    pieces = (ends - starts + 7) // 8
+    first = np.cumsum(pieces) - pieces
+    of = np.repeat(np.arange(len(starts)), pieces)
+    place = np.arange(len(of)) - first[of]
+    at = starts[of] + 8 * place
+    value = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(low, 8)[at]).view("<u8").ravel()
+    value = mix64((value & _FIRST[np.minimum(ends[of] - at, 8)]) ^ mix64((place.astype(np.uint64) + np.uint64(1)) * _R))
+    return mix64(np.add.reduceat(value, first) ^ mix64((ends - starts).astype(np.uint64)))
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
