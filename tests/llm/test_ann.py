@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemill.llm import ann
@@ -54,6 +55,17 @@ def test_few_rows(spark):
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     q, v = rng.normal(size=(5, 2000)), rng.normal(size=(50, 2000)) * 1e3
-    for i, ids, scores in ann.tile_top(np.arange(5), q, np.arange(100, 150), v, 10):
-        full = np.argsort(-(v @ q[i]))[:10] + 100
-        assert list(full) == list(ids)
+    low, high = ann.bounds(ann.rounded(q), ann.rounded(v))
+    assert ((low <= q @ v.T) & (q @ v.T <= high)).all() and np.isfinite(low).all()
+    for i in range(5):
+        assert set(np.argsort(-(v @ q[i]))[:10]) <= set(np.flatnonzero(ann.survivors(low[i], high[i], 10)))
+
+
+@pytest.mark.parametrize("size", [1e-170, 1e-300, 1e200])
+def test_very_small_and_very_large_components(spark, size):
+    """Norms and products that leave the range of doubles; products that do are ranked as doubles say."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in np.abs(rng.normal(size=8)) * (size if i % 3 else 1.0)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == brute(rows, 20) and len(got) == 6 * 20
