@@ -84,3 +84,11 @@ def test_short_items_with_changes_and_word_for_word(spark):
     short = sorted((r.doc_id, r.item_id) for r in decontam.contaminated(d, b, 1).collect() if r.item_id < 8)
     assert short == sorted((i, n) for i, t in docs for n, x in items[:7] if f" {x} " in f" {t} ")
     assert {r.doc_id for r in decontam.clean(d, b.where("item_id < 8")).collect()} == {i for i, _ in docs} - {i for i, _ in short}
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    leak = " ".join(f"a{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, leak, 1), (None, "fine", 2), (5, "before " + leak, 3), (5, "clean text of the same id", 4), (6, leak, 5), (6, leak, 6)], "doc_id long, text string, at int")
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    assert sorted(r.at for r in decontam.clean(docs, bench).collect()) == [2, 4]
+    assert sorted(((r.doc_id, r.place) for r in decontam.contaminated(docs, bench).collect()), key=repr) == [(5, 1), (6, 0), (None, 0)]

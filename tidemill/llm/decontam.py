@@ -11,8 +11,9 @@ contaminated by an item if, somewhere along that alignment, 16 successive places
 ``least`` tokens are left out.
 
 Nulls, ties and repeats: null and empty texts have no tokens and match nothing; equal benchmark texts are
-matched once and reported for each of their item ids; repeated documents with one ``doc_id`` are reported once;
-null ids are ids like any other.  Either table may be empty; columns other than the ids and texts are ignored.
+matched once and reported for each of their item ids; a row is known by its id and a hash of its text, so rows that
+share an id are compared each for itself, and reported once for their id with the best match of all; null ids are
+ids like any other.  Either table may be empty; columns other than the ids and texts are ignored.
 """
 
 from __future__ import annotations
@@ -53,29 +54,39 @@ def seeds(rows: DataFrame, key: str, numbers: Sequence[int], items: bool = False
     return placed.select(key, "p", F.stack(F.lit(len(hashes)), *hashes).alias("h")).where("h IS NOT NULL")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, item_id, place (token of the document under the item's first one), equal, item_tokens; a row per pair found, for items of ``least`` tokens (one at least) and more."""
+def _row(docs: DataFrame) -> Column:
+    """What a row of ``docs`` is known by."""
+    return F.struct(docs["doc_id"].alias("doc_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("mark"))
+
+
+def _pairs(docs: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
+    """row, item_id, place, equal, item_tokens: every place where a row of ``docs`` holds an item of ``least`` tokens and more."""
     items = benchmark.select("item_id", tokens(F.col("text")).alias("t")).where(F.size("t") >= max(least, 1))
     items = materialise(items.groupBy("t").agg(F.collect_set("item_id").alias("ids"), F.max(F.col("item_id").isNull()).alias("nameless")).withColumn("cls", F.monotonically_increasing_id()), "items")
     any_of = items.agg(*[F.coalesce(F.bool_or(F.size("t").between(low, high)), F.lit(False)) for _, low, high in SIZED]).first()
     numbers = [k for k, there in enumerate(any_of) if there] or [0]
     wanted = materialise(seeds(items.select("cls", "t"), "cls", numbers, True).select("h", "cls", F.col("p").alias("q")), "seeds")
-    found = seeds(docs.select("doc_id", tokens(F.col("text")).alias("t")), "doc_id", numbers)
+    found = seeds(docs.select(_row(docs).alias("row"), tokens(F.col("text")).alias("t")), "row", numbers)
     small = wanted.count() <= SEND_ROWS
-    hits = found.join(F.broadcast(wanted) if small else wanted, "h").select("doc_id", "cls", (F.col("p") - F.col("q")).alias("place")).distinct()
-    hits = materialise(hits, "hits")
-    near = hits.withColumnRenamed("doc_id", "_id")
-    if hits.count() <= SEND_ROWS:
+    hits = found.join(F.broadcast(wanted) if small else wanted, "h").select("row", "cls", (F.col("p") - F.col("q")).alias("place")).distinct()
+    near = materialise(hits, "hits")
+    if near.count() <= SEND_ROWS:
         near = F.broadcast(near)
-    laid = docs.select("doc_id", "text").join(near, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "cls", "place", tokens(F.col("text")).alias("d"))
+    laid = docs.select(_row(docs).alias("row"), "text").join(near, "row").select("row", "cls", "place", tokens(F.col("text")).alias("d"))
     laid = laid.join(items, "cls").withColumn("same", F.expr("transform(t, (x, i) -> if(x = get(d, cast(place + i AS int)), 1, 0))"))
     need = F.expr(f"if(size(t) >= {WINDOW}, {EQUAL}, if(size(t) >= {LEAST}, size(t) - size(t) * {WINDOW - EQUAL} div {WINDOW}, size(t)))")
     best = F.expr(f"array_max(transform(sequence(1, size(t)), i -> aggregate(slice(same, i, {WINDOW}), 0, (a, x) -> a + x)))")
-    kept = laid.where(best >= need).select("doc_id", "place", F.size("t").alias("item_tokens"), F.expr("aggregate(same, 0, (a, x) -> a + x)").alias("equal"), F.explode(F.expr("if(nameless, concat(ids, array(null)), ids)")).alias("item_id"))
-    top = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("equal", (-F.col("place")).alias("back"), "item_tokens")).alias("m"))
+    kept = laid.where(best >= need)
+    return kept.select("row", "place", F.size("t").alias("item_tokens"), F.expr("aggregate(same, 0, (a, x) -> a + x)").alias("equal"), F.explode(F.expr("if(nameless, concat(ids, array(null)), ids)")).alias("item_id"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id, item_id, place (token of the document under the item's first one), equal, item_tokens; a row per pair found, for items of ``least`` tokens (one at least) and more."""
+    top = _pairs(docs, benchmark, least).groupBy("row.doc_id", "item_id").agg(F.max(F.struct("equal", (-F.col("place")).alias("back"), "item_tokens")).alias("m"))
     return top.select("doc_id", "item_id", (-F.col("m.back")).alias("place"), F.col("m.equal").alias("equal"), F.col("m.item_tokens").alias("item_tokens"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs``, all columns, without the rows whose ``doc_id`` is contaminated by an item of any length (null ids stay)."""
-    return docs.join(contaminated(docs, benchmark, 1).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """``docs``, all columns, without the rows that are contaminated by an item of any length, whatever their id; clean rows that share an id with one stay."""
+    bad = _pairs(docs, benchmark, 1).select(F.col("row").alias("_row")).distinct()
+    return docs.join(bad, _row(docs) == F.col("_row"), "left_anti")

@@ -83,11 +83,11 @@ OP3_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
 dt AS (SELECT doc_id, unnest(w) AS tok, unnest(range(len(w))) AS p FROM d),
-bt AS (SELECT item_id, len(w) AS m, unnest(w) AS tok, unnest(range(len(w))) AS q FROM b WHERE len(w) >= 8),
+bt AS (SELECT item_id, len(w) AS m, unnest(w) AS tok, unnest(range(len(w))) AS q FROM b),
 e AS (SELECT doc_id, item_id, m, p - q AS place, q FROM dt JOIN bt USING (tok)),
 n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, place) AS equal,
              count(*) OVER (PARTITION BY doc_id, item_id, place ORDER BY q RANGE BETWEEN CURRENT ROW AND 15 FOLLOWING) AS near FROM e),
-k AS (SELECT DISTINCT doc_id, item_id, place, equal, m FROM n WHERE near >= CASE WHEN m >= 16 THEN 13 ELSE m - m * 3 // 16 END)
+k AS (SELECT DISTINCT doc_id, item_id, place, equal, m FROM n WHERE near >= CASE WHEN m >= 16 THEN 13 WHEN m >= 8 THEN m - m * 3 // 16 ELSE m END)
 SELECT doc_id, item_id, place::INT AS place, equal::INT AS equal, m::INT AS item_tokens FROM k
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY equal DESC, place) = 1
 """
