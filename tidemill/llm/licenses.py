@@ -1,13 +1,14 @@
 """License scans by conditional compression against licence wordings.
 
-The surroundings of every word that speaks of a licence or of copying are candidates.  In them each template is
-laid over every stretch of words that could hold it, whatever lines or prose go before and after.  A stretch is
-confirmed by an exact comparison of wordings: the words of stretch and template are aligned, and the differences
-may be few, and may not touch the words that tell one licence or version from another.  It is then compressed
-alone and with the template as raw zstandard dictionary, which must take away enough of its bytes.  Of stretches
-that overlap the one with the fewest words of its licence's relatives counts, then the one with the fewest
-differences, then the one that loses most bytes; all others that are
-left are reported too, so a text may state several licences.  Identifiers of an SPDX tag are read one by one.
+Words that speak of a licence or of copying start candidate blocks: as many words to either side as the longest
+template with the differences that are allowed, whatever lines or prose they are.  Each block is compressed alone and
+with every template as raw zstandard dictionary; the templates are ranked by the bytes that they take away, and each
+that takes away a share of its own bytes is laid over every stretch of the block that could hold it.  A stretch is
+confirmed by an exact comparison of wordings: the words of stretch and template are aligned, and the differences may be
+few, and may not touch the words that tell one licence or version from another.  It is then compressed itself with the
+template, which must take away enough of its bytes.  Of stretches that overlap the one with the fewest words of its
+licence's relatives counts, then the one that loses most bytes, then the one with the fewest differences; all others that
+are left are reported too, so a text may state several licences.  Identifiers of an SPDX tag are read one by one.
 
 Nulls, ties and repeats: a null or empty text has no blocks; equal shares go to the first template in order;
 rows are read one by one and repeated rows give repeated results; texts are read whole.  An empty table gives
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import difflib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -26,49 +27,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Usual wordings by which texts state their licence, and the words that tell them apart.
-TEMPLATES = (
-    ("Apache-2.0", "licensed under the apache license, version 2.0", ("apache", "2.0")),
-    ("Apache-2.0", "licensed under the apache license, version 2.0 (the \"license\"); you may not use this file except in compliance with the license. you may obtain a copy of the license at http://www.apache.org/licenses/license-2.0", ("apache", "2.0")),
-    ("MIT", "released under the mit license", ("mit",)),
-    ("MIT", "licensed under the mit license", ("mit",)),
-    ("MIT", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"software\"), to deal in the software without restriction", ("permission", "free", "charge", "without", "restriction")),
-    ("BSD-3-Clause", "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution", "source", "binary", "permitted")),
-    ("BSD-3-Clause", "licensed under the bsd 3-clause license", ("bsd",)),
-    ("GPL-3.0", "this work is licensed under the gnu general public license, version 3", ("gnu", "general", "3")),
-    ("GPL-2.0", "this work is licensed under the gnu general public license, version 2", ("gnu", "general", "2")),
-    ("GPL-3.0", "this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version", ("gnu", "general", "3")),
-    ("LGPL-3.0", "this library is licensed under the gnu lesser general public license, version 3", ("gnu", "lesser", "3")),
-    ("AGPL-3.0", "licensed under the gnu affero general public license, version 3", ("gnu", "affero", "3")),
-    ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license, v. 2.0", ("mozilla", "2.0")),
-    ("CC-BY-4.0", "licensed under cc by 4.0", ("cc", "by", "4.0")),
-    ("CC-BY-SA-4.0", "licensed under cc by-sa 4.0", ("cc", "by-sa", "4.0")),
-    ("CC-BY-NC-4.0", "licensed under cc by-nc 4.0", ("cc", "by-nc", "4.0")),
-    ("CC-BY-4.0", "this work is licensed under a creative commons attribution 4.0 international license", ("creative", "commons", "attribution", "4.0")),
-    ("CC0-1.0", "released under the creative commons cc0 1.0 universal public domain dedication", ("cc0",)),
-    ("Proprietary", "copyright. all rights reserved. no part of this work may be reproduced without permission", ("rights", "reserved")),
-)
-#: Identifiers of SPDX tags, by the licence they name.
-SPDX = {
-    "Apache-2.0": ("apache-2.0",), "MIT": ("mit",), "BSD-3-Clause": ("bsd-3-clause",), "MPL-2.0": ("mpl-2.0",), "CC0-1.0": ("cc0-1.0",),
-    "CC-BY-4.0": ("cc-by-4.0",), "CC-BY-SA-4.0": ("cc-by-sa-4.0",), "CC-BY-NC-4.0": ("cc-by-nc-4.0",),
-    "GPL-3.0": ("gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later"), "GPL-2.0": ("gpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later"),
-    "LGPL-3.0": ("lgpl-3.0", "lgpl-3.0-only", "lgpl-3.0-or-later"), "AGPL-3.0": ("agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later"),
-}
-TAG = "spdx-license-identifier: "
-TEMPLATES += tuple((name, TAG + i, (i,)) for name, ids in SPDX.items() for i in ids)
-TRIGGERS = ("licen[cs]e", "copyright", "redistribut", "permission is", "creative commons", "all rights reserved", "public domain", "spdx")
+from tidemill.llm.wordings import SPDX_MORE, TEMPLATES
+
+TRIGGERS = ("licen[cs]e", "copyright", "redistribut", "permission (?:is|to)", "permitted", "creative commons", "rights reserved", "public domain", "spdx")
 
 #: Least share of a stretch's compressed bytes that its template must take away, and most of the words that may differ.
 GAIN, DIFFER = 0.3, 0.34
-#: Code points before and after a trigger word in which its statement is looked for; no template is as long as either.
-BACK, REACH = 400, 1200
+#: Least share of a template's own compressed bytes that it must take away from a block to be laid over it.
+TAKEN = 0.15
 
 _trigger = re.compile("|".join(TRIGGERS), re.I)
 _word = re.compile(r"[a-z0-9][a-z0-9.\-]*[a-z0-9]|[a-z0-9]")
 _tag = re.compile(r"spdx-license-identifier:[ \t]*([a-z0-9.+\- \t()]+)", re.I | re.A)
 _LOWER = {c: c + 32 for c in range(65, 91)}
-_spdx = {i: next(k for k, t in enumerate(TEMPLATES) if t[1] == TAG + i) for ids in SPDX.values() for i in ids}
+_spdx = {name.lower(): name for name in [*SPDX_MORE, *(t[0] for t in TEMPLATES)]}
+TAG = "spdx-license-identifier: "
 
 
 def _marks(words: list[str]) -> dict[str, int]:
@@ -79,37 +52,49 @@ def _marks(words: list[str]) -> dict[str, int]:
     return out
 
 
-#: Per template laid over texts: its number, how many words it has, their places, and the words that must be kept.
-_laid = [(i, len(w), _marks(w), frozenset(t[2])) for i, t in enumerate(TEMPLATES) if not t[1].startswith(TAG) for w in [_word.findall(t[1])]]
+#: Per template: its number, how many words it has, their places, its pairs of successive words, and the words that must be kept.
+_laid = [(i, len(w), _marks(w), frozenset(zip(w, w[1:])), frozenset(t[2])) for i, t in enumerate(TEMPLATES) for w in [_word.findall(t[1])]]
+#: Words to either side of a trigger that its statement may reach over.
+REACH = int(max(size for _, size, *_ in _laid) / (1 - DIFFER)) + 1
 #: Per template the words, not its own, that tell a licence of the same family: GPL from LGPL, say.
 _foreign = [{w for name, _, told in TEMPLATES if name != n and set(told) & set(telling) for w in told} - set(_word.findall(t)) for n, t, telling in TEMPLATES]
 
 
 @lru_cache(None)
 def _compressors():
-    make = lambda d: zstandard.ZstdCompressor(level=19, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return make(None), [make(zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t, _ in TEMPLATES]
+    def make(wording: str | None):
+        d = None if wording is None else zstandard.ZstdCompressionDict(wording.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        if d:
+            d.precompute_compress(level=9)
+        return zstandard.ZstdCompressor(level=9, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    plain = make(None)
+    return plain, [make(t) for _, t, _ in TEMPLATES], [len(plain.compress(t.encode())) for _, t, _ in TEMPLATES]
 
 
-def regions(text: str):
-    """(start, end) of the surroundings of trigger words, joined where they overlap; whole words."""
+def regions(words: list[tuple[int, int]], text: str):
+    """(first, after last) of the words around trigger words, joined where they overlap."""
+    starts = [s for s, _ in words]
     start = end = -1
     for m in _trigger.finditer(text):
-        if end < 0 or m.start() - BACK > end:
-            if end >= 0:
-                yield start, end
-            start = max(0, m.start() - BACK)
-        end = min(len(text), m.end() + REACH)
-    if end >= 0:
+        low, high = max(0, bisect_right(starts, m.start()) - 1 - REACH), min(len(words), bisect_left(starts, m.end()) + REACH)
+        if start >= 0 and low <= end:
+            end = high
+            continue
+        if start >= 0:
+            yield start, end
+        start, end = low, high
+    if start >= 0:
         yield start, end
 
 
-def ranked(block: str) -> list[tuple[float, int]]:
-    """(share of bytes taken away, template number), the largest first."""
+def ranked(block: str) -> list[tuple[int, int]]:
+    """(bytes taken away from ``block``, template number), the most first; those that take away too few of their own are left out."""
     data = block.lower().encode("utf-8", "surrogatepass")
-    plain, primed = _compressors()
+    plain, primed, own = _compressors()
     alone = len(plain.compress(data))
-    return sorted((((alone - len(c.compress(data))) / alone, -i) for i, c in enumerate(primed)), reverse=True)
+    taken = ((alone - len(c.compress(data)), i) for i, c in enumerate(primed))
+    return sorted(((n, i) for n, i in taken if n >= TAKEN * own[i]), key=lambda x: (-x[0], x[1]))
 
 
 def differences(block: str, number: int) -> tuple[float, float, bool]:
@@ -125,25 +110,28 @@ def differences(block: str, number: int) -> tuple[float, float, bool]:
     return 1 - hit / len(a), 1 - hit / span, all(w in kept for w in telling)
 
 
-def gain_of(stretch: str, number: int) -> float:
-    """Share of the stretch's compressed bytes that a template takes away."""
+def gain_of(stretch: str, number: int) -> tuple[int, float]:
+    """(bytes, share) of the compressed stretch that a template takes away."""
     data = stretch.lower().encode("utf-8", "surrogatepass")
-    plain, primed = _compressors()
+    plain, primed, _ = _compressors()
     alone = len(plain.compress(data))
-    return (alone - len(primed[number].compress(data))) / alone
+    taken = alone - len(primed[number].compress(data))
+    return taken, taken / alone
 
 
-def stretches(words: list[str], size: int, marks: dict[str, int], telling: frozenset[str]):
+def stretches(words: list[str], size: int, marks: dict[str, int], pairs: frozenset[tuple[str, str]], telling: frozenset[str]):
     """(first, after last, differences) of the best stretch of ``words`` from each start that may hold a template of ``size`` words.
 
-    The words in common are those of a longest common subsequence, kept as the zero bits of one integer.
+    A start is a word of the template followed by its next one there, or a telling word.  The words in common are those
+    of a longest common subsequence, kept as the zero bits of one integer.
     """
     full = (1 << size) - 1
     # words that are too far from any of the telling ones cannot belong to a stretch
     reach = int(size / (1 - DIFFER)) + 1
     heads = [k for k, w in enumerate(words) if w in telling]
+    whole = 0
     for i, first in enumerate(words):
-        if first not in marks:
+        if i < whole or not (first in telling or (first, words[i + 1] if i + 1 < len(words) else "") in pairs):
             continue
         near = bisect_left(heads, i)
         if near == len(heads) or heads[near] >= i + reach:
@@ -160,47 +148,63 @@ def stretches(words: list[str], size: int, marks: dict[str, int], telling: froze
             missing, extra = 1 - same / size, 1 - same / (j + 1 - i)
             if missing <= DIFFER and extra <= DIFFER and (best is None or missing + extra < best[0]):
                 best = (missing + extra, j + 1)
+                if same == size:
+                    break
         if best:
             yield i, best[1], best[0]
+            if best[0] == 0:
+                whole = best[1]
 
 
 def statements(text: str | None) -> list[dict]:
     """Confirmed licence statements of a text: start, end, license, gain, missing, extra; by start."""
     text = text or ""
+    # lower-casing by code point keeps places; the words are of ASCII letters alone
+    low = text.translate(_LOWER)
+    at = [m.span() for m in _word.finditer(low)]
     found = []
-    for start, end in regions(text):
-        # lower-casing by code point keeps places; the words are of ASCII letters alone
-        at = [(m.start() + start, m.end() + start) for m in _word.finditer(text[start:end].translate(_LOWER))]
-        words = [text[s:e].translate(_LOWER) for s, e in at]
+    for first, last in regions(at, text):
+        words = [low[s:e] for s, e in at[first:last]]
         has = set(words)
         likely = []
-        for number, size, marks, telling in _laid:
+        for _, number in ranked(low[at[first][0] : at[last - 1][1]]) if words else []:
+            _, size, marks, pairs, telling = _laid[number]
             if not telling <= has:
                 continue
             taken: list[tuple[int, int]] = []
-            for i, j, _ in sorted(stretches(words, size, marks, telling), key=lambda x: (x[2], x[0])):
+            for i, j, _ in sorted(stretches(words, size, marks, pairs, telling), key=lambda x: (x[2], x[0])):
                 if any(i < b and a < j for a, b in taken):
                     continue
-                s, e = at[i][0], at[j - 1][1]
-                missing, extra, told = differences(text[s:e], number)
+                s, e = at[first + i][0], at[first + j - 1][1]
+                missing, extra, told = differences(low[s:e], number)
                 if told and missing <= DIFFER and extra <= DIFFER:
                     taken.append((i, j))
-                    gain = gain_of(text[s:e], number)
+                    less, gain = gain_of(low[s:e], number)
                     if gain >= GAIN:
-                        likely.append((len(_foreign[number].intersection(words[i:j])), missing + extra, -gain, number, s, e, missing, extra))
-        for m in _tag.finditer(text, start, end):
-            for w in re.finditer(r"[a-z0-9.+\-]+", m[1], re.I | re.A):
-                number = _spdx.get(re.sub(r"\+$", "-or-later", w[0].translate(_LOWER)), _spdx.get(w[0].translate(_LOWER)))
-                if number is not None:
-                    likely.append((0, 0.0, -gain_of(TAG + w[0], number), number, m.start() if w.start() == 0 else m.start(1) + w.start(), m.start(1) + w.end(), 0.0, 0.0))
+                        likely.append((len(_foreign[number].intersection(words[i:j])), -less, missing + extra, number, TEMPLATES[number][0], s, e, gain, missing, extra))
         done: list[tuple[int, int]] = []
-        for _, _, minus, number, s, e, missing, extra in sorted(likely):
+        for *_, name, s, e, gain, missing, extra in sorted(likely):
             if all(e <= a or b <= s for a, b in done):
                 done.append((s, e))
-                found.append({"start": s, "end": e, "license": TEMPLATES[number][0], "gain": round(-minus, 4), "missing": round(missing, 4), "extra": round(extra, 4)})
+                found.append({"start": s, "end": e, "license": name, "gain": round(gain, 4), "missing": round(missing, 4), "extra": round(extra, 4)})
+    for m in _tag.finditer(text):
+        for w in re.finditer(r"[a-z0-9.+\-]+", m[1], re.I | re.A):
+            name = _spdx.get(re.sub(r"\+$", "-or-later", w[0].translate(_LOWER)), _spdx.get(w[0].translate(_LOWER).removesuffix("+")))
+            if name is not None:
+                s, e = m.start() if w.start() == 0 else m.start(1) + w.start(), m.start(1) + w.end()
+                found.append({"start": s, "end": e, "license": name, "gain": round(_named(TAG + w[0]), 4), "missing": 0.0, "extra": 0.0})
     return sorted(found, key=lambda f: (f["start"], f["end"], f["license"]))
 
 
+@lru_cache(1000)
+def _named(tag: str) -> float:
+    """Share of a tag's compressed bytes that its own wording takes away."""
+    data = tag.lower().encode()
+    plain = zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False)
+    primed = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+    return 1 - len(primed.compress(data)) / len(plain.compress(data))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, start, end (code points), license, gain, missing, extra: a row per confirmed statement in ``docs``."""
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
