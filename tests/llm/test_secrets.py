@@ -99,3 +99,21 @@ def test_compressor_decides_without_digits():
 
 def test_a_secret_that_stands_twice():
     assert novel(f"credential {KEY}\ncredential again {KEY}") == [KEY, KEY]
+
+
+def test_sensitive_words_of_a_long_line():
+    prose = "words of an ordinary text " * 400
+    for t in (f"credential {prose}{KEY}", f"{KEY} {prose}credential", f"session={KEY}", f"user:{KEY};pwd"):
+        assert novel(t) == [KEY], t[:40]
+    assert novel(f"{prose}{KEY}\n{prose}\n{prose}credential") == []
+    assert novel("credential of one@some.longer-host.example.org") == []
+
+
+def test_recall_of_planted_secrets():
+    """Random strings at any distance from their word; what is found of them, by length."""
+    rng = random.Random(9)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for n, least in ((20, 0.75), (24, 0.85), (32, 0.95), (40, 0.95)):
+        keys = ["".join(rng.choices(alphabet, k=n)) for _ in range(120)]
+        found = sum(novel(f"Some prose before.\nauthorization {'of a kind ' * rng.randint(0, 60)}{k} and after") == [k] for k in keys)
+        assert found >= least * len(keys), (n, found)

@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and strings that a primed zstandard compressor finds novel in a sensitive context.
 
-The patterns give the base spans.  Beside them, every long string with a sensitive word near it, on its line or
-the lines before and after, is a candidate, and so is the body of every PEM private key.  A compressor primed with
+The patterns give the base spans.  Beside them, every long string with a sensitive word anywhere on its line or on
+the nearest lines with text before and after, however long these are, is a candidate, and so is the body of every PEM
+private key; the host of a mail address is none.  A compressor primed with
 a dictionary of identifiers and code words compresses the text around the candidate with and without it; the
 difference is what the candidate adds.  Names, paths and words that the dictionary or the surroundings hold add a
 few bytes, random strings add nearly what their alphabet needs, and those are reported as kind ``novel``.  Copies
@@ -17,6 +18,8 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pandas as pd
 import zstandard
@@ -58,34 +61,56 @@ IDENTIFIERS = (
 #: A candidate is novel if it adds at least this share of its length to the compressed bytes, or
 #: the share ALIKE of what so many random strings of its alphabet add on average.
 NOVEL, ALIKE, RANDOM = 0.7, 0.85, 3
-#: Code points of text around a candidate that it is compressed with, and in which a sensitive word counts.
+#: Code points of text to either side of a candidate that it is compressed with.
 AROUND = 256
 
 _base = (("assign", re.compile(ASSIGN, re.I | re.A), 2, ASSIGN_LEAST), ("access", re.compile(ACCESS), 0, ACCESS_LEAST), ("hex", re.compile(HEX[:-1] + f"{{{HEX_LEAST},}}"), 0, HEX_LEAST))
-_candidate = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
+_candidate = re.compile(r"(?<!@)(?<![A-Za-z0-9+/_.~-])[A-Za-z0-9+/_.~-]{16,}={0,2}")
+_line = re.compile(r"[^\n]*[^\s][^\n]*")
 _pem = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(.{16,}?)(?=-----END |\Z)", re.S)
 _classes = (string.ascii_lowercase, string.ascii_uppercase, string.digits)
 _sensitive = re.compile("|".join(SENSITIVE), re.I | re.A)
 _squeeze = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
 
 
-def novelty(text: str, start: int, end: int) -> tuple[float, float]:
-    """Bytes that text[start:end] adds to its compressed surroundings, by its length and by what random strings of its length and alphabet add."""
-    low, own = max(0, start - AROUND), text[start:end]
-    before, after = text[low:start], text[end : end + AROUND]
-    if own in before or own in after:
-        copies = [low + m.start() for m in re.finditer(re.escape(own), text[low : end + AROUND]) if low + m.start() != start]
-        if sum(not _near(text, at, at + len(own)) for at in copies) < 2:
-            before, after = before.replace(own, ""), after.replace(own, "")
-    size = lambda s: len(_squeeze.compress((before + after + s).encode("utf-8", "surrogatepass")))
-    alone = size("")
-    usual = sum(size(x) for x in _random(own)) / RANDOM - alone
-    return (size(own) - alone) / len(own), (size(own) - alone) / max(usual, 1)
-
-
-def _novel(text: str, start: int, end: int) -> bool:
-    by_length, by_random = novelty(text, start, end)
-    return by_length >= NOVEL or by_random >= ALIKE
+class Context:
+    """The lines with text of a text, and the sensitive words in it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.lines = [m.span() for m in _line.finditer(text)]
+        self.starts = [s for s, _ in self.lines]
+        self.words = [m.span() for m in _sensitive.finditer(text)]
+        self.word_starts = [s for s, _ in self.words]
+
+    def near(self, start: int, end: int) -> bool:
+        """Whether a sensitive word stands on a line of text[start:end], beside it, or on the nearest lines with text before or after."""
+        first, last = bisect_right(self.starts, start) - 1, bisect_right(self.starts, max(start, end - 1)) - 1
+        low, high = self.lines[max(first - 1, 0)][0], self.lines[min(last + 1, len(self.lines) - 1)][1]
+        for k in range(bisect_left(self.word_starts, low), len(self.words)):
+            s, e = self.words[k]
+            if s >= high:
+                return False
+            if (e <= start or s >= end) and e <= high:
+                return True
+        return False
+
+    def novelty(self, start: int, end: int) -> tuple[float, float]:
+        """Bytes that text[start:end] adds to its compressed surroundings, by its length and by what random strings of its length and alphabet add."""
+        low, own = max(0, start - AROUND), self.text[start:end]
+        before, after = self.text[low:start], self.text[end : end + AROUND]
+        if own in before or own in after:
+            copies = [low + m.start() for m in re.finditer(re.escape(own), self.text[low : end + AROUND]) if low + m.start() != start]
+            if sum(not self.near(at, at + len(own)) for at in copies) < 2:
+                before, after = before.replace(own, ""), after.replace(own, "")
+        size = lambda s: len(_squeeze.compress((before + after + s).encode("utf-8", "surrogatepass")))
+        alone = size("")
+        usual = sum(size(x) for x in _random(own)) / RANDOM - alone
+        return (size(own) - alone) / len(own), (size(own) - alone) / max(usual, 1)
+
+    def novel(self, start: int, end: int) -> bool:
+        by_length, by_random = self.novelty(start, end)
+        return by_length >= NOVEL or by_random >= ALIKE
 
 
 def _random(own: str) -> list[str]:
@@ -96,33 +121,28 @@ def _random(own: str) -> list[str]:
     return ["".join(draw.choices(alphabet, k=len(own))) for _ in range(RANDOM)]
 
 
-def _near(text: str, start: int, end: int) -> bool:
-    """Whether a sensitive word stands on the line of text[start:end], beside it, or on the nearest lines with text before or after."""
-    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-    first = before.rfind("\n", 0, len(before[: before.rfind("\n") + 1].rstrip())) + 1
-    last = after.find("\n")
-    if last >= 0:
-        last = after.find("\n", len(after) - len(after[last:].lstrip()))
-    return bool(_sensitive.search(before, first) or _sensitive.search(after if last < 0 else after[:last]))
-
-
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of a text as (kind, start, end), by start and then kind."""
     if not text:
         return []
     found = [(kind, m.start(), m.end()) for kind, pattern, group, least in _base for m in pattern.finditer(text) if len(m[group]) >= least]
     base = [(s, e) for _, s, e in found]
+    context = Context(text) if _sensitive.search(text) else None
+    if context is None:
+        return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     bodies = [m.span(1) for m in _pem.finditer(text)]
     for s, e in bodies:
         s, e = e - len(text[s:e].lstrip()), s + len(text[s:e].rstrip())
-        if s < e and _novel(text, s, e):
+        if s < e and context.novel(s, e):
             found.append(("novel", s, e))
             base.append((s, e))
+    begins, ends = [s for s, _ in sorted(base)], list(accumulate((e for _, e in sorted(base)), max))
     for m in _candidate.finditer(text):
         s, e = m.span()
-        if any(s < b and a < e for a, b in base):
+        k = bisect_right(begins, s)
+        if k and ends[k - 1] > s or k < len(begins) and begins[k] < e:
             continue
-        if _near(text, s, e) and _novel(text, s, e):
+        if context.near(s, e) and context.novel(s, e):
             found.append(("novel", s, e))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
