@@ -8,8 +8,8 @@ come in order of their start and then of length, and a character that is no piec
 less ten and is spelled in bytes.
 
 Words are pre-split as the tokenizer does: blanks become the word mark, a mark is put in front, and each mark
-starts a word.  A worker counts each distinct word once and remembers a bounded number of them; what it has
-forgotten is counted again.
+starts a word.  A worker counts each distinct word once and remembers short ones up to a bounded number of
+characters; what it has forgotten is counted again.  A word of any length costs 16 bytes a character while it is counted.
 
 Nulls, ties and repeats: a null or empty text has no tokens; rows are counted one by one; texts are counted
 whole.  An empty table gives an empty result.
@@ -18,6 +18,7 @@ whole.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import ahocorasick
 import pyarrow as pa
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Distinct words that a worker remembers (about 120 bytes each) before it starts again.
-REMEMBER = 1_000_000
+#: Characters of distinct words, and 64 for each word, that a worker remembers before it starts again (at most four bytes each), and the longest such word.
+REMEMBER, LONGEST = 32 << 20, 256
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -47,28 +48,27 @@ class Counter:
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def word(self, word: str) -> int:
         """Pieces of one word, mark included."""
-        starts: list[list] = [[] for _ in word]
-        for last, (n, score) in self.automaton.iter(word):
-            starts[last - n + 1].append((n, score))
-        best: list = [None] * (len(word) + 1)
-        best[0] = (0.0, 0)
-        for i, matches in enumerate(starts):
-            if best[i] is None:
-                continue
-            so_far, count = best[i]
-            matches.sort()
-            for n, score in matches:
-                old = best[i + n]
-                if old is None or so_far + score > old[0]:
-                    best[i + n] = (so_far + score, count + 1)
-            if not matches or matches[0][0] > 1:
-                old = best[i + 1]
-                if old is None or so_far + self.unknown > old[0]:
-                    best[i + 1] = (so_far + self.unknown, count + len(word[i].encode("utf-8", "surrogatepass")))
-        return best[-1][1]
+        # matches come by their end, and for one end from the earliest start on: the order in which the tokenizer tries them
+        best, count = array("d", [0.0]), array("q", [0])
+        matches = self.automaton.iter(word)
+        last, found = next(matches, (len(word), None))
+        for i, char in enumerate(word):
+            score, pieces, single = None, 0, False
+            while last == i:
+                n, own = found
+                single |= n == 1
+                if score is None or best[i + 1 - n] + own > score:
+                    score, pieces = best[i + 1 - n] + own, count[i + 1 - n] + 1
+                last, found = next(matches, (len(word), None))
+            if not single and (score is None or best[i] + self.unknown > score):
+                score, pieces = best[i] + self.unknown, count[i] + len(char.encode("utf-8", "surrogatepass"))
+            best.append(score)
+            count.append(pieces)
+        return count[-1]
 
     def text(self, text: str | None) -> int:
         """Pieces of a whole text."""
@@ -79,9 +79,13 @@ class Counter:
         for part in (parts if parts[0] == MARK else MARK + parts).split(MARK)[1:]:
             n = known.get(part)
             if n is None:
-                if len(known) >= REMEMBER:
-                    known.clear()
-                n = known[part] = self.word(MARK + part)
+                n = self.word(MARK + part)
+                if len(part) <= LONGEST:
+                    if self.held > REMEMBER:
+                        known.clear()
+                        self.held = 0
+                    known[part] = n
+                    self.held += len(part) + 64
             total += n
         return total
 
