@@ -32,6 +32,8 @@ FEATURES = ("chars", "words", "word_length", "word_spread", "short", "long", "up
 POOL, RIDGE = 0.1, 0.02
 #: Standardised statistics are held within so many deviations.
 WITHIN = 6.0
+#: Most labelled ids that are sent to every executor (at most 40 MB).
+SEND_ROWS = 500_000
 #: A text of so many words has half the weight of its own statistics; the rest is the corpus mean.
 HALF_WORDS = 6.0
 
@@ -145,10 +147,14 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(good - bad, -30, 30)))
 
 
+def _labelled(labels: DataFrame, train: Column) -> DataFrame:
+    """doc_id and y of the labels that may be learned from."""
+    return labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("_y")).where("y = _y").select("doc_id", F.col("y").cast("int").alias("y"))
+
+
 def fit(table: DataFrame, labels: DataFrame, train: Column) -> Discriminant:
     """Learn from the rows of ``table`` (doc_id, x) that ``train`` picks and ``labels`` (doc_id, quality) names."""
-    y = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("_y")).where("y = _y").select("doc_id", F.col("y").cast("int").alias("y"))
-    return Discriminant(_moments(table.join(y, "doc_id")))
+    return Discriminant(_moments(table.join(_labelled(labels, train), "doc_id")))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -167,8 +173,16 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs``, all columns, without the rows that score under ``least``."""
-    model = fit(materialise(features(docs), "statistics"), labels, ~held_out(F.col("doc_id")))
+    """``docs``, all columns, without the rows that score under ``least``.
+
+    Only labelled texts are read for the model, if their ids are few enough to be sent to every executor.
+    """
+    train = ~held_out(F.col("doc_id"))
+    known = materialise(_labelled(labels, train).select("doc_id"), "labelled")
+    learn = docs.select("doc_id", "text")
+    if known.count() <= SEND_ROWS:
+        learn = learn.join(F.broadcast(known), "doc_id", "left_semi")
+    model = fit(features(learn), labels, train)
 
     @F.pandas_udf("double")
     def judge(texts: pd.Series) -> pd.Series:
