@@ -80,3 +80,12 @@ def test_cycles_are_settled(spark):
     bad = 1 / (1 - d * d / 2)
     want = {"bad.org": bad, "a.net": d * bad, "c.net": d * d * bad / 2}
     assert all(abs(got[h] - want[h]) < 2e-9 for h in want), (got, want)
+
+
+def test_long_lists_of_rules_are_joined(spark, monkeypatch):
+    rules = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "a.example.com/en/7"), ("allow", "net/"), ("block", "net/"), ("block", "org/x"), ("allow", "x.org/")]
+    urls = spark.createDataFrame([(h, p, 1) for h in ("", "com", "example.com", "a.example.com", "b.a.example.com", "x.org", "y.x.org", "net", "acom") for p in ("", "/", "/en/", "/en/71", "/x")] * 2, "host string, path string, suffix int")
+    few = sorted((tuple(r) for r in urlgraph.with_rules(urls, rules).collect()), key=repr)
+    monkeypatch.setattr(urlgraph, "FEW_RULES", 0)
+    assert sorted((tuple(r) for r in urlgraph.with_rules(urls.drop("suffix").withColumn("n", F.lit(1)), rules).collect()), key=repr) == few
+    assert any(r[3] for r in few)

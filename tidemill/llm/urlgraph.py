@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from tidemill.scratch import materialise
 
+#: Most rules that are tried one after another; more are joined.
+FEW_RULES = 64
 #: Target hosts of absolute links.
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 #: Ranks are settled when all later rounds together can move no host by SETTLED.  STEPS is the number of rounds that the SQL unrolls.
@@ -37,24 +39,41 @@ def _lower(c: Column) -> Column:
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of an url, as far as they can be read; empty without ``://``."""
-    rest = F.expr("substring(url, locate('://', url) + 3)")
+    rest = F.substr(url, F.locate("://", url) + 3)
     has = F.coalesce(F.locate("://", url) > 0, F.lit(False))
     host = _lower(F.regexp_extract(rest, r"^[^/?#]*", 0))
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return F.when(has, host).otherwise(""), F.when(has, path).otherwise("")
 
 
+def _in_order(rules: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
+    return sorted(rules, key=lambda r: (-len(r[1]), -len(r[1].partition("/")[0]), r[1]))
+
+
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
     """(rule, its verdict) of the longest of ``rules`` (verdict, rule string) that fits; null where none does."""
-    order = sorted(rules, key=lambda r: (-len(r[1]), -len(r[1].partition("/")[0]), r[1]))
     rule = verdict = F.lit(None).cast("string")
-    for said, text in reversed(order):
+    for said, text in reversed(_in_order(rules)):
         name, slash, rest = text.partition("/")
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest) & (host != "")
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(said)).otherwise(verdict)
     return rule, verdict
 
 
+def with_rules(urls: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """``urls`` (host, path, …) with rule and said, as :func:`rule_for`; a long list is joined to the host and its parent domains."""
+    if len(rules) <= FEW_RULES:
+        rule, said = rule_for(F.col("host"), F.col("path"), rules)
+        return urls.withColumn("rule", rule).withColumn("said", said)
+    listed = [(k, text.partition("/")[0], "".join(text.partition("/")[1:]), text, said) for k, (said, text) in enumerate(_in_order(rules))]
+    table = materialise(urls.sparkSession.createDataFrame(listed, "place long, suffix string, start string, rule string, said string"), "rules")
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    parts = urls.where("host <> ''").select("host", "path").distinct().withColumn("suffix", F.explode(suffixes))
+    first = parts.join(table, "suffix").where(F.startswith("path", "start")).groupBy("host", "path").agg(F.min(F.struct("place", "rule", "said")).alias("m"))
+    return urls.join(first.select("host", "path", "m.rule", "m.said"), ["host", "path"], "left").select(*urls.columns, "rule", "said")
+
+
 def _spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(kind, host, score): personalised PageRank of each kind over ``edges`` (kind, src, dst, part), restarting from ``seeds`` (kind, host, seed)."""
     rank = seeds.withColumnRenamed("seed", "score")
@@ -78,8 +97,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], threshold: float =
     """page_id, host, path, rule, verdict, and trust and distrust of the host, per row of ``pages`` (page_id, url, html)."""
     host, path = host_and_path(F.col("url"))
     read = pages.select("page_id", host.alias("host"), path.alias("path"), F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)), _lower)).alias("links"))
-    rule, said = rule_for(F.col("host"), F.col("path"), rules)
-    rows = materialise(read.withColumn("rule", rule).withColumn("said", said), "judged")
+    rows = materialise(with_rules(read, rules), "judged")
     per_host = rows.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("said") == "allow").alias("good"), F.count_if(F.col("said") == "block").alias("bad"))
     kinds = F.explode(F.array(F.struct(F.lit("trust").alias("kind"), (F.col("good") / F.col("n")).alias("seed")), F.struct(F.lit("distrust").alias("kind"), (F.col("bad") / F.col("n")).alias("seed"))))
     seeds = materialise(per_host.select("host", kinds.alias("k")).where("k.seed > 0").select("k.kind", "host", "k.seed"), "seeds")
