@@ -5,12 +5,12 @@
    words is cut into blocks of equal length.  Offsets come from a two-level prefix sum (digest range, then rows
    of one range), so a source with a third of all rows is still spread over many tasks.
 3. A golden-ratio sequence of points in [0, 1) is mapped through the cumulative shares of the sources: point n
-   says which source slot n draws from.  The rank of a slot among its source's slots says which block it takes,
+   says which source slot n draws from, so that every stretch of the mix is near its shares.  The rank of a slot among its source's slots says which block it takes,
    going round the stream again once all blocks are used.
 4. Slots join blocks, blocks join the pieces of documents in them.
 
 Nulls, ties and repeats: a null text has size 0, a null source is a source of its own that sorts last, a null
-``doc_id`` hashes as the empty string.  Repeated rows are separate rows of the stream.  Documents of size 0 are
+``doc_id`` hashes as the empty string, beside the text.  Repeated rows are separate rows of the stream.  Documents of size 0 are
 returned with nothing taken.  An empty table gives an empty result.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tidemill.scratch import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: floor(2**32 / golden ratio), made odd: multiples of it modulo 2**32 are the golden-ratio sequence.
-GOLDEN = 2654435769
+#: floor(2**40 / golden ratio), made odd: multiples of it modulo 2**40 are the golden-ratio sequence, which repeats after 2**40 slots.
+GOLDEN_BITS, GOLDEN = 40, 679535556991
 CHUNK = 1 << 16
 
 
@@ -78,10 +78,11 @@ def schedule(sources: DataFrame, block_words: int) -> DataFrame:
     bins = max(1024, n_sources)
     total = F.lit(float(max(slots, 1)))
     n = F.col("slot")
-    # slot * GOLDEN modulo 2**32, in two halves so that no product passes 2**63
-    low = n.bitwiseAND(F.lit(0xFFFF)) * F.lit(GOLDEN)
-    high = F.shiftleft((F.shiftright(n, 16).bitwiseAND(F.lit(0xFFFF)) * F.lit(GOLDEN)).bitwiseAND(F.lit(0xFFFF)), 16)
-    point = (low + high).bitwiseAND(F.lit(0xFFFFFFFF)) / F.lit(float(1 << 32)) * total
+    # slot * GOLDEN modulo 2**40, in two halves so that no product passes 2**63
+    half, all_bits = (1 << GOLDEN_BITS // 2) - 1, (1 << GOLDEN_BITS) - 1
+    low = n.bitwiseAND(F.lit(half)) * F.lit(GOLDEN)
+    high = F.shiftleft((F.shiftright(n, GOLDEN_BITS // 2).bitwiseAND(F.lit(half)) * F.lit(GOLDEN)).bitwiseAND(F.lit(half)), GOLDEN_BITS // 2)
+    point = (low.bitwiseAND(F.lit(all_bits)) + high).bitwiseAND(F.lit(all_bits)) / F.lit(float(1 << GOLDEN_BITS)) * total
     points = spark.range(slots).withColumnRenamed("id", "slot").withColumn("x", point)
     points = points.withColumn("bin", F.floor(F.col("x") / total * bins).cast("long"))
     spans = s.where("need > 0").select("sid", "need", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / total * bins).cast("long"), F.least(F.floor(F.col("hi") / total * bins).cast("long"), F.lit(bins - 1)))).alias("bin"))
@@ -105,19 +106,20 @@ def schedule(sources: DataFrame, block_words: int) -> DataFrame:
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: float = 2.0, block_words: int = 4096, seed: str = "mix") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, slots, sources) of the mix of ``docs`` (doc_id, text, source).
 
-    ``rows``: doc_id, source, size, sid, start, taken; ``slots``: see :func:`schedule`; ``sources``: see
+    ``rows``: doc_id, source, size, sid, start, taken, first_slot (the first slot that takes words of it, null if none does); ``slots``: see :func:`schedule`; ``sources``: see
     :func:`source_targets`.  A reader of the mix takes the slots in order and, for each, words
     [block * block_words, block * block_words + take) of the source's stream.
     """
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
     sizes = materialise(docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), key.alias("key")), "mix-sizes")
     sources = materialise(source_targets(sizes, weights, share, limit), "mix-sources")
     rows = materialise(laid_out(sizes, sources), "mix-rows")
     slots = materialise(schedule(sources, block_words), "mix-slots")
     b = block_words
     pieces = rows.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {b}, (start + size - 1) div {b})")))
-    takes = slots.groupBy("sid", "block", "take").agg(F.count("*").alias("times"))
-    words = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.col("block") * b + F.col("take")) - F.greatest(F.col("start"), F.col("block") * b)) * F.coalesce("times", F.lit(0))
-    drawn = pieces.join(takes, ["sid", "block"], "left").groupBy("sid", "start", "doc_id", "source", "size").agg(F.sum(F.coalesce(words, F.lit(0))).cast("long").alias("taken"))
-    empty = rows.where("size = 0").select("sid", "start", "doc_id", "source", "size", F.lit(0).cast("long").alias("taken"))
+    takes = slots.groupBy("sid", "block", "take").agg(F.count("*").alias("times"), F.min("slot").alias("slot"))
+    overlap = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.col("block") * b + F.col("take")) - F.greatest(F.col("start"), F.col("block") * b))
+    words = overlap * F.coalesce("times", F.lit(0))
+    drawn = pieces.join(takes, ["sid", "block"], "left").groupBy("sid", "start", "doc_id", "source", "size").agg(F.sum(F.coalesce(words, F.lit(0))).cast("long").alias("taken"), F.min(F.when(overlap > 0, F.col("slot"))).alias("first_slot"))
+    empty = rows.where("size = 0").select("sid", "start", "doc_id", "source", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
     return drawn.unionByName(empty), slots, sources

@@ -15,24 +15,38 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_rows(docs: DataFrame) -> DataFrame:
     rows, _, sources = mixing.mix(docs)
-    return rows.join(sources.select("sid", "source_size", "target"), "sid").select("doc_id", "source", "size", "source_size", "target", "taken")
+    return rows.join(sources.select("sid", "source_size", "target"), "sid").select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot")
 
 
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                  md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+                  md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source COLLATE "binary") AS sid FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][((sid - 1) % 3 + 1)::INT]::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 f AS (SELECT *, max(CASE WHEN cap > level * w THEN level END) OVER () AS fill FROM l),
 t AS (SELECT sid, source, source_size, coalesce(least(cap, fill * w), cap) AS target FROM f),
-o AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS want,
+o AS (SELECT d.doc_id, d.source, d.size, sid, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS want,
              coalesce(sum(d.size) OVER (PARTITION BY sid ORDER BY key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT *, (want // source_size) AS rounds, want % source_size AS rest, (source_size + 4095) // 4096 AS blocks
+      FROM (SELECT sid, source_size, floor(target + 0.5)::BIGINT AS want FROM t WHERE source_size > 0)),
+k AS (SELECT *, rounds * blocks + (rest + 4095) // 4096 AS need FROM n),
+q AS MATERIALIZED (SELECT *, sum(need) OVER (ORDER BY sid) AS hi, sum(need) OVER () AS total FROM k),
+p AS (SELECT slot, ((slot::HUGEINT * 679535556991) % 1099511627776)::DOUBLE / 1099511627776.0::DOUBLE * total::DOUBLE AS x
+      FROM (SELECT unnest(range(0, coalesce(max(total), 0)::BIGINT)) AS slot, max(total) AS total FROM q)),
+h AS (SELECT slot, sid, need, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM p JOIN q ON x >= hi - need AND x < hi),
+g AS (SELECT sid, count(*) AS got FROM h GROUP BY sid),
+z AS (SELECT slot, sid, rank FROM h WHERE rank < need
+      UNION ALL SELECT total + hi - need + rank, sid, rank FROM (SELECT *, unnest(range(coalesce(got, 0), need::BIGINT)) AS rank FROM q LEFT JOIN g USING (sid) WHERE coalesce(got, 0) < need)),
+y AS (SELECT slot, sid, rank % blocks AS block, least(4096, CASE WHEN rank // blocks < rounds THEN source_size ELSE rest END - (rank % blocks) * 4096) AS take FROM z JOIN q USING (sid)),
+f1 AS (SELECT o.sid, o.start, min(slot) AS first_slot FROM (SELECT *, unnest(range((start // 4096)::BIGINT, ((start + size - 1) // 4096)::BIGINT + 1)) AS block FROM o WHERE size > 0) o
+       JOIN y ON y.sid = o.sid AND y.block = o.block WHERE greatest(o.start, o.block * 4096) < least(o.start + o.size, o.block * 4096 + take) GROUP BY o.sid, o.start)
 SELECT doc_id, source, size, source_size, target,
-       CASE WHEN size = 0 THEN 0 ELSE (want // source_size) * size + least(size, greatest(0, want % source_size - start)) END::BIGINT AS taken
-FROM o
+       CASE WHEN size = 0 THEN 0 ELSE (want // source_size) * size + least(size, greatest(0, want % source_size - o.start)) END::BIGINT AS taken,
+       CASE WHEN size > 0 THEN first_slot END::BIGINT AS first_slot
+FROM o LEFT JOIN f1 ON f1.sid = o.sid AND f1.start = o.start
 """
 
 
