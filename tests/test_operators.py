@@ -94,6 +94,18 @@ def test_anchored_windows_are_inclusive(spark):
     assert got == [ts(0), ts(0), ts(0), ts(721), ts(721), ts(1442)]
 
 
+def test_anchored_windows_over_many_ranges(spark):
+    rng = random.Random(6)
+    rows = [(k, i, ts(m)) for k in range(4) for i, m in enumerate(sorted(rng.choices(range(9000), k=80)))] + [(None, 0, ts(5)), (None, 1, ts(6))]
+    got = {(r.k, r.i): r.anchor for r in folds.anchored_windows(spark.createDataFrame(rows, "k int, i int, at timestamp"), "k", ["i"], "at", 3600 * 3).collect()}
+    want, last = {}, {}
+    for k, i, at in rows:
+        if k not in last or (at - last[k]).total_seconds() > 3600 * 3:
+            last[k] = at
+        want[k, i] = last[k]
+    assert got == want
+
+
 def test_within_bounds(spark):
     a = spark.createDataFrame([(1, 1, ts(0)), (2, 1, ts(100)), (3, None, ts(0))], "x int, k int, at timestamp")
     b = spark.createDataFrame([(7, 1, ts(60)), (8, 1, ts(161)), (9, None, ts(0))], "y int, k int, bt timestamp")
@@ -154,13 +166,22 @@ def test_clusters_per_component_equal_the_whole(spark):
     titles = [f"{rng.choice(names)} {rng.choice(['beat', 'sign', 'sack'])} {rng.choice(names)} {rng.choice(['Smith', 'Jones', 'Kovac'])} {rng.choice(['deal', 'fee', 'coach'])}" for _ in range(60)]
     rows = [(i, t, rng.choice(["en", "en", "es"]), ts(rng.randint(0, 3000)), rng.choice(["p", "q", None]), rng.choice([None] * 9 + ["x", "y"])) for i, t in enumerate(titles)]
     docs = spark.createDataFrame(rows, "id int, title string, lang string, at timestamp, publisher string, anchor string")
-    policy = cluster.Policy()
+    policy = cluster.Policy(together=1 / 3600)
     pairs = [tuple(r) for r in cluster.scored_pairs(docs, policy).select("a", "b", "sim", "floor", "linked").collect()]
     want = plain_clusters(60, pairs, policy.bond, {r[0]: r[5] for r in rows if r[5]})
     got = {r.id: r.cluster for r in cluster.clusters(docs, policy).collect()}
     assert got == want and len(set(got.values())) < 60
 
 
+def test_copies_of_a_title_are_one_story(spark):
+    rows = [(i, "Arsenal sign Smith deal now", "en", ts(i % 50), "p", None) for i in range(200)] + [(300, "Arsenal sign Smith deal now", "en", ts(55), "q", None), (301, "Nothing of the kind here", "en", ts(55), "q", None)]
+    docs = spark.createDataFrame(rows, "id int, title string, lang string, at timestamp, publisher string, anchor string")
+    assert cluster.scored_pairs(docs).count() == 1
+    got = {r.id: r.cluster for r in cluster.clusters(docs).collect()}
+    assert got == {i: 0 for i in range(200)} | {300: 0, 301: 301}
+    assert cluster.clusters(docs.limit(0)).count() == 0
+
+
 def test_title_features():
     f = cluster.title_features("Man Utd 2-1 Chelseas [PL] win", False, frozenset({"win"}), {"utd": "united"})
     assert f["score:1-2"] == 1 and abs(f["man"] - 2**-0.5) < 1e-12 and f["united"] == f["man"] and f["chelse"] == 1 and "win" not in f and "pl" not in f

@@ -52,6 +52,12 @@ def test_suggest_finds_all_near_names(spark):
         if near and min(near) <= 3:
             want[a] = min(near)
     assert {k: v for k, v in got.items() if len(k) > 3} == want
+    short = ["a", "bc", "cb", "xyz", "abcd", "q", "longer name"]
+    known = spark.createDataFrame([(n,) for n in [*short, ""]], "n string")
+    got = {r.n: (r.distance, r.nearest) for r in readers.suggest(known, "n", known, "n", 3).collect()}
+    for a in short:
+        near = min(((readers.edit_distance(a, b), b) for b in short if a != b), default=None)
+        assert got.get(a) == (near if near[0] <= 3 else None), a
 
 
 def test_partitions_and_no_op_writes(spark, tmp_path):
@@ -77,7 +83,7 @@ def test_streams_equal_batches(spark, tmp_path):
         spark.createDataFrame(rows[2 * i : 2 * i + 2], "k int, at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path))
     stream = spark.readStream.schema("k int, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
     got = {r.k: r["first"] for r in state.first_seen_stream(stream, "k", "at", 3).collect()}
-    assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[3][1]}
+    assert got == {1: rows[0][1], 2: rows[4][1], 3: rows[3][1]}  # 2 had expired when it came back
     root = str(tmp_path / "_state")
     one = state.first_seen_stream(stream.where("k = 1"), "k", "at", 3, root).collect()
     more = datetime.datetime(2025, 12, 31)

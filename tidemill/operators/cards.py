@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators import keywords
-from tidemill.operators.cluster import components
+from tidemill.operators.components import components
 
 
 def source_order(sources: Column, lead: Column) -> Column:
@@ -85,11 +85,10 @@ def name_counts(old: DataFrame, seen: DataFrame, known: DataFrame, at: Column) -
     return both.select("name", (F.coalesce("count", F.lit(0)) + hit.cast("int")).alias("count"), F.coalesce("first", at).alias("first"), F.when(hit, at).otherwise(F.col("last")).alias("last"))
 
 
-def gap_ledger(old: DataFrame, new: DataFrame, healed: DataFrame, keys: Sequence[str], ids: str) -> DataFrame:
-    """Coverage gaps (keys, ids) after a run: old and new ids together, without the healed ones; gaps with none left are gone."""
-    all_ids = old.select(*keys, F.explode(ids).alias("id")).unionByName(new.select(*keys, F.explode(ids).alias("id"))).distinct()
-    left = all_ids.join(healed.select("id"), "id", "left_anti")
-    return left.groupBy(*keys).agg(F.array_sort(F.collect_list("id")).alias(ids))
+def gap_ledger(old: DataFrame, new: DataFrame, healed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Coverage gaps (keys, id; a row per missing id) after a run: old and new ones together, without the healed ids; gaps with none left are gone."""
+    every = old.select(*keys, "id").unionByName(new.select(*keys, "id")).distinct()
+    return every.join(healed.select("id"), "id", "left_anti").select(*keys, "id")
 
 
 def prefer_new(parts: Sequence[str], old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -1,42 +1,112 @@
-"""Ordered folds: state machines over the events of a key, as array aggregates."""
+"""Ordered folds over the events of a key, as aggregations and two-level windows: no key's events are gathered in one row.
+
+A key is cut into time ranges.  What a range hands on is a few values, these are accumulated over a key's ranges, and
+windows run inside a range only.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranks of statuses; the last is the collapse that only the one before it survives.
 RUMOR, NEGOTIATING, AGREED, OFFICIAL, COLLAPSED = range(5)
 
 
-def status_fold(ranks: str) -> str:
-    """SQL that folds an array of ranks: rises to the highest, collapses unless official, revives only above its peak; null for none."""
-    step = f"CASE WHEN n = {COLLAPSED} THEN if(z.s IN ({OFFICIAL}, {COLLAPSED}), z, struct({COLLAPSED} AS s, z.p AS p)) WHEN z.s = {COLLAPSED} THEN if(n > z.p, struct(n AS s, n AS p), z) WHEN n > z.s THEN struct(n AS s, greatest(z.p, n) AS p) ELSE z END"
-    start = f"struct({ranks}[0] AS s, if({ranks}[0] = {COLLAPSED}, -1, {ranks}[0]) AS p)"
-    return f"if(size({ranks}) > 0, aggregate(slice({ranks}, 2, size({ranks})), {start}, (z, n) -> {step}).s, NULL)"
+def _firsts(rank: str, at: Column) -> list[tuple[str, Column]]:
+    """When each rank was first and the collapse last reached, as aggregates."""
+    return [(f"_f{v}", F.min(F.when(F.col(rank) == v, at))) for v in range(COLLAPSED)] + [("_c", F.max(F.when(F.col(rank) == COLLAPSED, at)))]
+
+
+def _peak() -> Column:
+    """The highest rank that has been reached; null for none."""
+    return F.coalesce(*[F.when(F.col(f"_f{v}").isNotNull(), v) for v in reversed(range(COLLAPSED))])
+
+
+def _reached() -> Column:
+    """When the peak was first reached."""
+    return F.coalesce(*[F.col(f"_f{v}") for v in reversed(range(COLLAPSED))])
+
+
+def _status() -> Column:
+    """The peak, or the collapse where that came later and the peak does not survive it.
+
+    A status rises to the highest rank; it collapses unless it is official, and revives only above its peak.  So the
+    peak is the greatest rank so far, and a collapse counts until the peak rises again.
+    """
+    gone = F.col("_c").isNotNull() & (_reached().isNull() | ((_peak() < OFFICIAL) & (F.col("_c") > _reached())))
+    return F.when(gone, COLLAPSED).otherwise(_peak())
 
 
 def status_of(events: DataFrame, key: str, order: Sequence[str], rank: str) -> DataFrame:
-    """Per key the final status, the peak, and the number of events.  A key's events are few; each is a small struct."""
-    lists = events.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, rank))), lambda x: x[rank]).alias("ranks"))
-    return lists.select(key, F.expr(status_fold("ranks")).alias("status"), F.expr(f"array_max(filter(ranks, r -> r <> {COLLAPSED}))").alias("peak"), F.size("ranks").alias("n"))
-
-
-def status_changes(events: DataFrame, key: str, order: Sequence[str], rank: str) -> DataFrame:
-    """Every event with the status after it and whether it changed the state."""
-    lists = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, rank))).alias("l"))
-    lists = lists.withColumn("ranks", F.expr(f"transform(l, x -> x.{rank})"))
-    lists = lists.withColumn("after", F.expr(f"transform(sequence(1, size(ranks)), i -> {status_fold('slice(ranks, 1, i)')})"))
-    out = lists.select(key, F.posexplode(F.arrays_zip("l", "after")).alias("pos", "x"), "after")
-    return out.select(key, *[F.col(f"x.l.{c}").alias(c) for c in order], F.col("x.after").alias("status"), ((F.col("pos") == 0) | F.expr("x.after <> try_element_at(after, pos)")).alias("changed"))
-
-
-def anchored_windows(events: DataFrame, key: str, order: Sequence[str], at: str, seconds: int) -> DataFrame:
-    """Every event with ``anchor``, the first time of its window: a window starts at its first event and takes in what follows it within ``seconds``."""
-    unit = "unix_micros(x.{})".format(at)
-    fold = f"aggregate(l, CAST(array() AS array<bigint>), (z, x) -> concat(z, array(if(size(z) > 0 AND {unit} - element_at(z, -1) <= {seconds}L * 1000000, element_at(z, -1), {unit}))))"
-    lists = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(at, *[c for c in order if c != at]))).alias("l")).withColumn("anchors", F.expr(fold))
-    out = lists.select(key, F.explode(F.arrays_zip("l", "anchors")).alias("x"))
-    return out.select(key, *[F.col(f"x.l.{c}").alias(c) for c in order], F.timestamp_micros("x.anchors").alias("anchor"))
+    """Per key the final status, the peak, and the number of events."""
+    seen = events.groupBy(key).agg(*[c.alias(n) for n, c in _firsts(rank, F.struct(*order))], F.count("*").cast("int").alias("n"))
+    return seen.select(key, _status().alias("status"), _peak().alias("peak"), "n")
+
+
+def _range(df: DataFrame, column: str, span: str, numbers: int = 4096) -> Column:
+    """The range of a time, or of a number, that a row lies in."""
+    timed = df.schema[column].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
+    return F.date_trunc(span, column) if timed else F.floor(F.col(column) / numbers)
+
+
+def status_changes(events: DataFrame, key: str, order: Sequence[str], rank: str, span: str = "month") -> DataFrame:
+    """Every event with the status after it and whether it changed the state; ``order`` starts with a time or number and tells all events of a key apart."""
+    at = F.struct(*order)
+    rows = events.select(key, *order, rank, at.alias("_at"), _range(events, order[0], span).alias("_r"))
+    names = [n for n, _ in _firsts(rank, F.col("_at"))]
+    before = Window.partitionBy(key).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = rows.groupBy(key, "_r").agg(*[c.alias(n) for n, c in _firsts(rank, F.col("_at"))])
+    so_far = per_range.select(F.col(key).alias("_k"), F.col("_r").alias("_q"), *[(F.max if n == "_c" else F.min)(n).over(before).alias(f"{n}b") for n in names])
+    inside = Window.partitionBy(key, "_r").orderBy(*order)
+    rows = rows.select("*", *[c.over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n, c in _firsts(rank, F.col("_at"))], F.max(F.when(F.col(rank) == COLLAPSED, F.col("_at"))).over(inside.rowsBetween(Window.unboundedPreceding, -1)).alias("_p"))
+    rows = rows.join(so_far, F.col(key).eqNullSafe(F.col("_k")) & F.col("_r").eqNullSafe(F.col("_q")))
+    rows = rows.select(key, *order, rank, "_at", *[(F.greatest if n == "_c" else F.least)(n, f"{n}b").alias(n) for n in names], F.greatest("_p", "_cb").alias("_p"))
+    falls = (F.col(rank) == COLLAPSED) & F.coalesce(_peak() < OFFICIAL, F.lit(True)) & F.coalesce(F.when(_reached().isNull(), F.col("_p").isNull()).otherwise(F.col("_p") <= _reached()), F.lit(True))
+    rises = (F.col(rank) != COLLAPSED) & (_reached() == F.col("_at"))
+    return rows.select(key, *order, _status().alias("status"), F.coalesce(rises | falls, F.lit(False)).alias("changed"))
+
+
+def _sessions(rows: DataFrame, key: str, order: Sequence[str], at: str, seconds: int, span: str) -> DataFrame:
+    """``rows`` with _s, the time at which their run of events without a gap of more than ``seconds`` began."""
+    rows = rows.withColumn("_u", F.unix_micros(at)).withColumn("_r", F.date_trunc(span, at))
+    key_and_range = lambda df: df.select(F.col(key).alias("_k"), F.col("_r").alias("_q"), "_b")
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col("_r").eqNullSafe(F.col("_q"))
+    before = Window.partitionBy(key).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, "_r").orderBy(at, *order)
+    last = rows.groupBy(key, "_r").agg(F.max("_u").alias("_m")).withColumn("_b", F.max("_m").over(before))
+    rows = rows.withColumn("_l", F.lag("_u").over(inside)).join(key_and_range(last), same).withColumn("_l", F.coalesce("_l", "_b")).drop("_k", "_q", "_b")
+    rows = rows.withColumn("_o", F.when(F.col("_l").isNull() | (F.col("_u") - F.col("_l") > F.lit(seconds * 1_000_000)), F.col("_u")))
+    opened = rows.groupBy(key, "_r").agg(F.max("_o").alias("_m")).withColumn("_b", F.max("_m").over(before))
+    rows = rows.withColumn("_s", F.max("_o").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(key_and_range(opened), same)
+    return rows.withColumn("_s", F.coalesce("_s", "_b")).drop("_k", "_q", "_b", "_l", "_o", "_r")
+
+
+def anchored_windows(events: DataFrame, key: str, order: Sequence[str], at: str, seconds: int, span: str = "day") -> DataFrame:
+    """Every event with ``anchor``, the first time of its window: a window starts at its first event and takes in what follows it within ``seconds``.
+
+    A gap of more than ``seconds`` always starts a window, so windows are chained only inside runs without such a gap,
+    and there over the distinct times, a window and not an event at a time.
+    """
+    columns = list(dict.fromkeys([at, *order]))
+    rows = _sessions(events.select(key, *columns), key, [c for c in order if c != at], at, seconds, span)
+    kind = rows.schema[key].dataType.simpleString()
+    width = seconds * 1_000_000
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(pdf["_u"].to_numpy())
+        anchor, at_ = np.empty(len(times), np.int64), 0
+        while at_ < len(times):
+            end = np.searchsorted(times, times[at_] + width, side="right")
+            anchor[at_:end] = times[at_]
+            at_ = end
+        return pd.DataFrame({"_key": pdf[key], "_time": times, "_a": anchor})
+
+    times = rows.select(key, "_s", "_u").distinct()
+    chained = times.groupBy(key, "_s").applyInPandas(chain, f"_key {kind}, _time long, _a long")
+    out = rows.join(chained, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_u") == F.col("_time")))
+    return out.select(key, *order, F.timestamp_micros("_a").alias("anchor"))

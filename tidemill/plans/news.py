@@ -227,10 +227,10 @@ WITH o AS (SELECT o_orderpriority AS reason, o_orderkey AS id FROM orders WHERE
 l AS (SELECT * FROM o WHERE id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) SELECT reason, count(*) AS n, min(id) AS first, max(id) AS last FROM l GROUP BY 1
 """)
 def gap_ledger(spark, sf_dir):
-    o = orders(spark, sf_dir).select(F.col("o_orderpriority").alias("reason"), F.array("o_orderkey").alias("ids"), "o_orderstatus", "o_totalprice")
+    o = orders(spark, sf_dir).select(F.col("o_orderpriority").alias("reason"), F.col("o_orderkey").alias("id"), "o_orderstatus", "o_totalprice")
     healed = lines(spark, sf_dir).where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")).distinct()
-    out = cards.gap_ledger(o.where("o_orderstatus = 'P'"), o.where("o_orderstatus = 'F' AND o_totalprice > 300000"), healed, ["reason"], "ids")
-    return out.select("reason", F.size("ids").cast("long").alias("n"), F.col("ids")[0].alias("first"), F.element_at("ids", -1).alias("last"))
+    out = cards.gap_ledger(o.where("o_orderstatus = 'P'"), o.where("o_orderstatus = 'F' AND o_totalprice > 300000"), healed, ["reason"])
+    return out.groupBy("reason").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
 @query("""

@@ -72,11 +72,11 @@ def tag_scan(spark, sf_dir):
 
 
 @query("""
-SELECT page_id, substr(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 1, 500) AS summary FROM pages
+SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS body FROM pages
 """)
 def strip_tags(spark, sf_dir):
     body = text.squeeze(F.regexp_replace("html", r"<[^>]*>", " "))
-    return table(spark, sf_dir, "pages").select("page_id", F.left(body, F.lit(500)).alias("summary"))
+    return table(spark, sf_dir, "pages").select("page_id", body.alias("body"))
 
 
 @query()
@@ -104,13 +104,17 @@ def initial_groups(spark, sf_dir):
     return rows.groupBy("initial").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("names"))
 
 
+#: Signs of a title that gathers several stories, for the queries.
+SIGNS = text.Roundup(("and more", "& more", "live blog", "weekly quiz"), ("how", "in pictures", "ranked", "why"))
+
+
 @query("""
 WITH t AS (SELECT doc_id, string_split(text, chr(10))[1] AS title FROM documents)
-SELECT doc_id, regexp_matches(title, '(?i)(&|\\band)\\s+more\\b') OR regexp_matches(title, '(?i)\\b(gossip|briefing|q&a|quiz|quizzes|podcast)\\b')
-  OR regexp_matches(title, '(?i)^[\\s\\p{P}\\p{S}]*(what|why|how|who|whom|which|when|where|will|would|should|could|can|is|are|was|were|do|does|did|has|have)\\b') OR len(string_split(title, ',')) > 3 AS roundup FROM t
+SELECT doc_id, regexp_matches(words, ' (and more|& more|live blog|weekly quiz) ') OR regexp_matches(words, '^ (how|in pictures|ranked|why) ') OR length(title) - length(replace(title, ',', '')) >= 3 AS roundup
+FROM (SELECT *, ' ' || trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}&]+', ' ', 'g')) || ' ' AS words FROM t)
 """)
 def roundup_titles(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.is_roundup(F.substring_index("text", "\n", 1)).alias("roundup"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_roundup(F.substring_index("text", "\n", 1), SIGNS).alias("roundup"))
 
 
 @query("""

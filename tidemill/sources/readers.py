@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from fnmatch import fnmatch
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,14 +59,19 @@ def suggest(rows: DataFrame, column: str, known: DataFrame, name: str, most: int
     """Each distinct value with the nearest other known name at most ``most`` edits away.
 
     Two texts at most k edits apart share one of k + 1 even pieces of the shorter one near its place, so
-    candidates come from an equi-join on pieces and not from all pairs.
+    candidates come from an equi-join on pieces and not from all pairs.  A value of k characters or fewer has no such
+    pieces: it meets the short names that share a character with it, and the least two names of each length up to k,
+    of which one is as near as any name that shares none.
     """
-    piece = f"""transform(sequence(0, {most}), i -> substring(x, cast(floor(i * length(x) / {most + 1}) as int) + 1, cast(floor((i + 1) * length(x) / {most + 1}) as int) - cast(floor(i * length(x) / {most + 1}) as int)))"""
-    grams = "flatten(transform(sequence(1, length(x)), p -> transform(sequence(0, length(x) - p + 1), n -> substring(x, p, n))))"
+    piece = f"""if(length(x) <= {most}, array_distinct(concat(transform(filter(split(x, ''), c -> c <> ''), c -> concat('\u0001', c)), array('\u0002'))), transform(sequence(0, {most}), i -> substring(x, cast(floor(i * length(x) / {most + 1}) as int) + 1, cast(floor((i + 1) * length(x) / {most + 1}) as int) - cast(floor(i * length(x) / {most + 1}) as int))))"""
+    grams = "flatten(transform(sequence(1, length(x)), p -> transform(sequence(1, length(x) - p + 1), n -> substring(x, p, n))))"
+    short = f"if(length(x) <= {2 * most}, transform(filter(split(x, ''), c -> c <> ''), c -> concat('\u0001', c)), array())"
     a = rows.select(F.col(column).alias("x")).distinct()
-    b = known.select(F.col(name).alias("x")).distinct()
+    a = a.where("length(x) > 0")
+    b = known.select(F.col(name).alias("x")).distinct().where("length(x) > 0")
+    least = b.where(F.length("x") <= most).withColumn("_n", F.row_number().over(Window.partitionBy(F.length("x")).orderBy("x"))).where("_n <= 2").select(F.col("x").alias("b"), F.lit("\u0002").alias("g"))
     cut = lambda df, e, n: df.select(F.col("x").alias(n), F.explode(F.array_distinct(F.expr(e))).alias("g"))
-    pairs = cut(a, piece, "a").join(cut(b, grams, "b"), "g").select("a", "b").distinct()
+    pairs = cut(a, piece, "a").join(cut(b, f"concat({grams}, {short})", "b").unionByName(least), "g").select("a", "b").distinct()
     pairs = pairs.where("a <> b").withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= most)
     return pairs.groupBy(F.col("a").alias(column)).agg(F.min_by("b", F.struct("distance", "b")).alias("nearest"), F.min("distance").alias("distance"))
 

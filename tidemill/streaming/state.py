@@ -40,16 +40,15 @@ def run_batches(stream: DataFrame, merge, schema: str, name: str, root: str | No
 
 
 def first_seen_stream(stream: DataFrame, key: str, at: str, days: int, root: str | None = None) -> DataFrame:
-    """Earliest time per key, without keys that the newest time seen leaves ``days`` behind."""
+    """Earliest time per key, without keys that the newest time seen leaves ``days`` behind: each batch drops them from the state, and a key that comes back later starts anew."""
     kind = stream.schema[key].dataType.simpleString()
 
     def merge(state: DataFrame, batch: DataFrame) -> DataFrame:
         rows = state.unionByName(batch.groupBy(key).agg(F.min(at).alias("first"), F.max(at).alias("newest")))
-        return rows.groupBy(key).agg(F.min("first").alias("first"), F.max("newest").alias("newest"))
+        top = rows.agg(F.unix_timestamp(F.max("newest"))).first()[0] or 0
+        return rows.groupBy(key).agg(F.min("first").alias("first"), F.max("newest").alias("newest")).where(F.unix_timestamp("newest") >= top - days * 86400)
 
-    state = run_batches(stream, merge, f"{key} {kind}, first timestamp, newest timestamp", "first-seen", root)
-    top = state.agg(F.unix_timestamp(F.max("newest"))).first()[0] or 0
-    return state.where(F.unix_timestamp("newest") >= top - days * 86400)
+    return run_batches(stream, merge, f"{key} {kind}, first timestamp, newest timestamp", "first-seen", root)
 
 
 def verdict_stream(stream: DataFrame, starts: DataFrame, key: str, at: str, now: Column) -> DataFrame:
