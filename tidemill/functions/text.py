@@ -70,12 +70,17 @@ def clean_summary(c: Column, most: int = 500, decode: bool = True) -> Column:
     return F.when(c != "", c)
 
 
-def author_keys(byline: Column) -> Column:
+def author_keys(byline: Column | str) -> Column:
     """Authors of a byline as keys: split at , ; & / | and "and", squeezed, lower-cased, without repeats."""
     parts = F.split(F.regexp_replace(byline, r"(?i)[,;&/|]|\band\b", "\u0001"), "\u0001")
     return F.array_distinct(F.filter(F.transform(parts, lambda p: F.lower(squeeze(p))), lambda p: p != ""))
 
 
+def has_author(keys: Column, wanted: Column | None) -> Column:
+    """Whether one of the author ``keys`` is the wanted one; without a wanted one all rows count."""
+    return F.lit(True) if wanted is None else wanted.isNull() | F.exists(keys, lambda k: k == wanted)
+
+
 def search_tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
@@ -185,6 +190,12 @@ def final_sound(word: Column) -> Column:
     return F.when(F.ascii(last).between(0xAC00, 0xD7A3), F.when(coda == 0, "open").when(coda == 8, "rieul").otherwise("closed")).otherwise(digit)
 
 
+def with_particle(word: Column, closed: str, opened: str, rieul: str, unknown: str) -> Column:
+    """A word with the form of a particle that its last sound asks for."""
+    sound = final_sound(word)
+    return F.concat(word, F.when(sound == "closed", closed).when(sound == "rieul", rieul).when(sound == "open", opened).otherwise(unknown))
+
+
 def substitute(text: Column, names: list[tuple[str, str]]) -> Column:
     """Whole words or phrases replaced by a dictionary (tens of thousands of entries at most), the longest first."""
     table = {a.lower(): b for a, b in names}

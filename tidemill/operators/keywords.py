@@ -46,6 +46,50 @@ def tags(rows: DataFrame, id_: str, tokens: str, terms: DataFrame, longest: int
     return found.groupBy("id", "pos").agg(F.max_by("slug", F.struct("words", "slug")).alias("slug")).select("id", "slug", "pos")
 
 
+def tags_in_context(rows: DataFrame, id_: str, tokens: str, terms: DataFrame, evidence: DataFrame, vetoes: DataFrame, longest: int = 4) -> DataFrame:
+    """(id, slug, pos of its first hit): dictionary tags of rows of cased tokens that their context bears out.
+
+    ``terms``: term (lower case), slug, shared.  A hit is a run of tokens that all start with a capital, a digit or a
+    letter without case.  A hit inside a longer one does not count.  A ``shared`` term, which also means other things,
+    counts only beside a hit of one of its ``evidence`` (slug, evidence); a slug falls to a hit of one of its
+    ``vetoes`` (slug, veto).
+    """
+    at = F.explode(F.expr(f"filter(flatten(transform(sequence(1, greatest(size({tokens}), 1)), i -> transform(sequence(1, {longest}), n -> struct(i AS pos, n AS words, slice({tokens}, i, n) AS run)))), x -> x.pos + x.words - 1 <= size({tokens}) AND forall(x.run, t -> t <> '' AND substring(t, 1, 1) = upper(substring(t, 1, 1))))"))
+    runs = rows.select(F.col(id_).alias("id"), at.alias("r")).select("id", "r.pos", "r.words", F.lower(F.array_join("r.run", " ")).alias("term"))
+    found = runs.join(terms, "term").groupBy("id").agg(F.collect_list(F.struct("pos", "words", "slug", "shared")).alias("hits"))
+    inside = "exists(hits, g -> g.pos <= h.pos AND g.pos + g.words >= h.pos + h.words AND g.words > h.words)"
+    hit = found.select("id", F.explode(F.expr(f"filter(hits, h -> NOT {inside})")).alias("h")).select("id", "h.*")
+    there = hit.select("id", "slug").distinct()
+    borne = evidence.join(there.withColumnRenamed("slug", "evidence"), "evidence").select("id", "slug").distinct()
+    vetoed = vetoes.join(there.withColumnRenamed("slug", "veto"), "veto").select("id", "slug").distinct()
+    sure = hit.where("NOT shared").unionByName(hit.where("shared").join(borne, ["id", "slug"], "left_semi"))
+    return sure.join(vetoed, ["id", "slug"], "left_anti").groupBy("id", "slug").agg(F.min("pos").alias("pos"))
+
+
+def signals(text: Column, groups: Sequence[Group]) -> Column:
+    """One boolean per group, as a struct."""
+    return F.struct(*[hits(text, g).alias(g.name) for g in groups])
+
+
+def spoiler(found: Column, scored: Column, subject: Column, likely: Sequence[str], sure: Sequence[str]) -> Column:
+    """Whether a text gives a result away: a score, a ``sure`` signal, or a ``likely`` one with a ``subject`` it speaks of."""
+    some = lambda names: F.coalesce(F.greatest(*[found[n].cast("int") for n in [*names, *names]]) > 0, F.lit(False)) if names else F.lit(False)
+    return scored | some(sure) | (some(likely) & subject)
+
+
+def cluster_facts(rows: DataFrame, cluster: str) -> DataFrame:
+    """What the members (id, source, tags, spoiler, at) of each cluster say together: n, sources, tags (their union, sorted), spoiler (any), lead (the first member) and first."""
+    one = rows.groupBy(cluster).agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"), F.coalesce(F.bool_or("spoiler"), F.lit(False)).alias("spoiler"), F.min(F.struct("at", "id")).alias("_m"))
+    tags = rows.select(cluster, F.explode("tags").alias("_t")).distinct().groupBy(F.col(cluster).alias("_c")).agg(F.array_sort(F.collect_list("_t")).alias("tags"))
+    out = one.join(tags, F.col(cluster).eqNullSafe(F.col("_c")), "left")
+    return out.select(cluster, "n", "sources", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "spoiler", F.col("_m.id").alias("lead"), F.col("_m.at").alias("first"))
+
+
+def auxiliary(category: Column, claim: Column, mentions: Column, player: Column) -> Column:
+    """Whether a card only backs up a player's transfer: of that category, without a claim of its own, and with the player among its mentions."""
+    return F.coalesce((category == "transfer") & claim.isNull() & F.array_contains(mentions, player), F.lit(False))
+
+
 def cascade(rules: Sequence[tuple[str, Column]], default: str | None = None) -> Column:
     """The first category whose condition holds."""
     out = F.lit(default).cast("string")

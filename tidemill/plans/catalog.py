@@ -1,4 +1,4 @@
 """All queries of the reference workload on the driver tables."""
 
-from tidemill.plans import calendar, claims, folding, news, ranking, relations, scalars, streams, titles, views  # noqa: F401
+from tidemill.plans import calendar, claims, folding, matches, news, ranking, relations, scalars, streams, titles, views  # noqa: F401
 from tidemill.plans.registry import ORACLES, QUERIES  # noqa: F401
