@@ -182,7 +182,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
     learn = docs.select("doc_id", "text")
     if known.count() <= SEND_ROWS:
         learn = learn.join(F.broadcast(known), "doc_id", "left_semi")
-    model = fit(features(learn), labels, train)
+    # written first, so that no task runs two Python workers at once
+    model = fit(materialise(features(learn), "statistics"), labels, train)
 
     @F.pandas_udf("double")
     def judge(texts: pd.Series) -> pd.Series:
