@@ -27,8 +27,14 @@ def test_normalise(spark):
         "  not a url ": "not a url",
         "ftp://x.y/z": "ftp://x.y/z",
         "https://example.com:8443/": "https://example.com:8443/",
+        "https://a.com/x/./y/../z/%2e%2E/w": "https://a.com/x/w",
+        "https://a.com/../..": "https://a.com/",
+        "https://a.com/x..y/...": "https://a.com/x..y/...",
+        "https://a.com/?q=x+y&utm%5Fid=1&p=%zz&r": "https://a.com/?p=%25zz&q=x+y&r=",
+        "https://a.com/?q=x%20y&p=~*": "https://a.com/?p=%7E*&q=x+y",
         None: None,
     }
+    assert many(spark, ["https://Bücher.example/x", "https://a.com/", None], lambda c: urls.normalise(c, idn=True)) == ["https://xn--bcher-kva.example/x", "https://a.com/", None]
     assert many(spark, list(cases), urls.normalise) == list(cases.values())
     assert one(spark, "http://www.a.com/x#y", urls.url_hash) == one(spark, "https://a.com/x/", urls.url_hash)
     assert len(one(spark, "http://a.com", urls.card_id)) == 12
@@ -43,6 +49,10 @@ def test_clean(spark):
 
 def test_keys(spark):
     assert one(spark, "Müller–O’Neil", text.fold_name) == "muller-o'neil"
+    kept = "ﬁne Ångström ½ 가\u0301"
+    assert len(one(spark, kept, text.fold_name)) == len(kept)
+    assert many(spark, ["Münche\u0301n-ÅB ệ", "한국어", "", None], text.search_tokens) == [["munchen", "ab", "e"], ["한국어"], [], None]
+    assert many(spark, ["x@y.org (Ann Bo), C", "no@mail"], text.author_keys) == [["ann bo", "c"], ["no@mail"]]
     assert one(spark, "São Paulo: 2", text.latin_key) == " sao paulo 2 "
     assert many(spark, ["가나", "힣", "éa", " z"], text.initial) == ["ㄱ", "ㅎ", "É", "Z"]
     assert many(spark, ["사과", "서울", "집", "7", "3", "x", "집!"], text.final_sound) == ["open", "rieul", "closed", "rieul", "closed", None, "closed"]
@@ -83,3 +93,35 @@ def test_calendar_edges(spark):
     assert weeks == ["2026-53", "2026-53", "2025-01"]
     at = [datetime.datetime(2026, 3, 29, 0, 59, 59), datetime.datetime(2026, 3, 29, 1), datetime.datetime(2026, 10, 25, 0, 59), datetime.datetime(2026, 10, 25, 1)]
     assert many(spark, at, dates.is_eu_summer, "timestamp") == [False, True, True, False]
+
+
+def test_particles(spark):
+    names = [("Paris", "파리"), ("Seoul", "서울"), ("Busan", "부산"), ("Rome", "Roma")]
+    texts = ["Paris은 Seoul로 Busan와", "seoul으로, Paris으로 Rome을", "Parisian은", None, ""]
+    assert many(spark, texts, lambda c: text.substitute(c, names, text.PARTICLES)) == ["파리는 서울로 부산과", "서울로, 파리로 Roma을", "Parisian은", None, ""]
+    assert one(spark, "Paris은", lambda c: text.substitute(c, [], text.PARTICLES)) == "Paris은"
+
+
+def test_local_to_utc(spark):
+    from zoneinfo import ZoneInfo
+
+    utc, zones = datetime.timezone.utc, ("Europe/London", "America/New_York", "Australia/Lord_Howe", "Asia/Seoul")
+    days = [datetime.datetime(2026, m, d) for m, d in ((3, 8), (3, 29), (4, 5), (10, 4), (10, 25), (11, 1), (7, 1))]
+    times = [d + datetime.timedelta(minutes=15 * k) for d in days for k in range(20)]
+    for zone in zones:
+        for choice in ("compatible", "earlier", "later", "reject"):
+
+            def rule(t):
+                first, second = (t.replace(tzinfo=ZoneInfo(zone), fold=f).astimezone(utc) for f in (0, 1))
+                real = first.astimezone(ZoneInfo(zone)).replace(tzinfo=None) == t
+                if first == second:
+                    return int(first.timestamp())
+                if choice == "reject":
+                    return None
+                gap = {"compatible": first, "earlier": second, "later": first}
+                twice = {"compatible": first, "earlier": first, "later": second}
+                return int((twice if real else gap)[choice].timestamp())
+
+            seconds = [int(t.replace(tzinfo=utc).timestamp()) for t in times]
+            got = many(spark, seconds, lambda c: F.unix_timestamp(dates.to_utc(F.timestamp_seconds(c), zone, choice)), "long")
+            assert got == [rule(t) for t in times]

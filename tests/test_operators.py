@@ -2,6 +2,7 @@ import datetime
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions import text
@@ -230,3 +231,37 @@ def test_fact_mismatches_and_templates(spark):
     assert checks.fact_mismatches(claims.limit(0), facts, ["k"], ["v"]).count() == 0
     lines = claims.select(text.fill_template(F.lit("x"), {"x": "{v} of {w}"}, {"v": F.col("v"), "w": F.concat(F.lit("{v}"), "w")}).alias("l")).collect()
     assert [r.l for r in lines] == ["5 of {v}a", "5 of {v}a", None, "1 of {v}n", "1 of {v}a"]
+
+
+def test_cluster_plan_with_nulls(spark):
+    rows = [(1, "a", 7, None), (2, "a", 5, True), (3, "a", None, None), (4, "a", None, True), (5, "b", None, True), (6, "b", None, False), (7, "c", None, None), (8, None, None, True), (9, None, None, None), (10, None, 3, None)]
+    got = cluster.cluster_plan(spark.createDataFrame(rows, "i int, c string, card int, seen boolean"), "c", "card", "seen")
+    assert {r.i: (r.plan, r.card_id) for r in got.collect()} == {
+        1: ("existing", 5), 2: ("existing", 5), 3: ("addition", 5), 4: ("existing", 5), 5: ("suppressed", None),
+        6: ("suppressed", None), 7: ("fresh", None), 8: ("suppressed", None), 9: ("fresh", None), 10: ("existing", 3),
+    }
+
+
+def test_rerun_changes_nothing(spark):
+    kind = "id string, lead string, sources array<string>"
+    old = spark.createDataFrame([("x", "p", ["s", "t"]), ("y", "q", None), (None, "n", ["u"])], kind)
+    new = spark.createDataFrame([("x", "other", ["t", "v", "v"]), ("z", "r", ["w"]), ("y", "o", ["k"])], kind)
+    once = cards.rerun(old, new, "id", "sources")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(once) == rows(spark.createDataFrame([("x", "p", ["s", "t", "v"]), ("y", "q", ["k"]), ("z", "r", ["w"]), (None, "n", ["u"])], kind))
+    assert rows(cards.rerun(once, new, "id", "sources")) == rows(once)
+
+
+def test_gate_and_run_decision(spark):
+    rows = spark.createDataFrame([(1, "d1", True), (2, "d1", None), (3, "d2", False)], "k int, day string, bad boolean")
+    issues = checks.row_issues(rows, "k", [("bad", "error", F.col("bad")), ("day", "warning", F.col("day") == "d1")])
+    assert sorted((r.rule, r.severity, r.key) for r in issues.collect()) == [("bad", "error", "1"), ("day", "warning", "1"), ("day", "warning", "2")]
+    assert [(r.key, r.n) for r in checks.too_few("floor", rows, ["day"], F.lit(2)).collect()] == [("d2", 1)]
+    checks.gate(issues.where("severity = 'warning'"))
+    with pytest.raises(ValueError, match="bad: 1"):
+        checks.gate(issues)
+    runs = [("a", "09:00", "d", False), ("b", "09:00", "d", True), ("b", None, "d", True), ("c", "09:00", "d", True), ("c", "10:00", "d", None), ("e", "09:00", "before", True), ("f", None, None, None)]
+    df = spark.createDataFrame(runs, "k string, at string, day string, waits boolean").withColumns({"at": F.to_timestamp(F.concat(F.lit("2026-03-02 "), "at")), "now": F.lit("2026-03-02 21:00:00").cast("timestamp"), "today": F.lit("d")})
+    said = lambda hours: {r.k: r.decision for r in checks.run_decision(df, "k", "at", "day", "today", "now", hours, "waits").collect()}
+    assert said(12) == {"a": "skip", "b": "retry", "c": "skip", "e": "run", "f": "run"}
+    assert said(11) == {"a": "run", "b": "run", "c": "retry", "e": "run", "f": "run"}

@@ -68,3 +68,30 @@ def relative(ts: Column, now: Column) -> Column:
     """How long ago, in the largest whole unit."""
     minutes = F.floor((F.unix_timestamp(now) - F.unix_timestamp(ts)) / 60)
     return F.when(minutes < 1, "now").when(minutes < 60, F.format_string("%d min", minutes)).when(minutes < 1440, F.format_string("%d h", F.floor(minutes / 60))).otherwise(F.format_string("%d d", F.floor(minutes / 1440)))
+
+
+def to_utc(local: Column, zone: str, choice: str = "compatible") -> Column:
+    """The instant of a wall-clock time, given as the timestamp that shows it in UTC.
+
+    A time that the zone has twice is the first of both (``later``: the second); one that it skips is read by the offset
+    before the gap (``earlier``: by the one after it).  ``reject`` gives null for both kinds.
+    """
+    shown = lambda u: F.from_utc_timestamp(u, zone)
+    offset = lambda u: F.unix_micros(shown(u)) - F.unix_micros(u)
+    # a zone changes at most once within two days, so the offsets a day before and after are all there are
+    day = F.expr("INTERVAL 24 HOUR")
+    before, after = offset(local - day), offset(local + day)
+    early, late = (F.timestamp_micros(F.unix_micros(local) - o) for o in (F.greatest(before, after), F.least(before, after)))
+    unclear = lambda u: F.lit(None).cast("timestamp") if choice == "reject" else u
+    once = F.when(early == late, early).when((shown(early) == local) & (shown(late) != local), early).when((shown(early) != local) & (shown(late) == local), late)
+    twice = unclear(late if choice == "later" else early)
+    skipped = unclear(early if choice == "earlier" else late)
+    return F.coalesce(once, F.when(shown(early) == local, twice).otherwise(skipped))
+
+
+def slot(day: Column, zone: str, times: dict[str, tuple[str, str]], lead_minutes: int, target: str) -> Column:
+    """Instants of a local day as a struct: each of ``times`` (summer, winter) by the season at its midnight, and ``deadline`` so many minutes before ``target``."""
+    summer = is_eu_summer(day_range(day, zone)[0])
+    at = {n: to_utc(F.to_timestamp(F.concat(day.cast("string"), F.when(summer, F.lit(f" {s}")).otherwise(F.lit(f" {w}")))), zone) for n, (s, w) in times.items()}
+    deadline = F.timestamp_seconds(F.unix_timestamp(at[target]) - lead_minutes * 60)
+    return F.struct(F.when(summer, "summer").otherwise("winter").alias("season"), *[c.alias(n) for n, c in at.items()], deadline.alias("deadline"))

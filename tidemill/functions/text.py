@@ -44,8 +44,17 @@ _QUOTES = str.maketrans({**dict.fromkeys("‘’ʼ`´", "'"), **dict.fromkeys("
 
 #: HTML entities decoded, in up to three passes.
 decode_entities = _text_udf(_decoded)
-#: Lower case without marks, quotes and dashes unified.
-fold_name = _text_udf(lambda x: _bare(x).lower().translate(_QUOTES))
+
+
+def _folded_character(c: str) -> str:
+    bare = _bare(c).lower()
+    return bare if len(bare) == 1 else c
+
+
+#: Lower case without marks, quotes and dashes unified, of the same length: a place in the folded name is that place in the name.
+fold_name = _text_udf(lambda x: "".join(map(_folded_character, x)).translate(_QUOTES))
+#: Letters with marks and the letters without them, by Unicode's decomposition, for the scripts before U+2000.
+_MARKED = {c: base for c in map(chr, range(0xC0, 0x2000)) if len(base := re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", c))) == 1 and base != c}
 #: Lower-case letters and digits between single blanks, with a blank at both ends: whole words can be searched with ``contains``.
 latin_key = _text_udf(lambda x: " " + re.sub(r"[\W_]+", " ", _bare(x).lower()).strip() + " ")
 #: NFKC, lower case, blanks squeezed.
@@ -71,8 +80,9 @@ def clean_summary(c: Column, most: int = 500, decode: bool = True) -> Column:
 
 
 def author_keys(byline: Column | str) -> Column:
-    """Authors of a byline as keys: split at , ; & / | and "and", squeezed, lower-cased, without repeats."""
-    parts = F.split(F.regexp_replace(byline, r"(?i)[,;&/|]|\band\b", "\u0001"), "\u0001")
+    """Authors of a byline as keys: split at , ; & / | and "and", squeezed, lower-cased, without repeats; of ``mail (Name)`` the name."""
+    named = F.regexp_replace(byline, r"[^\s,;&/|()]+@[^\s,;&/|()]+\s*\(([^()]*)\)", "$1")
+    parts = F.split(F.regexp_replace(named, r"(?i)[,;&/|]|\band\b", "\u0001"), "\u0001")
     return F.array_distinct(F.filter(F.transform(parts, lambda p: F.lower(squeeze(p))), lambda p: p != ""))
 
 
@@ -82,8 +92,9 @@ def has_author(keys: Column, wanted: Column | None) -> Column:
 
 
 def search_tokens(c: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Lower-case runs of letters and digits, without the marks of letters."""
+    bare = F.regexp_replace(F.translate(c, "".join(_MARKED), "".join(_MARKED.values())), r"\p{M}+", "")
+    return F.filter(F.split(F.lower(bare), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def initial(c: Column) -> Column:
@@ -196,11 +207,30 @@ def with_particle(word: Column, closed: str, opened: str, rieul: str, unknown: s
     return F.concat(word, F.when(sound == "closed", closed).when(sound == "rieul", rieul).when(sound == "open", opened).otherwise(unknown))
 
 
-def substitute(text: Column, names: list[tuple[str, str]]) -> Column:
-    """Whole words or phrases replaced by a dictionary (tens of thousands of entries at most), the longest first."""
+# Korean particles, after a closed and after an open syllable.
+PARTICLES = (("은", "는"), ("이", "가"), ("을", "를"), ("과", "와"), ("으로", "로"))
+
+
+def substitute(text: Column, names: list[tuple[str, str]], particles: Sequence[tuple[str, str]] = ()) -> Column:
+    """Whole words or phrases replaced by a dictionary (tens of thousands of entries at most), the longest first.
+
+    One of ``particles`` (after a closed and after an open syllable) right behind a name gets the form that the new
+    name asks for; after a final rieul ``으로`` is ``로``.  After other scripts a particle stays as it is.
+    """
     table = {a.lower(): b for a, b in names}
-    pattern = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(a) for a in sorted(table, key=lambda a: (-len(a), a))) + r")(?!\w)", re.I) if table else None
-    return _text_udf(lambda x: pattern.sub(lambda m: table[m[0].lower()], x) if pattern else x)(text)
+    forms = {form: pair for pair in particles for form in pair}
+    longest = lambda words: "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+    pattern = re.compile(rf"(?<!\w)({longest(table)})" + (f"({longest(forms)})?" if forms else "()") + r"(?!\w)", re.I) if table else None
+
+    def put(m: re.Match) -> str:
+        name, form = table[m[1].lower()], m[2] or ""
+        if form and name and "가" <= name[-1] <= "힣":
+            coda = (ord(name[-1]) - ord("가")) % 28
+            closed, opened = forms[form]
+            form = opened if coda == 0 or (coda == 8 and closed == "으로") else closed
+        return name + form
+
+    return _text_udf(lambda x: pattern.sub(put, x) if pattern else x)(text)
 
 
 def latin_spans(text: Column, known: list[str]) -> Column:

@@ -29,10 +29,14 @@ def money(value: Column) -> Column:
     return F.sum(value.cast("decimal(18,6)"))
 
 
-def token_cost(uses: DataFrame, prices: DataFrame, key: str, tokens: dict[str, str], batch: str, discount: float = 0.5) -> DataFrame:
-    """``uses`` with cost: each token count by its price per million, a discount for batch calls, exact to twelve places."""
+def token_cost(uses: DataFrame, prices: DataFrame, key: str, tokens: dict[str, str], batch: str, discount: float = 0.5, long: tuple[Column, dict[str, str]] | None = None) -> DataFrame:
+    """``uses`` with cost: each token count by its price per million, a discount for batch calls, exact to twelve places.
+
+    ``long`` = (condition, prices): calls for which the condition holds pay those prices instead, each call judged by itself.
+    """
     out = uses.join(prices, key)
-    cost = sum((F.col(n).cast("decimal(18,0)") * F.col(p).cast("decimal(12,6)") for n, p in tokens.items()), F.lit(0).cast("decimal(1,0)"))
+    price = lambda n: F.col(tokens[n]) if long is None else F.when(long[0], F.col(long[1][n])).otherwise(F.col(tokens[n]))
+    cost = sum((F.col(n).cast("decimal(18,0)") * price(n).cast("decimal(12,6)") for n in tokens), F.lit(0).cast("decimal(1,0)"))
     cost = cost * F.when(F.col(batch), F.lit(str(discount))).otherwise(F.lit("1")).cast("decimal(3,2)") / 1_000_000
     return out.withColumn("cost", cost.cast("decimal(24,12)")).drop(*tokens.values())
 

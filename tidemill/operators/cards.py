@@ -114,3 +114,18 @@ def title_claims(rows: DataFrame, names: DataFrame, clubs: DataFrame, patterns:
     out = out.withColumn("reason", keywords.cascade(rules))
     good = lambda c: F.when(F.col("reason").isNull(), c)
     return out.select("id", good(F.col("player")).alias("player"), good(F.col("from")).alias("from"), good(F.col("to")).alias("to"), good(F.col("hit.stage")).alias("status"), good(F.col("hit.evidence")).alias("evidence"), "reason")
+
+
+def rerun(existing: DataFrame, incoming: DataFrame, id_: str, sources: str) -> DataFrame:
+    """Cards after a further run of the same day: a known card keeps all it has and only gains sources, behind its own; others are added.
+
+    Both tables have the same columns and one row per id.  A second call with the same ``incoming`` changes nothing.
+    Null sources count as none; rows with a null id are kept from both sides.
+    """
+    new = incoming.select(F.col(id_).alias("_id"), F.struct(*[F.col(c) for c in existing.columns]).alias("_new"))
+    old = existing.select(F.col(id_).alias("_old"), F.struct(*existing.columns).alias("_card"))
+    none = F.array().cast(existing.schema[sources].dataType)
+    both = F.array_distinct(F.concat(F.coalesce(f"_card.{sources}", none), F.coalesce(f"_new.{sources}", none)))
+    known = F.col("_card").isNotNull()
+    keep = [F.when(known, F.col(f"_card.{c}")).otherwise(F.col(f"_new.{c}")).alias(c) if c != sources else both.alias(c) for c in existing.columns]
+    return old.join(new, F.col("_old") == F.col("_id"), "full").select(*keep)

@@ -26,6 +26,33 @@ def at_least(rule: str, rows: DataFrame, key: str, least: int) -> DataFrame:
     return rows.agg(F.count("*").alias("n")).where(F.col("n") < least).select(F.lit(rule).alias("rule"), F.lit(key).alias("key"), "n")
 
 
+def too_few(rule: str, rows: DataFrame, keys: Sequence[str], floor: Column) -> DataFrame:
+    """(rule, severity, key, n) for keys with fewer rows than their ``floor`` (an expression over ``keys``); a key without rows is in no table, see :func:`at_least`."""
+    key = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") < floor).select(F.lit(rule).alias("rule"), F.lit("error").alias("severity"), key.alias("key"), "n")
+
+
+def row_issues(rows: DataFrame, key: str, rules: Sequence[tuple[str, str, Column]]) -> DataFrame:
+    """(rule, severity, key, n = 1) for every one of ``rules`` (rule, severity, condition) that holds of a row, in one pass; a null condition does not hold."""
+    found = F.array(*[F.when(bad, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))) for rule, severity, bad in rules])
+    issues = rows.select(F.col(key).cast("string").alias("key"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i"))
+    return issues.select("i.rule", "i.severity", "key", F.lit(1).cast("long").alias("n"))
+
+
+def run_decision(runs: DataFrame, key: str, done_at: str, day: str, today: str, now: str, hours: int = 12, pending: str | None = None) -> DataFrame:
+    """(key, decision, recent): whether to run again, from the successful ``runs`` of a key.
+
+    A success of the same publish day in the last ``hours`` is a reason to skip; successes of other days do not count.
+    Where ``pending`` (results of that day are still missing) holds and there was exactly one such success, the run is
+    tried once more.  Nulls in ``done_at`` or ``day`` are no success.
+    """
+    same = F.coalesce((F.col(day) == F.col(today)) & (F.col(done_at) <= F.col(now)) & (F.unix_micros(done_at) >= F.unix_micros(now) - hours * 3_600_000_000), F.lit(False))
+    waits = F.bool_or(F.coalesce(F.col(pending), F.lit(False))) if pending else F.lit(False)
+    seen = runs.groupBy(key).agg(F.count_if(same).alias("n"), F.max(F.when(same, F.col(done_at))).alias("recent"), waits.alias("_waits"))
+    said = F.when(F.col("n") == 0, "run").when(F.col("_waits") & (F.col("n") == 1), "retry").otherwise("skip")
+    return seen.select(key, said.alias("decision"), "recent")
+
+
 def conflicts(rows: DataFrame, key: str, setting: str) -> DataFrame:
     """Keys with more than one setting; no setting is a setting of its own."""
     return rows.groupBy(key).agg(F.count_distinct(F.coalesce(setting, F.lit(-1))).alias("settings")).where("settings > 1")

@@ -9,6 +9,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Edges of words in any script; what ``\b`` takes for one differs between Java versions.
+START, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
 
 @dataclass(frozen=True)
 class Group:
@@ -23,8 +26,8 @@ def hits(text: Column, group: Group) -> Column:
     """Whether a text has a term of the group outside the group's excluded phrases."""
     words = lambda xs: "|".join(re.escape(x) for x in sorted(xs, key=lambda x: (-len(x), x)))
     if group.excludes:
-        text = F.regexp_replace(text, rf"(?i)\b(?:{words(group.excludes)})\b", " ")
-    return F.coalesce(text.rlike(rf"(?i)\b(?:{words(group.terms)})\b"), F.lit(False))
+        text = F.regexp_replace(text, rf"(?i){START}(?:{words(group.excludes)}){END}", " ")
+    return F.coalesce(text.rlike(rf"(?i){START}(?:{words(group.terms)}){END}"), F.lit(False))
 
 
 def matched(text: Column, groups: Sequence[Group]) -> Column:
@@ -151,3 +154,11 @@ def clamped_age(age: Column, clamped: Column, held: float = 12.0) -> Column:
 def prefix_match(query_tokens: Column, words: Column, part: float = 0.6) -> Column:
     """Every query token starts a word, or a word of at least ``part`` of its length starts it."""
     return F.forall(query_tokens, lambda t: F.exists(words, lambda w: w.startswith(t) | (t.startswith(w) & (F.length(w) >= F.length(t) * part))))
+
+
+def out_of_scope(rules: Sequence[tuple[str, Column, Column]]) -> Column:
+    """The first of ``rules`` (reason, sign, evidence) whose sign a text has without the evidence that overrides it; null for texts that stay."""
+    out = F.lit(None).cast("string")
+    for reason, sign, evidence in reversed(rules):
+        out = F.when(F.coalesce(sign, F.lit(False)) & ~F.coalesce(evidence, F.lit(False)), F.lit(reason)).otherwise(out)
+    return out
