@@ -91,10 +91,14 @@ def has_author(keys: Column, wanted: Column | None) -> Column:
     return F.lit(True) if wanted is None else wanted.isNull() | F.exists(keys, lambda k: k == wanted)
 
 
+def words(c: Column) -> Column:
+    """Lower-case runs of letters and digits."""
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
 def search_tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits, without the marks of letters."""
-    bare = F.regexp_replace(F.translate(c, "".join(_MARKED), "".join(_MARKED.values())), r"\p{M}+", "")
-    return F.filter(F.split(F.lower(bare), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return words(F.regexp_replace(F.translate(c, "".join(_MARKED), "".join(_MARKED.values())), r"\p{M}+", ""))
 
 
 def initial(c: Column) -> Column:
