@@ -109,3 +109,11 @@ def link_problem(url: Column) -> Column:
     """Why a link cannot be published, or null."""
     bad = F.when(F.trim(url) != url, "blanks around").when(~url.rlike(r"^(?i:https?)://"), "scheme").when(host(url).isNull(), "unreadable")
     return F.when(url.isNull(), "missing").otherwise(bad.when(~F.contains(host(url), F.lit(".")), "host").when(url.rlike(r"[\s<>\"]"), "characters"))
+
+
+def site_path(ref: Column, page: Column) -> Column:
+    """The path in a site that ``ref`` means on ``page`` (a path): without query and fragment, dots carried out; null for other sites, schemes and bare fragments."""
+    bare = F.regexp_replace(F.trim(ref), r"[?#].*$", "")
+    folder = F.regexp_replace(page, r"[^/]*$", "")
+    whole = F.when(bare.startswith("/"), bare).otherwise(F.concat(folder, bare))
+    return F.when(bare.startswith("//") | bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (bare == ""), F.lit(None)).otherwise(_without_dots(whole))

@@ -72,3 +72,15 @@ def additive_score(rules: dict[str, tuple[Column, float]]) -> tuple[Column, Colu
 
 def tally(verdict: Column) -> list[Column]:
     return [F.count_if(verdict).alias("right"), F.count_if(~verdict).alias("wrong"), F.count_if(verdict.isNull()).alias("unjudged"), F.try_divide(F.count_if(verdict), F.count(verdict)).alias("accuracy")]
+
+
+def tie_decisions(matches: DataFrame, keys: Sequence[str], home: str, away: str, home_goals: str, away_goals: str, at: str, home_pens: str, away_pens: str) -> DataFrame:
+    """Ties of two sides in either order with winner and ``by``: aggregate, pens (of the last leg with a shoot-out) or unresolved; a leg without a score leaves a tie unresolved."""
+    a, b = F.least(home, away), F.greatest(home, away)
+    of = lambda side, x, y: F.when(F.col(home) == side, F.col(x)).otherwise(F.col(y))
+    shot = F.when(F.col(home_pens).isNotNull() & F.col(away_pens).isNotNull(), F.struct(F.col(at), (of(a, home_pens, away_pens) - of(b, home_pens, away_pens)).alias("lead")))
+    whole = F.count_if(F.col(home_goals).isNull() | F.col(away_goals).isNull()) == 0
+    ties = matches.where(F.col(home) != F.col(away)).groupBy(*keys, a.alias("a"), b.alias("b")).agg(F.count("*").alias("legs"), F.sum(of(a, home_goals, away_goals)).alias("goals_a"), F.sum(of(b, home_goals, away_goals)).alias("goals_b"), whole.alias("_w"), F.max(shot)["lead"].alias("_p"))
+    lead = F.when(F.col("_w"), F.when(F.col("goals_a") != F.col("goals_b"), F.col("goals_a") - F.col("goals_b")).otherwise(F.col("_p")))
+    by = F.when(F.coalesce(lead, F.lit(0)) == 0, "unresolved").when(F.col("goals_a") != F.col("goals_b"), "aggregate").otherwise("pens")
+    return ties.select(*keys, "a", "b", "legs", "goals_a", "goals_b", F.when(lead > 0, F.col("a")).when(lead < 0, F.col("b")).alias("winner"), by.alias("by"))

@@ -129,3 +129,31 @@ def rerun(existing: DataFrame, incoming: DataFrame, id_: str, sources: str) -> D
     known = F.col("_card").isNotNull()
     keep = [F.when(known, F.col(f"_card.{c}")).otherwise(F.col(f"_new.{c}")).alias(c) if c != sources else both.alias(c) for c in existing.columns]
     return old.join(new, F.col("_old") == F.col("_id"), "full").select(*keep)
+
+
+def lead_index(rows: DataFrame, keys: Sequence[str], importance: str, ord_: str) -> DataFrame:
+    """Per group the place of its first card of the greatest importance (null counts least)."""
+    return rows.groupBy(*keys).agg(F.min_by(ord_, F.struct(F.col(importance).isNull().alias("none"), (-F.col(importance)).alias("i"), F.col(ord_))).alias("lead"))
+
+
+def auxiliary_list(cards: DataFrame, evidence: DataFrame, keys: Sequence[str], id_: str, at: str, floor: Column, n: int) -> DataFrame:
+    """Per key the latest ``n`` cards from ``floor`` on that are not its evidence (keys, id), with their rank."""
+    from tidemill.operators.windows import top
+
+    return top(cards.where(F.col(at) >= floor).join(evidence.select(*keys, id_), [*keys, id_], "left_anti"), keys, [F.col(at).desc(), F.col(id_)], n)
+
+
+def entity_merges(rows: DataFrame, key: str, id_: str, at: str, scores: str, card: str, seconds: int = 12 * 3600) -> DataFrame:
+    """(id, entity, card): cards of a window of ``seconds`` (from its first) of one key that are one story, named by their least id.
+
+    A window counts if it holds two cards or more, one of the ``scores`` is common to all and at most one card is there
+    already (``card``).  Rows with a null key are in none.
+    """
+    from tidemill.operators.folds import anchored_windows
+
+    rows = rows.where(F.col(key).isNotNull())
+    placed = anchored_windows(rows, key, [id_], at, seconds).join(rows.select(id_, scores, card), id_)
+    group = [key, "anchor"]
+    size = placed.groupBy(*group).agg(F.count("*").alias("n"), F.count_distinct(card).alias("cards"), F.min(card).alias("_card"), F.min(id_).alias("entity")).where("n >= 2 AND cards <= 1")
+    common = placed.select(*group, F.explode(F.array_distinct(scores)).alias("s")).groupBy(*group, "s").agg(F.count("*").alias("c")).groupBy(*group).agg(F.max("c").alias("c"))
+    return placed.select(id_, *group).join(size.join(common, group).where("c = n"), group).select(id_, "entity", F.col("_card").alias("card"))

@@ -75,3 +75,16 @@ def name_match(full: Column, short: Column) -> Column:
     same_last = F.try_element_at(x, F.lit(-1)) == F.try_element_at(y, F.lit(-1))
     same_first = F.substring(F.try_element_at(x, F.lit(1)), 1, 1) == F.substring(F.try_element_at(y, F.lit(1)), 1, 1)
     return F.when(a == b, "full").when(same_last & same_first & ((F.length(F.try_element_at(y, F.lit(1))) == 1) | (F.length(F.try_element_at(x, F.lit(1))) == 1)), "initial")
+
+
+def shared_links(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:
+    """(a, b): pairs of ``left`` and ``right`` (id, category, at, teams, players) of one category, at most ``seconds`` apart, that share a player or two teams, and that are in no other such pair.
+
+    A row is found by each player and each pair of its teams, so rows that share nothing never meet.  Null arrays are empty.
+    """
+    teams = F.array_sort(F.array_distinct(F.coalesce("teams", F.array().cast("array<string>"))))
+    two = F.flatten(F.transform(teams, lambda x: F.transform(F.filter(teams, lambda y: y > x), lambda y: F.to_json(F.array(x, y)))))
+    players = F.transform(F.coalesce("players", F.array().cast("array<string>")), lambda p: F.concat(F.lit("p:"), p.cast("string")))
+    tagged = lambda df, id_, at: df.select(F.col("id").alias(id_), "category", F.col("at").alias(at), F.explode(F.array_distinct(F.concat(players, two))).alias("tag"))
+    pairs = within(tagged(left, "a", "_x"), tagged(right, "b", "_y"), ["category", "tag"], "_x", "_y", seconds).select("a", "b").distinct()
+    return unique_links(pairs, "a", "b").select("a", "b")

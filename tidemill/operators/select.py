@@ -115,3 +115,10 @@ def purge_sources(cards: DataFrame, sources: DataFrame, taken_down: DataFrame, n
     rows = rows.withColumn("gone", F.coalesce(expires <= F.unix_timestamp(now), F.lit(False)))
     left = F.transform(F.array_sort(F.collect_list(F.when(~F.col("gone"), F.struct("pos", "name", "at")))), lambda x: x["name"])
     return rows.groupBy("id").agg(F.bool_or(F.col("gone") & (F.col("pos") == 0)).alias("lead_gone"), left.alias("names"), F.count_if("gone").alias("dropped")).where(~F.col("lead_gone")).drop("lead_gone")
+
+
+def prune_plan(files: DataFrame, roster: DataFrame, key: str, most: float) -> DataFrame:
+    """``files`` (distinct keys) with gone (not in ``roster``), and refused: a share of more than ``most`` would go, so none may; an empty roster refuses too."""
+    marked = files.select(key).distinct().join(roster.select(key).distinct().withColumn("_in", F.lit(True)), key, "left").select(key, F.col("_in").isNull().alias("gone"))
+    share = marked.agg(F.avg(F.col("gone").cast("int"))).first()[0]
+    return marked.withColumn("refused", F.lit(share is not None and share > most))

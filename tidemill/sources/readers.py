@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from fnmatch import fnmatch
+from fnmatch import fnmatch, translate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,6 +76,13 @@ def suggest(rows: DataFrame, column: str, known: DataFrame, name: str, most: int
     return pairs.groupBy(F.col("a").alias(column)).agg(F.min_by("b", F.struct("distance", "b")).alias("nearest"), F.min("distance").alias("distance"))
 
 
+def registered(rows: DataFrame, column: str, patterns: Sequence[str], most: int = 3) -> DataFrame:
+    """``rows`` with pattern, the first of ``patterns`` (globs) that a path fits, and nearest, for a path that fits none: the pattern at most ``most`` edits away."""
+    first = F.coalesce(*[F.when(F.col(column).rlike(translate(p).replace(r"\Z", r"\z").replace(r"(?>", "(?:")), p) for p in patterns], F.lit(None).cast("string"))
+    edits = F.array_min(F.array(*[F.struct(F.levenshtein(F.col(column), F.lit(p)).alias("n"), F.lit(p).alias("p")) for p in patterns]))
+    return rows.withColumn("pattern", first).withColumn("nearest", F.when(first.isNull() & (edits["n"] <= most), edits["p"]))
+
+
 def route(rows: DataFrame, rules: Sequence[tuple[Column, str]], default: str) -> DataFrame:
     """Adds ``route``: the first rule that holds."""
     out = F.lit(default)
