@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import ann, decontam, licenses, minhash, mixing, quality, secrets, tokencount, urlgraph, warczip
+from tidemill.llm import ann, bpe, decontam, licenses, merkle, minhash, mixing, negatives, quality, secrets, tokencount, urlgraph, warczip
 from tidemill.session import table
 
 
@@ -181,10 +181,94 @@ def op10_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_rows(table(spark, sf_dir, "documents"))
+
+
+def merkle_rows(docs: DataFrame) -> DataFrame:
+    fields = lambda text: merkle.leaf(*map(F.col, ("doc_id", "source", "lang", "n_chars")), text)
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    rows = docs.select("doc_id", "source", fields(F.col("text")).alias("whole"), F.when(even, fields(F.translate("text", "\n", ""))).alias("tampered"))
+    found = merkle.manifest(rows, "whole", "source", "doc_id", ["doc_id", "tampered"])
+    found = found.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    return "sha256(concat(" + ", ".join(f"coalesce(octet_length(encode({f}))::VARCHAR || ':' || {f}, '-')" for f in fields) + "))"
+
+
+#: The tree level by level; a level's siblings; then each row's fold. crc32 goes bit by bit over the digits of doc_id.
+OP11_SQL = f"""
+WITH RECURSIVE b AS (SELECT DISTINCT doc_id AS of_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * len(doc_id::VARCHAR)),
+                lambda i: (ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::BIGINT, 1)) >> (i % 8)::INT) & 1)), lambda c, x: xor(c >> 1, xor(c & 1, x) * 3988292384)) AS c FROM documents WHERE doc_id IS NOT NULL),
+d AS MATERIALIZED (SELECT doc_id, source, {_leaf_sql('text')} AS leaf, CASE WHEN (b.c & 1) = 1 THEN {_leaf_sql("replace(text, chr(10), '')")} END AS tampered
+     FROM documents d LEFT JOIN b ON of_id = doc_id),
+g AS (SELECT source, row_number() OVER (ORDER BY source IS NOT NULL, source COLLATE "binary") - 1 AS grp FROM (SELECT DISTINCT source FROM d)),
+l AS MATERIALIZED (SELECT d.*, grp, row_number() OVER (PARTITION BY grp ORDER BY doc_id IS NOT NULL, doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n, row_number() OVER () AS row_id
+     FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+t AS (SELECT grp, 0 AS level, pos, leaf AS node, n FROM l
+      UNION ALL SELECT grp, level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 2) // 3) FROM t WHERE n > 1 GROUP BY grp, level, pos // 3),
+r AS MATERIALIZED (SELECT grp, node AS subroot FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, grp AS pos, subroot AS node, count(*) OVER () AS n FROM r
+      UNION ALL SELECT level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 2) // 3) FROM u WHERE n > 1 GROUP BY level, pos // 3),
+k AS (SELECT grp, max(level) AS high FROM t GROUP BY grp),
+a AS MATERIALIZED (SELECT grp, level, pos, node, n FROM t UNION ALL SELECT -1, level, pos, node, n FROM u),
+s AS MATERIALIZED (SELECT x.grp, x.level, x.pos, coalesce(string_agg(y.node, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS lhs, coalesce(string_agg(y.node, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS rhs
+     FROM a x JOIN a y ON y.grp = x.grp AND y.level = x.level AND y.pos // 3 = x.pos // 3 WHERE x.n > 1 GROUP BY ALL),
+f AS (SELECT row_id, l.grp, 0 AS level, pos, coalesce(tampered, leaf) AS node, '' AS path, 0 AS done FROM l
+      UNION ALL
+      SELECT f.row_id, CASE WHEN s.level IS NULL THEN -1 ELSE f.grp END, CASE WHEN s.level IS NULL THEN 0 ELSE f.level + 1 END, CASE WHEN s.level IS NULL THEN f.grp ELSE f.pos // 3 END,
+             CASE WHEN s.level IS NULL THEN f.node ELSE sha256(s.lhs || f.node || s.rhs) END, f.path || coalesce(s.lhs || s.rhs, ''), CASE WHEN s.level IS NULL AND f.grp = -1 THEN 1 ELSE 0 END
+      FROM f LEFT JOIN s ON s.grp = f.grp AND s.level = f.level AND s.pos = f.pos WHERE done = 0)
+SELECT doc_id, leaf, subroot, root, sha256(path) AS proof_sha256, f.node AS folded_root, f.node = root AS verified
+FROM f JOIN l USING (row_id) JOIN r ON r.grp = l.grp CROSS JOIN (SELECT node AS root FROM u WHERE n = 1) WHERE f.done = 1
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negative_rows(table(spark, sf_dir, "embeddings"))
+
+
+def negative_rows(vectors: DataFrame) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.select("vec_id", label.alias("label"), "embedding")
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM n WHERE rank <= 3
+"""
+
+
+#: The rank file of query op13.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_rows(table(spark, sf_dir, "documents"), bpe.ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
+
+
+def bpe_rows(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    found = bpe.digests(bpe.round_trip(docs.select("doc_id", "text"), ranks, pattern))
+    return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
     found = (
         op1_source_mix, op2_link_graph, op3_spaced_seeds, op4_license_compression, op5_block_matrix,
         op6_zstd_novelty, op7_warc_zip, op8_circulant_minhash, op9_count_viterbi, op10_quadratic_discriminant,
+        op11_merkle_manifest, op12_hard_negatives, op13_byte_bpe,
     )
     return {f.__name__: f for f in found}
 
@@ -197,4 +281,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_block_matrix": OP5_SQL,
         "op7_warc_zip": OP7_SQL,
         "op8_circulant_minhash": OP8_SQL,
+        "op11_merkle_manifest": OP11_SQL,
+        "op12_hard_negatives": OP12_SQL,
     }
