@@ -18,15 +18,13 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Code points of text whose words share a dictionary (a longer text has its own).
-BLOCK = 16 << 20
+BLOCK = 6 << 20
 #: Buckets of words for each shuffle partition.
 BUCKETS = 8
 #: The largest vocabulary that is sent to tasks.
@@ -99,16 +97,49 @@ def _unpack(data: bytes, numbers: int, more: int = 0) -> list:
     return [np.frombuffer(p, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() if i < numbers else p for i, p in enumerate(parts)]
 
 
-def _codes(texts: list[str | None], split: Splitter, buckets: int) -> tuple[list[bytes], dict[int, bytes]]:
-    """The texts of a block as packed numbers of its words, frequent words first, and for each bucket its words with their numbers."""
-    words = [split(t) if t else [] for t in texts]
-    number = {w: i for i, (w, _) in enumerate(Counter(chain.from_iterable(words)).most_common())}
-    codes = [_pack(np.fromiter(map(number.__getitem__, w), np.uint32, len(w))) for w in words]
+def _cells(number: dict[str, int], buckets: int) -> dict[int, bytes]:
+    """For each bucket its words of a dictionary with their numbers, packed."""
     held: dict[int, list] = {}
     for w, i in number.items():
         b = w.encode()
         held.setdefault(zlib.crc32(b) % buckets, []).append((i, b))
-    return codes, {k: _pack(np.array([i for i, _ in own]), np.array([len(b) for _, b in own]), b"".join(b for _, b in own)) for k, own in held.items()}
+    return {k: _pack(np.array([i for i, _ in own]), np.array([len(b) for _, b in own]), b"".join(b for _, b in own)) for k, own in held.items()}
+
+
+class Block:
+    """Texts as numbers of their words, in order of position; of the words only one copy stays."""
+
+    def __init__(self, split: Splitter):
+        self.split, self.number, self.keys, self.codes, self.held = split, {}, [], [], 0
+
+    def add(self, key: pa.Array, text: str | None) -> None:
+        number = self.number
+        words = self.split(text) if text else []
+        self.keys.append(key)
+        self.codes.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words)))
+        self.held += len(text or "")
+
+    def packed(self, buckets: int) -> tuple[list[bytes], dict[int, bytes]]:
+        """The texts, with small numbers for frequent words, and the words of each bucket."""
+        often = np.zeros(len(self.number), np.int64)
+        for c in self.codes:
+            np.add.at(often, c, 1)
+        place = np.empty(len(often), np.uint32)
+        place[np.argsort(-often, kind="stable")] = np.arange(len(often))
+        return [_pack(place[c]) for c in self.codes], _cells(dict(zip(self.number, place.tolist())), buckets)
+
+
+_ENCODERS: dict[int, tuple] = {}
+
+
+def _encoder(vocabulary: dict[bytes, int]):
+    """The merges of a vocabulary over single words; a worker builds it once."""
+    import tiktoken
+
+    if id(vocabulary) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[id(vocabulary)] = vocabulary, tiktoken.Encoding("word", pat_str=r"[\s\S]+", mergeable_ranks=vocabulary, special_tokens={})
+    return _ENCODERS[id(vocabulary)][1]
 
 
 def encode(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,54 +155,47 @@ def encode(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str, key: str
 
         task, n, split = TaskContext.get().partitionId(), 0, Splitter(*said)
 
-        def rows(keys: list, texts: list):
-            codes, cells = _codes(texts, split, buckets)
+        def rows(block: Block) -> pa.RecordBatch:
+            codes, cells = block.packed(buckets)
             of = task * 2**32 + n
-            size = len(keys) + len(cells)
-            return pa.RecordBatch.from_arrays([pa.array([of] * size, pa.int64()), pa.array([None] * len(keys) + list(cells), pa.int32()), pa.concat_arrays([*keys, pa.nulls(len(cells), keys[0].type)]), pa.array([*codes, *cells.values()], pa.binary())], ["block", "bucket", "key", "data"])
+            dest = pa.array([of] * len(codes) + [-1 - k for k in cells], pa.int64())
+            keys = pa.concat_arrays([*block.keys, pa.nulls(len(cells), block.keys[0].type)])
+            return pa.RecordBatch.from_arrays([dest, pa.array([of] * len(dest), pa.int64()), keys, pa.array([*codes, *cells.values()], pa.binary())], ["dest", "block", "key", "data"])
 
-        keys, texts, held = [], [], 0
+        block = Block(split)
         for batch in batches:
             for i, value in enumerate(batch.column(1)):
                 own = value.as_py()
-                if held and held + len(own or "") > BLOCK:
-                    yield rows(keys, texts)
-                    keys, texts, held, n = [], [], 0, n + 1
-                keys.append(batch.column(0).slice(i, 1))
-                texts.append(own)
-                held += len(own or "")
-        if keys:
-            yield rows(keys, texts)
-
-    coded = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).mapInArrow(code, f"block long, bucket int, key {kind.simpleString()}, data binary")
-    # dealt out once: both what follows the words and what waits for their ids read this one shuffle
-    coded = coded.repartition(partitions, "block")
-
-    def cells(batches):
-        for batch in batches:
-            yield batch.select(["block", "bucket", "data"]).filter(batch.column("bucket").is_valid())
+                if block.held and block.held + len(own or "") > BLOCK:
+                    yield rows(block)
+                    block, n = Block(split), n + 1
+                block.add(batch.column(0).slice(i, 1), own)
+        if block.keys:
+            yield rows(block)
+
+    coded = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).mapInArrow(code, f"dest long, block long, key {kind.simpleString()}, data binary")
+    # one shuffle deals texts to their blocks and words to their buckets (below 0); both branches read it
+    coded = coded.repartition(partitions, "dest")
 
     def answer(t: pa.Table) -> pa.Table:
-        import tiktoken
-
-        whole = tiktoken.Encoding("word", pat_str=r"[\s\S]+", mergeable_ranks=sent.value, special_tokens={})
-        known: dict[bytes, np.ndarray] = {}
-        out = []
-        for data in t["data"]:
-            numbers, sizes, joined = _unpack(data.as_py(), 2, 1)
-            ends, ids = np.cumsum(sizes).tolist(), []
-            for a, b in zip([0, *ends], ends):
-                word = joined[a:b]
-                if word not in known:
-                    known[word] = np.array(whole.encode_ordinary(word.decode()), np.uint32)
-                ids.append(known[word])
-            out.append(_pack(numbers, np.array([len(x) for x in ids]), np.concatenate(ids)))
-        return pa.table([t["block"], pa.array(out, pa.binary())], ["block", "data"])
-
-    answers = coded.mapInArrow(cells, "block long, bucket int, data binary").groupBy("bucket").applyInArrow(answer, "block long, data binary")
+        out: list[bytes] = []
+        if t["dest"][0].as_py() < 0:
+            whole, known = _encoder(sent.value), {}
+            for data in t["data"]:
+                numbers, sizes, joined = _unpack(data.as_py(), 2, 1)
+                ends, ids = np.cumsum(sizes).tolist(), []
+                for a, b in zip([0, *ends], ends):
+                    word = joined[a:b]
+                    if word not in known:
+                        known[word] = np.array(whole.encode_ordinary(word.decode()), np.uint32)
+                    ids.append(known[word])
+                out.append(_pack(numbers, np.array([len(x) for x in ids]), np.concatenate(ids)))
+        return pa.table([t["block"].slice(0, len(out)), pa.array(out, pa.binary())], ["block", "data"])
+
+    answers = coded.groupBy("dest").applyInArrow(answer, "block long, data binary")
 
     def assemble(own: pa.Table, ids: pa.Table) -> pa.Table:
-        own = own.filter(pa.array(own["bucket"].is_null()))
+        own = own.slice(0, len(own) if len(own) and own["dest"][0].as_py() >= 0 else 0)
         parts = [_unpack(d.as_py(), 3) for d in ids["data"]]
         none = [np.zeros(0, np.uint32)]
         numbers, sizes, flat = (np.concatenate([p[i] for p in parts] or none) for i in range(3))
@@ -188,40 +212,42 @@ def encode(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str, key: str
         ids_of = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found or none).astype(np.int32)))
         return pa.table([own["key"], ids_of], ["key", "ids"])
 
-    found = coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, f"key {kind.simpleString()}, ids array<int>")
+    found = coded.groupBy("dest").cogroup(answers.groupBy("block")).applyInArrow(assemble, f"key {kind.simpleString()}, ids array<int>")
     return found.withColumnRenamed("key", key)
 
 
+def _bytes(ids: pa.Array, token) -> list[bytes | None]:
+    return [b"".join(map(token, x.values.to_numpy().tolist())) if x.is_valid else None for x in ids]
+
+
+def _tokens(spark, vocabulary: dict[bytes, int]):
+    return spark.sparkContext.broadcast({rank: token for token, rank in vocabulary.items()})
+
+
 def decode(rows: DataFrame, vocabulary: dict[bytes, int], ids: str = "ids") -> DataFrame:
     """``rows`` (a key and ids) with decoded, the bytes of the ids; null ids give null."""
-    sent = rows.sparkSession.sparkContext.broadcast({rank: token for token, rank in vocabulary.items()})
+    sent = _tokens(rows.sparkSession, vocabulary)
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(batches):
-        token = sent.value.__getitem__
         for batch in batches:
-            texts = [None if not x.is_valid else b"".join(map(token, x.values.to_numpy().tolist())) for x in batch.column(ids)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_bytes(batch.column(ids), sent.value.__getitem__), pa.binary())], [*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(run, f"{out}, decoded binary")
 
 
-def round_trip(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, ids and decoded of each row of ``docs`` (doc_id, text)."""
-    return decode(encode(docs, vocabulary, pattern), vocabulary)
-
-
-def digests(rows: DataFrame, ids: str = "ids") -> DataFrame:
-    """``rows`` without the ids, with n_tokens and ids_sha256 (over little-endian 32-bit integers)."""
+def digests(rows: DataFrame, vocabulary: dict[bytes, int], key: str = "doc_id") -> DataFrame:
+    """``key``, n_tokens, ids_sha256 (over little-endian 32-bit integers) and decoded_sha256 (over what the ids decode to) of ``rows`` (key, ids); one pass over the ids."""
     from hashlib import sha256
 
-    kept = [f for f in rows.schema.fields if f.name != ids]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    sent = _tokens(rows.sparkSession, vocabulary)
+    kind = rows.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            own = [x.values.to_numpy().astype("<u4") for x in batch.column(ids)]
-            cols = [batch.column(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([len(x) for x in own], pa.int64()), pa.array([sha256(x.tobytes()).hexdigest() for x in own])], [*(f.name for f in kept), "n_tokens", "ids_sha256"])
+            ids = batch.column("ids")
+            own = [sha256(x.values.to_numpy().astype("<u4").tobytes()).hexdigest() for x in ids]
+            back = [sha256(_bytes(ids.slice(i, 1), sent.value.__getitem__)[0]).hexdigest() for i in range(len(ids))]
+            yield pa.RecordBatch.from_arrays([batch.column(key), ids.value_lengths().cast(pa.int64()), pa.array(own), pa.array(back)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(run, f"{out}, n_tokens long, ids_sha256 string")
+    return rows.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -260,8 +260,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_rows(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    found = bpe.digests(bpe.round_trip(docs.select("doc_id", "text"), ranks, pattern))
-    return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digests(bpe.encode(docs, ranks, pattern), ranks)
 
 
 def queries() -> dict:
