@@ -75,7 +75,7 @@ def test_rows_are_discarded_early_and_rightly():
     base = rng.normal(size=(24, 24)) * np.geomspace(8, 0.05, 24)
     whole = np.floor(256 * rng.normal(size=(900, 24)) @ base)
     turn = np.linalg.eigh(whole.T @ whole)[1][:, ::-1]
-    a, v = negatives.Side(whole[:5], turn), negatives.Side(whole, turn)
+    a, v = negatives.Side(whole[:5], turn, [3, 9]), negatives.Side(whole, turn, [3, 9])
     for (i, at, scores) in negatives.surviving(a, v, lambda i, at, low, high: high >= negatives.at_least(low, 10)):
         every = whole @ whole[i]
         assert set(np.argsort(-every)[:10]) <= set(at) and len(at) < 200

@@ -30,8 +30,8 @@ from tidemill.scratch import materialise
 
 #: Rows of a block of anchors and of a block of vectors; anchors are multiplied ``CHUNK`` at a time.
 QUERY_BLOCK, VECTOR_BLOCK, CHUNK = 512, 4096, 64
-#: Shares of the components that are added up before a row is multiplied in full.
-STAGES = (0.125, 0.375, 0.75)
+#: Shares of the rows' second moments (of the components, where no rotation is fitted) that are added up before a row is multiplied in full.
+STAGES = (0.8, 0.97)
 #: Rounding of a product in doubles, as a share of the norms' product (a thousand times what ``MOST_DIM`` components need).
 SLACK = 1e-9
 #: The longest vectors for which a rotation is fitted (its square is summed up by every task).
@@ -70,8 +70,8 @@ def _matrix(form: list[bytes], wide: list[int], dim: int) -> np.ndarray:
     return np.stack([np.frombuffer(f, kinds[w]).astype(np.float64) for f, w in zip(form, wide)]) if form else np.zeros((0, dim))
 
 
-def rotation(rows: DataFrame, dim: int) -> np.ndarray:
-    """Eigenvectors of the second moments of all directions of length ``dim``, largest first, as columns."""
+def rotation(rows: DataFrame, dim: int) -> tuple[np.ndarray, list[int]]:
+    """Eigenvectors of the second moments of all directions of length ``dim``, largest first, as columns; and how many of them each stage takes."""
 
     def run(batches):
         moment = np.zeros((dim, dim))
@@ -85,30 +85,33 @@ def rotation(rows: DataFrame, dim: int) -> np.ndarray:
     sums = rows.where(F.col("dim") == dim).select("form", "wide").mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).toPandas()
     moment = np.zeros(dim * dim)
     moment[sums["i"].to_numpy(np.int64)] = sums["s"].to_numpy()
-    return np.linalg.eigh(moment.reshape(dim, dim))[1][:, ::-1].copy()
+    values, vectors = np.linalg.eigh(moment.reshape(dim, dim))
+    held = np.cumsum(np.maximum(values[::-1], 0.0))
+    return vectors[:, ::-1].copy(), sorted({min(dim, int(np.searchsorted(held, held[-1] * s)) + 1) for s in STAGES})
 
 
 class Side:
     """A block's vectors in whole numbers and rotated, with the norms of what follows each stage."""
 
-    def __init__(self, whole: np.ndarray, turn: np.ndarray | None):
+    def __init__(self, whole: np.ndarray, turn: np.ndarray | None = None, ends: list[int] | None = None):
         self.whole = whole
         self.turned = whole @ turn if turn is not None else whole
         d = whole.shape[1]
-        self.ends = sorted({max(1, round(d * s)) for s in STAGES if d})
+        self.most = np.abs(whole).max(initial=1.0)
+        self.ints = whole.astype(np.int64) if self.most < 2**31 else None
+        self.ends = ends or sorted({max(1, round(d * s)) for s in STAGES if d})
         with np.errstate(over="ignore"):
             # norms of the rest, raised by what rounding may have taken away
             self.rest = [np.sqrt(np.square(self.turned[:, m:]).sum(axis=1)) for m in self.ends]
             self.norm = np.sqrt(np.square(whole).sum(axis=1))
 
 
-def exact(anchor: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Integer products, within the range of 64 bits; where these may not hold them, through Python's integers."""
-    most = max(np.abs(anchor).max(initial=0.0), 1.0) * max(np.abs(rows).max(initial=0.0), 1.0)
-    if most * len(anchor) < WIDE:
-        return rows.astype(np.int64) @ anchor.astype(np.int64)
-    whole = [int(x) for x in anchor]
-    return np.array([min(max(sum(a * int(x) for a, x in zip(whole, row)), LONG[0]), LONG[1]) for row in rows], np.int64)
+def exact(a: Side, i: int, v: Side, at: np.ndarray) -> np.ndarray:
+    """Integer products of anchor i with rows ``at``, within the range of 64 bits; where these may not hold them, through Python's integers."""
+    if a.ints is not None and v.ints is not None and a.most * v.most * a.whole.shape[1] < WIDE:
+        return v.ints[at] @ a.ints[i]
+    whole = [int(x) for x in a.whole[i]]
+    return np.array([min(max(sum(p * int(q) for p, q in zip(whole, row)), LONG[0]), LONG[1]) for row in v.whole[at]], np.int64)
 
 
 def surviving(a: Side, v: Side, keeps) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -132,7 +135,7 @@ def surviving(a: Side, v: Side, keeps) -> Iterator[tuple[int, np.ndarray, np.nda
                 at, sums = at[left], sums[left]
             if not a.ends:
                 at = at[keeps(i, at, np.zeros(len(at)), np.zeros(len(at)))]
-            yield i, at, exact(a.whole[i], v.whole[at])
+            yield i, at, exact(a, i, v, at)
 
 
 def at_least(low: np.ndarray, k: int) -> float:
@@ -159,7 +162,7 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     rows = materialise(_forms(rows, scale), "whole")
     sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("anchor").alias("a")).orderBy(F.desc("n"), "dim").limit(1).collect()
     dim = sizes[0]["dim"] if sizes else 0
-    turn = spark.sparkContext.broadcast((dim, rotation(rows, dim) if 0 < dim <= MOST_DIM else None))
+    turn = spark.sparkContext.broadcast((dim, *(rotation(rows, dim) if 0 < dim <= MOST_DIM else (None, None))))
     n, n_anchors = rows.count(), rows.where("anchor").count()
     q_blocks, v_blocks = -(-n_anchors // QUERY_BLOCK) or 1, -(-n // VECTOR_BLOCK) or 1
     block = F.xxhash64("vec_id", "at")
@@ -174,8 +177,8 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
 
     def side(t: pa.Table) -> Side:
         own = t["dim"][0].as_py()
-        fitted, matrix = turn.value
-        return Side(_matrix(t["form"].to_pylist(), t["wide"].to_pylist(), own), matrix if own == fitted else None)
+        fitted, *how = turn.value
+        return Side(_matrix(t["form"].to_pylist(), t["wide"].to_pylist(), own), *(how if own == fitted else ()))
 
     def codes(a: pa.Table, v: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         seen: dict = {}
@@ -222,10 +225,11 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
                 return some
 
             for i, at, scores in surviving(side(a), side(v), keeps):
-                whole = scores.astype(object)
+                # a hundred times a score must fit
+                whole = scores if -(2**56) < scores.min(initial=0) and scores.max(initial=0) < 2**56 else scores.astype(object)
                 for p in pos[i]:
                     score = p["positive_score"]
-                    inside = np.flatnonzero((100 * whole >= low * score) & (100 * whole <= high * score)) if len(whole) else np.zeros(0, int)
+                    inside = np.flatnonzero((100 * whole >= low * score) & (100 * whole <= high * score)) if len(whole) and score >= 0 else np.zeros(0, int)
                     top = inside[best(scores[inside], ids[at][inside], negatives)]
                     out += [(q_at[i], qid[i], p["positive_id"], score, j, s) for j, s in zip(ids[at][top], scores[top])]
         cols = list(zip(*out)) or [[]] * 6
