@@ -64,7 +64,6 @@ def test_titles(spark):
     assert many(spark, ["X & more", "The weekly quiz: who?", "Why this", "a, b, c, d", "No why", "Plain"], lambda c: text.is_roundup(c, text.Roundup(("& more", "weekly quiz"), ("why",)))) == [True, True, True, True, False, False]
     spoken = ["Real 2, Barca 1", "out 2-3 weeks", "won 2-1 Weeks", "Barca 1 Real 16"]
     assert many(spark, spoken, lambda c: text.scores(c, units=("weeks",), names=("Real", "Barca"))) == [["1-2"], [], [], []]
-    assert text.score_spans("a 2-1, 2026-2-1 U-3 10 – 9.") == [(2, 5, (1, 2)), (20, 26, (9, 10))]
 
 
 def test_names_and_tags(spark):

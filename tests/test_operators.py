@@ -183,10 +183,23 @@ def test_copies_of_a_title_are_one_story(spark):
     assert cluster.clusters(docs.limit(0)).count() == 0
 
 
-def test_title_features():
-    f = cluster.title_features("Man Utd 2-1 Chelseas [PL] win", False, frozenset({"win"}), {"utd": "united"})
-    assert f["score:1-2"] == 1 and abs(f["man"] - 2**-0.5) < 1e-12 and f["united"] == f["man"] and f["chelse"] == 1 and "win" not in f and "pl" not in f
-    assert set(cluster.title_features("손흥민 골", True)) == {"손흥", "흥민"}
+def test_title_features(spark):
+    rows = [
+        ("Man Utd 2-1 Chelseas [PL] win", "en"), ("손흥민 골", "ko"), (None, "en"), ("", "en"), ("[UCL REVIEW] 맨시티, PSG에 2-4로 참패", "ko"), ("2026-27 season: 10-man Spurs, U-21 side, 8.4초 1/10", "en"),
+        ("Ｒeal Madrid 4–3 Ro\u0301ma, Ana María López win Win Madrid", None), ("PSG LAFC 손흥민", "ko"), ("NEW York: Red Bulls 韓 班 99 2026 x", "en"), ("pass Pass Press cross", "en"),
+    ]
+    df = spark.createDataFrame(rows, "t string, l string")
+    korean = F.coalesce(F.col("l") == "ko", F.lit(False))
+    got = [{x.feature: round(x.w, 12) for x in r.f or []} for r in df.select(cluster.title_features(F.col("t"), korean, ("win",), {"utd": "united"}).alias("f")).collect()]
+    half, third = round(2**-0.5, 12), round(3**-0.5, 12)
+    assert got[0] == {"score:1-2": 1, "man": half, "united": half, "chelse": 1}
+    assert got[1] == {"손흥": 1, "흥민": 1} and got[2] == got[3] == {}
+    assert got[4] == {"맨시": 1, "시티": 1, "psg": 1, "score:2-4": 1, "참패": 1}
+    assert got[5] == {"2026": 1, "season": 1, "man": 1, "spur": 1, "side": 1}
+    assert got[6] == {"real": half, "madrid": 1, "score:3-4": 1, "roma": 1, "ana": third, "maria": third, "lopez": third}
+    assert got[7] == {"psg": 1, "lafc": 1, "손흥": 1, "흥민": 1}
+    assert got[8] == {"new": half, "york": half, "red": half, "bull": half, "2026": 1}
+    assert got[9] == {"pass": 1, "press": half, "cross": 1}
 
 
 def test_checks(spark):

@@ -96,9 +96,14 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def bare_letters(c: Column) -> Column:
+    """Lower case, without the marks of letters."""
+    return F.lower(F.regexp_replace(F.translate(c, "".join(_MARKED), "".join(_MARKED.values())), r"\p{M}+", ""))
+
+
 def search_tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits, without the marks of letters."""
-    return words(F.regexp_replace(F.translate(c, "".join(_MARKED), "".join(_MARKED.values())), r"\p{M}+", ""))
+    return words(bare_letters(c))
 
 
 def initial(c: Column) -> Column:
@@ -110,22 +115,6 @@ def initial(c: Column) -> Column:
     return F.when((code >= 0xAC00) & (code <= 0xD7A3), F.element_at(lead, (F.floor((code - 0xAC00) / 588) + 1).cast("int"))).otherwise(F.upper(first))
 
 
-def score_spans(text: str, most: int = 99) -> list[tuple[int, int, tuple[int, int]]]:
-    """(start, end, (low, high)) of the scores in a text: two whole numbers of one or two digits with a dash between them, blanks allowed, no part of a longer row of numbers or of a word."""
-    numbers = [(m.start(), m.end()) for m in re.finditer(r"[0-9]+", text)]
-    dashed = [re.fullmatch(r"\s?[-–]\s?", text[a[1] : b[0]]) is not None for a, b in zip(numbers, numbers[1:])]
-    out = []
-    for k, joined in enumerate(dashed):
-        (s, e), (t, u) = numbers[k], numbers[k + 1]
-        alone = not (k and dashed[k - 1]) and not (k + 1 < len(dashed) and dashed[k + 1])
-        edges = (text[s - 1 : s] or " ") + (text[u : u + 1] or " ")
-        if joined and alone and e - s <= 2 and u - t <= 2 and edges[0] != "." and not any(c.isalnum() or c == "_" for c in edges):
-            low, high = sorted((int(text[s:e]), int(text[t:u])))
-            if high <= most:
-                out.append((s, u, (low, high)))
-    return out
-
-
 def scores(title: Column, most: int = 15, units: Sequence[str] = (), names: Sequence[str] = ()) -> Column:
     """Scores in a title as ``low-high``, in order, without repeats; none above ``most`` goals or inside longer numbers.
 

@@ -41,22 +41,32 @@ def unshared_terms(terms: DataFrame) -> DataFrame:
     return terms.join(one, "term", "left_semi")
 
 
-def tags(rows: DataFrame, id_: str, tokens: str, terms: DataFrame, longest: int = 4) -> DataFrame:
-    """(id, slug, pos): dictionary entries found as runs of tokens, leftmost longest first per start; an equi-join on the run's text."""
+def _longest(terms: DataFrame) -> int:
+    """Tokens of the longest entry of a dictionary."""
+    return terms.agg(F.max(F.size(F.split("term", " "))).alias("n")).first()["n"] or 1
+
+
+def tags(rows: DataFrame, id_: str, tokens: str, terms: DataFrame, longest: int | None = None) -> DataFrame:
+    """(id, slug, pos): dictionary entries found as runs of tokens, the longest for each start; an equi-join on the run's text.
+
+    Runs of up to ``longest`` tokens are looked at, by default as many as the longest entry has; :mod:`entities` has the form for long dictionaries and any script.
+    """
+    longest = longest or _longest(terms)
     at = F.explode(F.expr(f"filter(flatten(transform(sequence(1, greatest(size({tokens}), 1)), i -> transform(sequence(1, {longest}), n -> struct(i AS pos, n AS words, concat_ws(' ', slice({tokens}, i, n)) AS term)))), x -> x.pos + x.words - 1 <= size({tokens}))"))
     runs = rows.select(F.col(id_).alias("id"), at.alias("r")).select("id", "r.*")
     found = runs.join(terms, "term")
     return found.groupBy("id", "pos").agg(F.max_by("slug", F.struct("words", "slug")).alias("slug")).select("id", "slug", "pos")
 
 
-def tags_in_context(rows: DataFrame, id_: str, tokens: str, terms: DataFrame, evidence: DataFrame, vetoes: DataFrame, longest: int = 4) -> DataFrame:
+def tags_in_context(rows: DataFrame, id_: str, tokens: str, terms: DataFrame, evidence: DataFrame, vetoes: DataFrame, longest: int | None = None) -> DataFrame:
     """(id, slug, pos of its first hit): dictionary tags of rows of cased tokens that their context bears out.
 
     ``terms``: term (lower case), slug, shared.  A hit is a run of tokens that all start with a capital, a digit or a
     letter without case.  A hit inside a longer one does not count.  A ``shared`` term, which also means other things,
     counts only beside a hit of one of its ``evidence`` (slug, evidence); a slug falls to a hit of one of its
-    ``vetoes`` (slug, veto).
+    ``vetoes`` (slug, veto).  Runs are as in :func:`tags`.
     """
+    longest = longest or _longest(terms)
     at = F.explode(F.expr(f"filter(flatten(transform(sequence(1, greatest(size({tokens}), 1)), i -> transform(sequence(1, {longest}), n -> struct(i AS pos, n AS words, slice({tokens}, i, n) AS run)))), x -> x.pos + x.words - 1 <= size({tokens}) AND forall(x.run, t -> t <> '' AND substring(t, 1, 1) = upper(substring(t, 1, 1))))"))
     runs = rows.select(F.col(id_).alias("id"), at.alias("r")).select("id", "r.pos", "r.words", F.lower(F.array_join("r.run", " ")).alias("term"))
     found = runs.join(terms, "term").groupBy("id").agg(F.collect_list(F.struct("pos", "words", "slug", "shared")).alias("hits"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemill.operators import aggregate, windows
@@ -20,7 +21,7 @@ SELECT pos, n_name AS name, pts, form, CASE WHEN pos <= 4 THEN 'champions' WHEN
 def standings_view(spark, sf_dir):
     rows = sides(spark, sf_dir)
     t = aggregate.standings(rows).withColumn("gd", F.col("gf") - F.col("ga"))
-    t = windows.top(t, [], [F.desc("pts"), F.desc("gd"), F.desc("gf"), F.col("team")], 1000, "pos")
+    t = t.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("pts"), F.desc("gd"), F.desc("gf"), "team")))
     form = windows.last_list(rows, ["team"], ["kickoff", "l_orderkey", "l_linenumber", "venue"], "result", 5)
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("team"), F.col("n_name").alias("name"))
     zone = F.when(F.col("pos") <= 4, "champions").when(F.col("pos") <= 6, "cup").when(F.col("pos") >= 23, "relegation")
