@@ -1,4 +1,4 @@
 """All queries of the reference workload on the driver tables."""
 
-from tidemill.plans import calendar, claims, entities, folding, matches, news, outlets, ranking, relations, runs, scalars, streams, titles, views  # noqa: F401
+from tidemill.plans import calendar, claims, entities, folding, matches, moves, news, outlets, ranking, relations, runs, scalars, streams, titles, verification, views  # noqa: F401
 from tidemill.plans.registry import ORACLES, QUERIES  # noqa: F401
