@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemill.plans.registry import query
 from tidemill.plans.relations import STARTS, VERDICT, now, starts
 from tidemill.session import table
-from tidemill.streaming import state
+from tidemill.streaming import keyed, state
 
 
 def event_stream(spark, sf_dir):
@@ -43,3 +43,33 @@ def pending_retries(spark, sf_dir):
     tried = e.where("ts >= '2024-01-29'").select(F.col("user_id").alias("id"), (F.col("event_type") == "purchase").alias("ok"))
     left, dropped = state.pending_retries(pending, tried, 3)
     return left.withColumn("dropped", F.lit(False)).unionByName(dropped.drop("reason").withColumn("dropped", F.lit(True))).select("id", "retries", "dropped")
+
+
+@query("""
+WITH e AS (SELECT user_id, date_trunc('second', ts) AS ts FROM events WHERE event_type <> 'view'), top AS (SELECT max(ts) AS top FROM e),
+g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 2 DAY THEN 1 ELSE 0 END AS cut FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+r AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS run FROM g),
+k AS (SELECT user_id, max(run) AS last FROM r GROUP BY 1), l AS (SELECT user_id, min(ts) AS first, max(ts) AS newest FROM r JOIN k USING (user_id) WHERE run = last GROUP BY 1)
+SELECT user_id, epoch(first)::BIGINT AS first_at, epoch(newest)::BIGINT AS newest_at, newest + INTERVAL 2 DAY <= top AS expired FROM l, top
+""")
+def stream_timed_keys(spark, sf_dir):
+    """Users without views, forgotten two days after their last event; the timers fire as the watermark passes."""
+    e = event_stream(spark, sf_dir).where("event_type <> 'view'").select("user_id", F.date_trunc("second", "ts").alias("ts"))
+    now = keyed.latest(keyed.first_seen(e, "user_id", "ts", 2), ["user_id"])
+    return now.select("user_id", F.unix_timestamp("first").alias("first_at"), F.unix_timestamp("newest").alias("newest_at"), (F.col("state") == "expired").alias("expired"))
+
+
+@query("""
+WITH e AS (SELECT user_id, date_trunc('second', ts) AS ts, event_type = 'purchase' AS ok FROM events WHERE event_type IN ('error', 'purchase')),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, ok) AS i FROM e),
+f AS (SELECT user_id, i, count(*) FILTER (ok) OVER w AS done, ok FROM o WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+n AS (SELECT user_id, i, ok, row_number() OVER (PARTITION BY user_id, coalesce(done, 0), ok ORDER BY i) AS nth FROM f),
+l AS (SELECT user_id, arg_max(ok, i) AS ok, arg_max(nth, i) AS nth, max(i) AS last FROM n GROUP BY 1)
+SELECT user_id, CASE WHEN NOT ok AND nth % 4 > 0 THEN nth % 4 ELSE 0 END AS waiting FROM l
+""")
+def stream_retries(spark, sf_dir):
+    """Users whose last event of the two is an error: their tries since the last purchase, dropped past three."""
+    e = event_stream(spark, sf_dir).where("event_type IN ('error', 'purchase')").select("user_id", F.date_trunc("second", "ts").alias("ts"), (F.col("event_type") == "purchase").alias("ok"))
+    users = table(spark, sf_dir, "events").where("event_type IN ('error', 'purchase')").select("user_id").distinct()
+    last = keyed.latest(keyed.retries(e, "user_id", "ts", "ok", 3, 400), ["user_id"])
+    return users.join(last, "user_id", "left").select("user_id", F.when(F.col("state") == "pending", F.col("tries")).otherwise(0).alias("waiting"))
