@@ -217,6 +217,23 @@ def test_empty_inputs(spark):
     assert joins.within(df, df.withColumnRenamed("at", "bt").select("k", "bt"), ["k"], "at", "bt", 10).count() == 0
 
 
+def test_anchored_windows_of_long_runs(spark, monkeypatch):
+    """Runs over the limit are chained by doubling; one busy key, a null key, equal times."""
+    monkeypatch.setattr(folds, "LONG", 3)
+    rng = random.Random(8)
+    t0 = datetime.datetime(2026, 1, 1)
+    rows = [(k, i, t0 + datetime.timedelta(minutes=rng.randrange(60 * 24 * (20 if k == 1 else 3)))) for i in range(500) for k in ([1, 1, 1, 2, None][i % 5],)] + [(1, 900, None)]
+    got = {(r.k, r.i): r.anchor for r in folds.anchored_windows(spark.createDataFrame(rows, "k int, i int, at timestamp"), "k", ["i"], "at", 3600 * 3).collect()}
+    want = {}
+    for k in (1, 2, None):
+        anchor = None
+        for t, i in sorted((t, i) for q, i, t in rows if q == k and t):
+            if anchor is None or t - anchor > datetime.timedelta(hours=3):
+                anchor = t
+            want[k, i] = anchor
+    assert got == want
+
+
 def test_anchored_and_speech(spark):
     patterns = [("official", f"{keywords.ANCHOR} signs"), ("rumour", f"linked with {keywords.ANCHOR}")]
     rows = [("Ann signs; club linked with Ann", "Ann"), ("Anna signs", "Ann"), ("ann signs", "Ann"), (r"A\Eb (x) SIGNS", r"A\Eb (x)"), (None, "Ann"), ("Ann signs", None), ("", "")]
