@@ -92,3 +92,15 @@ def test_rows_that_share_an_id_or_have_none(spark):
     bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
     assert sorted(r.at for r in decontam.clean(docs, bench).collect()) == [2, 4]
     assert sorted(((r.doc_id, r.place) for r in decontam.contaminated(docs, bench).collect()), key=repr) == [(5, 1), (6, 0), (None, 0)]
+
+
+def test_a_common_word_in_a_long_text(spark):
+    """A one-token item at thousands of places, and an item that hangs over either end of the text."""
+    words = ["the" if i % 4 == 0 else f"w{i}" for i in range(20000)]
+    tail = [f"q{i}" for i in range(16)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(tail[2:] + ["x"] * 40)), (3, " ".join(["x"] * 40 + tail[:14]))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "the"), (8, " ".join(tail))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.place, r.equal) for r in decontam.contaminated(docs, items, 1).collect()}
+    assert got == {(1, 7): (0, 1), (2, 8): (-2, 14), (3, 8): (40, 14)}
+    plan = decontam._pairs(docs, items, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 1  # the hits are written: what is left reads each text once

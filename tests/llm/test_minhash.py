@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.llm import minhash, textbytes
 from tidemill.operators.components import components
@@ -147,3 +148,17 @@ def test_near_copies_without_ids(spark):
     assert len(out) == 2 and sum(r.text in texts for r in out) == 1
     mixed = spark.createDataFrame([(None, texts[0]), (5, texts[1]), (4, texts[2])], "doc_id long, text string")
     assert [r.doc_id for r in minhash.deduplicate(mixed).collect()] == [4]
+
+
+def test_many_null_ids_are_linear(spark):
+    """Each class reads its own text, not every text of its id."""
+    rows = [(None, " ".join(f"w{i}x{j}" for j in range(12)) + (" tail" if k else "")) for i in range(5000) for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = minhash.fingerprints(df)
+    want = prints.select(F.monotonically_increasing_id().alias("nid"), "set_key", "doc_id", "mark")
+    sets = minhash._sets(df, want, 5)
+    assert sets.count() == 10000
+    joined = df.select("doc_id", minhash.text_mark().alias("mark")).join(want.select(F.col("doc_id").alias("i"), F.col("mark").alias("m")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")))
+    assert joined.count() == 10000
+    out = minhash.near_duplicates(df)
+    assert out.count() == 10000 and out.where("kept").count() == 10000

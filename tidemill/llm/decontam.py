@@ -65,15 +65,18 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
     items = materialise(items.groupBy("t").agg(F.collect_set("item_id").alias("ids"), F.max(F.col("item_id").isNull()).alias("nameless")).withColumn("cls", F.monotonically_increasing_id()), "items")
     any_of = items.agg(*[F.coalesce(F.bool_or(F.size("t").between(low, high)), F.lit(False)) for _, low, high in SIZED]).first()
     numbers = [k for k, there in enumerate(any_of) if there] or [0]
-    wanted = materialise(seeds(items.select("cls", "t"), "cls", numbers, True).select("h", "cls", F.col("p").alias("q")), "seeds")
+    wanted = materialise(seeds(items.select("cls", "t"), "cls", numbers, True).join(items.select("cls", F.size("t").alias("m")), "cls").select("h", "cls", F.col("p").alias("q"), "m"), "seeds")
     found = seeds(docs.select(_row(docs).alias("row"), tokens(F.col("text")).alias("t")), "row", numbers)
     small = wanted.count() <= SEND_ROWS
-    hits = found.join(F.broadcast(wanted) if small else wanted, "h").select("row", "cls", (F.col("p") - F.col("q")).alias("place")).distinct()
-    near = materialise(hits, "hits")
-    if near.count() <= SEND_ROWS:
+    hits = found.join(F.broadcast(wanted) if small else wanted, "h").select("row", "cls", "m", (F.col("p") - F.col("q")).alias("place")).distinct()
+    # the places of a row go together, so its text is read and cut into tokens once, and only the tokens under an item go on
+    near = materialise(hits.groupBy("row").agg(F.collect_list(F.struct("cls", "m", "place")).alias("places")), "hits")
+    if near.agg(F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("n")).first()["n"] <= SEND_ROWS:
         near = F.broadcast(near)
-    laid = docs.select(_row(docs).alias("row"), "text").join(near, "row").select("row", "cls", "place", tokens(F.col("text")).alias("d"))
-    laid = laid.join(items, "cls").withColumn("same", F.expr("transform(t, (x, i) -> if(x = get(d, cast(place + i AS int)), 1, 0))"))
+    # explode of one: what follows reads the tokens and does not form them anew for each place
+    once = docs.select(_row(docs).alias("row"), "text").join(near, "row").select("row", "places", F.explode(F.array(tokens(F.col("text")))).alias("d"))
+    under = F.expr("transform(places, h -> struct(h.cls, h.place, slice(d, greatest(h.place, 0) + 1, greatest(h.m + least(h.place, 0), 0)) AS part))")
+    laid = once.select("row", F.inline(under)).join(items, "cls").withColumn("same", F.expr("transform(t, (x, i) -> if(x = get(part, cast(i + least(place, 0) AS int)), 1, 0))"))
     need = F.expr(f"if(size(t) >= {WINDOW}, {EQUAL}, if(size(t) >= {LEAST}, size(t) - size(t) * {WINDOW - EQUAL} div {WINDOW}, size(t)))")
     best = F.expr(f"array_max(transform(sequence(1, size(t)), i -> aggregate(slice(same, i, {WINDOW}), 0, (a, x) -> a + x)))")
     kept = laid.where(best >= need)

@@ -64,11 +64,13 @@ def set_key(shingles: np.ndarray) -> bytes:
     return b"".join((textbytes.mix64(shingles ^ c).sum(dtype=np.uint64) + np.uint64(len(shingles))).tobytes() for c in (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)))
 
 
-def fingerprints(docs: DataFrame, width: int = 5, mark: Column | None = None) -> DataFrame:
-    """doc_id, mark, n_shingles, set_key, bands (array of bucket keys), sketch (low bytes of the signature), per row of ``docs``.
+def text_mark(text: str = "text") -> Column:
+    """The hash of a text by which rows that share an id are told apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
-    ``mark`` is a long that goes with each row, 0 if it isn't given.
-    """
+
+def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, mark (of its text), n_shingles, set_key, bands (array of bucket keys), sketch (low bytes of the signature), per row of ``docs``."""
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -89,12 +91,11 @@ def fingerprints(docs: DataFrame, width: int = 5, mark: Column | None = None) ->
                 bands.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "mark", "n_shingles", "set_key", "bands", "sketch"])
 
-    mark = F.lit(0).cast("long") if mark is None else mark
-    return docs.select("doc_id", "text", mark.alias("mark")).mapInArrow(run, f"doc_id {kind}, mark long, n_shingles long, set_key binary, bands array<long>, sketch binary")
+    return docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(run, f"doc_id {kind}, mark long, n_shingles long, set_key binary, bands array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, want: DataFrame, width: int) -> DataFrame:
-    """(nid, shingles) for the classes of ``want`` (nid, set_key, doc_id), from the text of their least document."""
+    """(nid, shingles) for the classes of ``want`` (nid, set_key, doc_id, mark), from the text of one of their documents; other texts of that id are not read."""
 
     def run(batches):
         for batch in batches:
@@ -103,10 +104,10 @@ def _sets(docs: DataFrame, want: DataFrame, width: int) -> DataFrame:
             flat = pa.array([s.view(np.int64) for s, ok in zip(sets, same) if ok], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("nid").filter(pa.array(same, pa.bool_())), flat], ["nid", "shingles"])
 
-    want = materialise(want.withColumnRenamed("doc_id", "_id"), "wanted")
+    want = materialise(want.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}), "wanted")
     if want.count() <= SEND_ROWS:
         want = F.broadcast(want)
-    rows = docs.select("doc_id", "text").join(want, F.col("doc_id").eqNullSafe(F.col("_id"))).select("nid", "set_key", "text")
+    rows = docs.select("doc_id", "text", text_mark().alias("mark")).join(want, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("nid", "set_key", "text")
     return rows.mapInArrow(run, "nid long, shingles array<long>").dropDuplicates(["nid"])
 
 
@@ -267,10 +268,11 @@ def _tiles(rows: DataFrame) -> DataFrame:
     return met.withColumn("i", name("i")).withColumn("j", name("j")).drop("block", "other")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, mark: Column | None = None) -> DataFrame:
-    """doc_id, mark (see :func:`fingerprints`), n_shingles, component_id, kept and component (a number of the group, null for empty sets) for every row of ``docs`` (doc_id, text)."""
-    prints = materialise(fingerprints(docs, width, mark), "prints")
-    nodes = prints.where("n_shingles > 0").groupBy("set_key", "n_shingles", "sketch", "bands").agg(F.min("doc_id").alias("doc_id"))
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, mark (of its text), n_shingles, component_id, kept and component (a number of the group, null for empty sets) for every row of ``docs`` (doc_id, text)."""
+    prints = materialise(fingerprints(docs, width), "prints")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("one")
+    nodes = prints.where("n_shingles > 0").groupBy("set_key", "n_shingles", "sketch", "bands").agg(one).select("set_key", "n_shingles", "sketch", "bands", "one.doc_id", "one.mark")
     nodes = materialise(nodes.withColumn("nid", F.monotonically_increasing_id()), "classes")
     small = nodes.select("nid", "n_shingles", "sketch")
     rows = nodes.select("nid", "n_shingles", F.explode("bands").alias("bk"))
@@ -281,7 +283,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, mark: Co
     star = members.where("nid <> rep").select(F.col("rep").alias("a"), F.col("nid").alias("b")).distinct()
     star = materialise(_likely(star, small, percent), "likely")
     best = materialise(star.groupBy("b").agg(F.max(F.struct("est", "a")).alias("m")).select("m.a", "b"), "best")
-    named_sets = lambda ids: materialise(_sets(docs, nodes.select("nid", "set_key", "doc_id").join(ids, "nid"), width), "sets")
+    named_sets = lambda ids: materialise(_sets(docs, nodes.select("nid", "set_key", "doc_id", "mark").join(ids, "nid"), width), "sets")
     ends = lambda pairs: pairs.select(F.col("a").alias("nid")).union(pairs.select("b"))
     sets = named_sets(ends(best).distinct())
     labels = components(_linked(best, sets, percent)).withColumnRenamed("id", "nid")
@@ -317,13 +319,12 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame
     Texts without words are in no group and stay.  A kept row is known by its id and a hash of its text, so a row that
     repeats both goes too.
     """
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    named = near_duplicates(docs.select("doc_id", "text"), width, percent, text)
+    named = near_duplicates(docs.select("doc_id", "text"), width, percent)
     cells = materialise(named.groupBy("doc_id", "mark").agg(F.max("component").alias("component"), F.count("*").alias("n")), "cells")
     first = cells.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "n")).alias("m")).select("m.doc_id", "m.mark", "m.n")
     kept = materialise(first.unionByName(cells.where("component IS NULL").drop("component")).withColumnRenamed("doc_id", "id"), "kept")
-    out = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.id")) & (F.xxhash64(F.coalesce("d.text", F.lit(""))) == F.col("k.mark")), "left_semi")
+    out = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.id")) & (text_mark("d.text") == F.col("k.mark")), "left_semi")
     if not kept.where("n > 1").isEmpty():
         mark = "mark " * (1 + max(map(len, docs.columns)))
-        out = out.withColumn(mark, text).dropDuplicates(["doc_id", mark]).drop(mark)
+        out = out.withColumn(mark, text_mark()).dropDuplicates(["doc_id", mark]).drop(mark)
     return out
