@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and strings that a primed zstandard compressor finds novel in a sensitive context.
 
-The patterns give the base spans.  Beside them, every long string with a sensitive word anywhere on its line or on
-the nearest lines with text before and after, however long these are, is a candidate, and so is the body of every PEM
-private key; the host of a mail address is none.  A compressor primed with
+The patterns give the base spans.  Beside them, every string of ``CANDIDATE_LEAST`` and more letters, digits and ``+/_.~-`` with a sensitive word anywhere on its line or on
+the nearest lines with text before and after, however long these are, is a candidate (one of fewer than ``CERTAIN`` only if it mixes letters with digits or cases inside), and so are the value of ``VALUE_LEAST`` and more characters of
+any kind that is assigned to a name with a sensitive word, and the body of every PEM private key; the host of a mail address is none.  A compressor primed with
 a dictionary of identifiers and code words compresses the text around the candidate with and without it; the
 difference is what the candidate adds.  Names, paths and words that the dictionary or the surroundings hold add a
 few bytes, random strings add nearly what their alphabet needs, and those are reported as kind ``novel``.  Copies
@@ -58,14 +58,20 @@ IDENTIFIERS = (
     "http:// https:// www. .com .org .net /usr/local/bin /var/lib /home/user C:\\Users application/json text/html utf-8 "
 )
 
+#: The shortest candidate, the shortest that counts whatever its letters, and the shortest assigned value.
+CANDIDATE_LEAST, CERTAIN, VALUE_LEAST = 12, 16, 12
 #: A candidate is novel if it adds at least this share of its length to the compressed bytes, or
 #: the share ALIKE of what so many random strings of its alphabet add on average.
 NOVEL, ALIKE, RANDOM = 0.7, 0.85, 3
+#: The same of candidates under CERTAIN and of assigned values.
+SHORT_NOVEL, SHORT_ALIKE = 0.8, 0.9
 #: Code points of text to either side of a candidate that it is compressed with.
 AROUND = 256
 
 _base = (("assign", re.compile(ASSIGN, re.I | re.A), 2, ASSIGN_LEAST), ("access", re.compile(ACCESS), 0, ACCESS_LEAST), ("hex", re.compile(HEX[:-1] + f"{{{HEX_LEAST},}}"), 0, HEX_LEAST))
-_candidate = re.compile(r"(?<!@)(?<![A-Za-z0-9+/_.~-])[A-Za-z0-9+/_.~-]{16,}={0,2}")
+_candidate = re.compile(rf"(?<!@)(?<![A-Za-z0-9+/_.~-])[A-Za-z0-9+/_.~-]{{{CANDIDATE_LEAST},}}={{0,2}}")
+_mixed = re.compile(r"(?=.*[A-Za-z])(?:.*[0-9]|.*[a-z][A-Z]|.*[A-Z]{2}[a-z])", re.S)
+_value = re.compile(rf"(?:{'|'.join(SENSITIVE)})[\w-]*[\"']?[ \t]*(?:=>|:=|[:=])[ \t]*(?:[\"'`]?)([^\s\"'`,;<>]{{{VALUE_LEAST},}})", re.I | re.A)
 _line = re.compile(r"[^\n]*[^\s][^\n]*")
 _pem = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(.{16,}?)(?=-----END |\Z)", re.S)
 _classes = (string.ascii_lowercase, string.ascii_uppercase, string.digits)
@@ -108,9 +114,9 @@ class Context:
         usual = sum(size(x) for x in _random(own)) / RANDOM - alone
         return (size(own) - alone) / len(own), (size(own) - alone) / max(usual, 1)
 
-    def novel(self, start: int, end: int) -> bool:
+    def novel(self, start: int, end: int, strict: bool = False) -> bool:
         by_length, by_random = self.novelty(start, end)
-        return by_length >= NOVEL or by_random >= ALIKE
+        return by_length >= (SHORT_NOVEL if strict else NOVEL) or by_random >= (SHORT_ALIKE if strict else ALIKE)
 
 
 def _random(own: str) -> list[str]:
@@ -121,6 +127,11 @@ def _random(own: str) -> list[str]:
     return ["".join(draw.choices(alphabet, k=len(own))) for _ in range(RANDOM)]
 
 
+def _spread(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts of spans in order, and the furthest end up to each."""
+    return [s for s, _ in sorted(spans)], list(accumulate((e for _, e in sorted(spans)), max))
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of a text as (kind, start, end), by start and then kind."""
     if not text:
@@ -136,13 +147,24 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         if s < e and context.novel(s, e):
             found.append(("novel", s, e))
             base.append((s, e))
-    begins, ends = [s for s, _ in sorted(base)], list(accumulate((e for _, e in sorted(base)), max))
+    def free(s: int, e: int) -> bool:
+        k = bisect_right(begins, s)
+        return not (k and ends[k - 1] > s or k < len(begins) and begins[k] < e)
+
+    covered = lambda s, e: any(a <= s and b >= e for a, b in base[max(0, bisect_right(starts, s) - 3) : bisect_right(starts, s)])
+    base.sort()
+    starts = [s for s, _ in base]
+    for m in _value.finditer(text):
+        s, e = m.span(1)
+        e = s + len(m[1].rstrip(".!?:)]}"))
+        # what the plain alphabet holds whole is a candidate below; a pattern may have caught the beginning of a value
+        if e - s >= VALUE_LEAST and not _candidate.fullmatch(text, s, e) and "://" not in text[s:e] and not covered(s, e) and _mixed.match(text[s:e]) and context.novel(s, e, True):
+            found.append(("novel", s, e))
+    begins, ends = _spread([(s, e) for _, s, e in found])
     for m in _candidate.finditer(text):
         s, e = m.span()
-        k = bisect_right(begins, s)
-        if k and ends[k - 1] > s or k < len(begins) and begins[k] < e:
-            continue
-        if context.near(s, e) and context.novel(s, e):
+        short = e - s < CERTAIN
+        if free(s, e) and not (short and not _mixed.match(m[0])) and context.near(s, e) and context.novel(s, e, short):
             found.append(("novel", s, e))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -165,7 +187,7 @@ def redact_text(text: str | None) -> str | None:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``secret_spans``, an array of (kind, start, end) that is empty where nothing is found."""
+    """``docs`` with a column ``secret_spans``, an array of (kind, start, end) that is empty where nothing is found; a column of that name is replaced."""
     spans = "array<struct<`kind`:string,`start`:int,`end`:int>>"
 
     @F.pandas_udf(spans)
