@@ -5,7 +5,7 @@ template with the differences that are allowed, whatever lines or prose they are
 with every template as raw zstandard dictionary; the templates are ranked by the bytes that they take away, and each
 that takes away a share of its own bytes is laid over every stretch of the block that could hold it.  A stretch is
 confirmed by an exact comparison of wordings: the words of stretch and template are aligned, and the differences may be
-few, and may not touch the words that tell one licence or version from another.  It is then compressed itself with the
+few, and may not touch the words that tell one licence or version from another; a short notice behind a negation is none.  It is then compressed itself with the
 template, which must take away enough of its bytes.  Of stretches that overlap the one with the fewest words of its
 licence's relatives counts, then the one that loses most bytes, then the one with the fewest differences; all others that
 are left are reported too, so a text may state several licences.  Identifiers of an SPDX tag are read one by one.
@@ -44,6 +44,10 @@ _spdx = {name.lower(): name for name in [*SPDX_MORE, *(t[0] for t in TEMPLATES)]
 TAG = "spdx-license-identifier: "
 
 
+#: Words that turn a short notice into its opposite when they stand among the three before it, and how many words a short notice has at most.
+NEGATIONS, SHORT = frozenset(("not", "never", "nor", "neither", "no", "longer", "non", "isn", "without", "un")), 12
+
+
 def _marks(words: list[str]) -> dict[str, int]:
     """Bits of the places of each word."""
     out: dict[str, int] = {}
@@ -111,12 +115,12 @@ def differences(block: str, number: int) -> tuple[float, float, bool]:
 
 
 def gain_of(stretch: str, number: int) -> tuple[int, float]:
-    """(bytes, share) of the compressed stretch that a template takes away."""
+    """(bytes, share) of the compressed stretch, without what an empty one takes, that a template takes away."""
     data = stretch.lower().encode("utf-8", "surrogatepass")
     plain, primed, _ = _compressors()
     alone = len(plain.compress(data))
     taken = alone - len(primed[number].compress(data))
-    return taken, taken / alone
+    return taken, taken / max(1, alone - len(plain.compress(b"")))
 
 
 def stretches(words: list[str], size: int, marks: dict[str, int], pairs: frozenset[tuple[str, str]], telling: frozenset[str]):
@@ -173,7 +177,10 @@ def statements(text: str | None) -> list[dict]:
                 continue
             taken: list[tuple[int, int]] = []
             for i, j, _ in sorted(stretches(words, size, marks, pairs, telling), key=lambda x: (x[2], x[0])):
-                if any(i < b and a < j for a, b in taken):
+                if any(i < b and a < j for a, b in taken) or size <= SHORT and NEGATIONS.intersection(words[max(0, i - 3) : i]):
+                    continue
+                # a name of few words, like one that is a common word elsewhere, must not stand in small letters throughout
+                if size <= 3 and text[at[first + i][0] : at[first + j - 1][1]].islower():
                     continue
                 s, e = at[first + i][0], at[first + j - 1][1]
                 missing, extra, told = differences(low[s:e], number)

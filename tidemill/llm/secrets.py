@@ -132,6 +132,14 @@ def _spread(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return [s for s, _ in sorted(spans)], list(accumulate((e for _, e in sorted(spans)), max))
 
 
+def _parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """A candidate itself; of an address the parts of its path that are long enough, not its host."""
+    if not (text.startswith("//", start) and text[start - 1 : start] == ":"):
+        return [(start, end)]
+    path = text.find("/", start + 2, end)
+    return [m.span() for m in re.compile(rf"[^/]{{{CANDIDATE_LEAST},}}").finditer(text, path, end)] if path >= 0 else []
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of a text as (kind, start, end), by start and then kind."""
     if not text:
@@ -161,10 +169,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         if e - s >= VALUE_LEAST and not _candidate.fullmatch(text, s, e) and "://" not in text[s:e] and not covered(s, e) and _mixed.match(text[s:e]) and context.novel(s, e, True):
             found.append(("novel", s, e))
     begins, ends = _spread([(s, e) for _, s, e in found])
-    for m in _candidate.finditer(text):
-        s, e = m.span()
+    for s, e in (span for m in _candidate.finditer(text) for span in _parts(text, *m.span())):
         short = e - s < CERTAIN
-        if free(s, e) and not (short and not _mixed.match(m[0])) and context.near(s, e) and context.novel(s, e, short):
+        if free(s, e) and not (short and not _mixed.match(text[s:e])) and context.near(s, e) and context.novel(s, e, short):
             found.append(("novel", s, e))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
