@@ -44,8 +44,13 @@ _spdx = {name.lower(): name for name in [*SPDX_MORE, *(t[0] for t in TEMPLATES)]
 TAG = "spdx-license-identifier: "
 
 
-#: Words that turn a short notice into its opposite when they stand among the three before it, and how many words a short notice has at most.
-NEGATIONS, SHORT = frozenset(("not", "never", "nor", "neither", "no", "longer", "non", "isn", "without", "un")), 12
+#: Words that turn a short notice into its opposite when they stand among the BEFORE words before it in its sentence, and how many words a short notice has at most.
+BEFORE = 6
+NEGATIONS, SHORT = frozenset(("not", "never", "nor", "neither", "longer", "isn", "cannot")), 12
+
+
+def _negated(before: str) -> bool:
+    return not NEGATIONS.isdisjoint(_word.findall(re.split(r"[.;:!?]\s|\n", before)[-1]))
 
 
 def _marks(words: list[str]) -> dict[str, int]:
@@ -177,7 +182,7 @@ def statements(text: str | None) -> list[dict]:
                 continue
             taken: list[tuple[int, int]] = []
             for i, j, _ in sorted(stretches(words, size, marks, pairs, telling), key=lambda x: (x[2], x[0])):
-                if any(i < b and a < j for a, b in taken) or size <= SHORT and NEGATIONS.intersection(words[max(0, i - 3) : i]):
+                if any(i < b and a < j for a, b in taken) or size <= SHORT and _negated(low[at[first + max(0, i - BEFORE)][0] : at[first + i][0]]):
                     continue
                 # a name of few words, like one that is a common word elsewhere, must not stand in small letters throughout
                 if size <= 3 and text[at[first + i][0] : at[first + j - 1][1]].islower():
