@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import keywords
 from tidemill.operators.components import components
+from tidemill.scratch import materialise
 
 
 def source_order(sources: Column, lead: Column) -> Column:
@@ -31,6 +32,39 @@ def merge_by_keys(cards: DataFrame, id_: str, key: str) -> DataFrame:
     return cards.select(F.col(id_).alias("id")).distinct().join(owners, "id", "left").withColumn("owner", F.coalesce("owner", "id"))
 
 
+def merge_in_order(cards: DataFrame, keys: DataFrame) -> DataFrame:
+    """(ord, id, owner, action): what becomes of ``cards`` (ord, id, existing) that are taken one after another, by their ``keys`` (ord, pos, key).
+
+    Existing cards stay; the first that has a key owns it.  A new card with a key that is owned goes to the owner of the first such of its keys
+    (``attached``), and its other keys become the owner's; one with no such key is ``refused`` if a card that was kept has its id, else
+    ``added`` and an owner itself.  A refused card owns nothing.  ``owner`` is the ord of the owning card, null if refused.
+
+    Each step depends on earlier cards alone, so the same end is reached without taking turns: the owner of a key is that of the first card with the key that was not refused,
+    which makes every attached card point at an earlier one; the refused are found again from the last round's refused until they no longer change, and then the
+    pointers are followed to their ends.  ``ord`` is unique, existing cards come first; null keys join nothing, null ids collide with nothing; a key that a card repeats counts where it stands first.
+    """
+    cards = materialise(cards.select(F.col("ord").cast("long").alias("ord"), "id", F.coalesce("existing", F.lit(False)).alias("existing")), "cards")
+    keys = materialise(keys.where("key IS NOT NULL").groupBy(F.col("ord").cast("long").alias("ord"), "key").agg(F.min("pos").alias("pos")), "card-keys")
+    new = cards.where("NOT existing").select("ord")
+    refused = cards.where("false").select("ord")
+    before = 0
+    while True:
+        first = keys.join(refused, "ord", "left_anti").groupBy("key").agg(F.min("ord").alias("first"))
+        pointers = keys.join(new, "ord", "left_semi").join(first, "key").where("first < ord").groupBy("ord").agg(F.min_by("first", "pos").alias("to"))
+        pointers = materialise(pointers, "pointers")
+        roots = cards.join(pointers, "ord", "left_anti")
+        kept = roots.where("id IS NOT NULL").groupBy("id").agg(F.min("ord").alias("least"))
+        again = materialise(roots.join(kept, "id").where("NOT existing AND ord > least").select("ord"), "refused")
+        n = again.count()
+        if n == before and again.join(refused, "ord", "left_anti").isEmpty():
+            break
+        refused, before = again, n
+    ends = components(pointers.select(F.col("to").alias("a"), F.col("ord").alias("b")))
+    out = cards.join(refused.withColumn("_r", F.lit(True)), "ord", "left").join(ends.select(F.col("id").alias("ord"), "label"), "ord", "left").join(pointers, "ord", "left")
+    action = F.when(F.col("existing"), "existing").when(F.col("_r"), "refused").when(F.col("to").isNotNull(), "attached").otherwise("added")
+    return out.select("ord", "id", F.when(action != "refused", F.coalesce("label", "ord")).alias("owner"), action.alias("action"))
+
+
 def top_with_cut(rows: DataFrame, keys: Sequence[str], goals: str, order: Sequence[Column], n: int, list_limit: int) -> DataFrame:
     """First ``n`` rows per key; where the list is as long as its limit, rows at its least number of goals are left out, as equal ones may be missing."""
     from tidemill.operators.windows import top

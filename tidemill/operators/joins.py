@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.text import bare_letters
+from tidemill.scratch import materialise
+
 
 def within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, seconds: int) -> DataFrame:
     """Pairs with equal keys whose times are at most ``seconds`` apart.
@@ -58,14 +61,57 @@ def missing_keys(rule: str, rows: DataFrame, column: str, known: DataFrame, know
     return used.join(known.select(F.col(known_column).alias("key")).distinct(), "key", "left_anti").select(F.lit(rule).alias("rule"), F.col("key").cast("string").alias("key"), "n")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, take: Sequence[str]) -> DataFrame:
-    """Each left row with the columns of the latest right row at or before it; one window over both, no pairs."""
-    tagged = left.select("*", F.col(left_at).alias("_t"), F.lit(1).alias("_k"), *[F.lit(None).alias(f"_{c}") for c in take], F.lit(None).cast("boolean").alias("_has"))
-    other = right.select(F.col(key), F.col(right_at).alias("_t"), F.lit(0).alias("_k"), *[F.col(c).alias(f"_{c}") for c in take], F.lit(True).alias("_has"))
+def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, take: Sequence[str], ranges: int = 256) -> DataFrame:
+    """Each left row with the columns of the latest right row at or before it; no pairs, and no key in one task.
+
+    The time is cut into ``ranges`` of equal width: inside one a window looks back, and what a range begins with is handed on from the ranges before it, of which there are few for
+    a key.  Of right rows at the same time the greatest in ``take`` counts; null times and null keys find nothing.
+    """
+    instant = lambda c: F.col(c).cast("timestamp").cast("double") if dict(left.dtypes).get(left_at, "").startswith(("timestamp", "date")) else F.col(c).cast("double")
+    ends = left.select(instant(left_at).alias("t")).unionByName(right.select(instant(right_at).alias("t"))).agg(F.min("t"), F.max("t")).first()
+    low, high = ends[0] or 0.0, ends[1] or 0.0
+    cut = lambda c: F.floor((instant(c) - F.lit(low)) * (ranges / ((high - low) or 1.0)))
+    held = F.struct(*[F.col(c).alias(c) for c in take])
+    kind = right.select(held.alias("h")).schema["h"].dataType
+    tagged = left.select("*", F.col(left_at).alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast(kind).alias("_h"), cut(left_at).alias("_c"))
+    other = right.where(F.col(key).isNotNull() & F.col(right_at).isNotNull()).groupBy(key, F.col(right_at).alias("_t"), cut(right_at).alias("_c")).agg(F.max(held).alias("_h")).withColumn("_k", F.lit(0))
     both = tagged.unionByName(other, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    held = F.last(F.when(F.col("_has"), F.struct(*[F.col(f"_{c}").alias(c) for c in take])), ignorenulls=True).over(w)
-    return both.withColumn("_m", held).where("_k = 1").select(*[c for c in left.columns], *[F.col(f"_m.{c}").alias(c) for c in take])
+    inside = Window.partitionBy(key, "_c").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    last = both.groupBy(key, "_c").agg(F.max_by("_h", F.when(F.col("_k") == 0, F.col("_t"))).alias("_h"))
+    so_far = Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select(F.col(key).alias("_j"), F.col("_c").alias("_d"), F.last("_h", ignorenulls=True).over(so_far).alias("_b"))
+    found = both.withColumn("_m", F.last("_h", ignorenulls=True).over(inside)).where("_k = 1").join(last, F.col(key).eqNullSafe(F.col("_j")) & F.col("_c").eqNullSafe(F.col("_d")), "left")
+    found = found.withColumn("_m", F.when(F.col(key).isNotNull() & F.col("_t").isNotNull(), F.coalesce("_m", "_b")))
+    return found.select(*left.columns, *[F.col(f"_m.{c}").alias(c) for c in take])
+
+
+def name_parts(name: Column) -> Column:
+    """The parts of a name: folded, at blanks, dots, commas and hyphens."""
+    return F.filter(F.split(bare_letters(name), r"[\s.,-]+"), lambda w: w != "")
+
+
+def fuzzy_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l, r, basis): names of ``left`` and ``right`` (one column name each) that may be of one person, as distinct lists of parts; :func:`name_parts` of a name gives its list, sorted.
+
+    ``full``: the same parts in any order; ``initial``: parts that differ pair up as a letter and a part that begins with it, and a part of two letters or more
+    is the same.  Two such names have the same first letters and share a part, so names meet by each of their parts together with
+    all first letters, and each pair only under its rarest shared part; a common family name alone brings nothing together.  Names without a part of two letters match only in full.  Null names match nothing.
+    """
+    side = lambda df, c: df.select(F.array_sort(name_parts(F.col("name"))).alias(c)).where(F.size(c) > 0).distinct()
+    a, b = materialise(side(left, "l"), "left-names"), materialise(side(right, "r"), "right-names")
+    letters = lambda c: F.array_join(F.array_sort(F.transform(c, lambda w: F.left(w, F.lit(1)))), "")
+    keyed = lambda df, c: df.select(c, letters(c).alias("letters"), F.explode(F.array_distinct(F.filter(c, lambda w: F.length(w) > 1))).alias("part"))
+    x, y = keyed(a, "l"), keyed(b, "r")
+    often = x.select("part").unionByName(y.select("part")).groupBy("part").agg(F.count("*").alias("often"))
+    met = x.join(y, ["letters", "part"]).join(often, "part").groupBy("l", "r").agg(F.min(F.struct("often", "part")).alias("rarest")).select("l", "r")
+    # what is left of both without the parts they share, each as often as it occurs
+    rest = lambda c, d: F.flatten(F.transform(F.array_distinct(c), lambda w: F.array_repeat(w, F.greatest(F.lit(0), F.size(F.filter(c, lambda v: v == w)) - F.size(F.filter(d, lambda v: v == w))))))
+    short = lambda c: F.array_sort(F.filter(c, lambda w: F.length(w) == 1))
+    begins = lambda c: F.array_sort(F.transform(F.filter(c, lambda w: F.length(w) > 1), lambda w: F.left(w, F.lit(1))))
+    met = met.where(F.size("l") == F.size("r")).withColumns({"_p": rest(F.col("l"), F.col("r")), "_q": rest(F.col("r"), F.col("l"))})
+    fits = (short(F.col("_p")) == begins(F.col("_q"))) & (short(F.col("_q")) == begins(F.col("_p")))
+    near = met.where((F.size("_p") > 0) & fits).select("l", "r", F.lit("initial").alias("basis"))
+    return near.unionByName(a.join(b, F.col("l") == F.col("r")).select("l", "r", F.lit("full").alias("basis")))
 
 
 def name_match(full: Column, short: Column) -> Column:

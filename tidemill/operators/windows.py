@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.selection import lower_median
+
 
 def top(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rank") -> DataFrame:
     """The first ``n`` rows per key with their rank; Spark cuts each task's rows to ``n`` before the shuffle."""
@@ -109,6 +111,6 @@ def merge_intervals(rows: DataFrame, key: str, start: str, end: str, gap_days: i
 
 def lower_median_window(rows: DataFrame, keys: Sequence[str], at: str, reach_days: int, tail_hours: int) -> DataFrame:
     """Per key the span of rows at most ``reach_days`` from the lower median, with ``tail_hours`` after the last."""
-    mid = rows.groupBy(*keys).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_timestamp({at}))").alias("_mid"))
+    mid = lower_median(rows.select(*keys, F.unix_timestamp(at).alias("_mid")), keys, "_mid")
     near = rows.join(mid, list(keys)).where(F.abs(F.unix_timestamp(at) - F.col("_mid")) <= reach_days * 86400)
     return near.groupBy(*keys).agg(F.min(at).alias("opens"), F.timestamp_seconds(F.max(F.unix_timestamp(at)) + tail_hours * 3600).alias("closes"), F.count("*").alias("n"))

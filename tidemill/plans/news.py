@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemill.operators import cards, checks, joins, select, windows
+from tidemill.operators import cards, checks, joins, select, selection, windows
 from tidemill.plans.calendar import instants
 from tidemill.plans.ranking import orders
 from tidemill.plans.registry import query
@@ -160,6 +160,37 @@ def name_join(spark, sf_dir):
     return a.join(b, "family").where("i <= j").select("x", "y", joins.name_match(F.col("x"), F.col("y")).alias("basis"))
 
 
+#: Parts of the names of query fuzzy_name_join.
+FIRST, FAMILY = ("Ann", "Bo", "Zoë", "A.", "B"), ("Lee", "Park", "Diaz", "L", "Ann")
+
+
+@query("""
+WITH n AS (SELECT c_custkey AS id, concat_ws(' ', (['Ann', 'Bo', 'Zoë', 'A.', 'B'])[c_custkey % 5 + 1], CASE WHEN c_nationkey % 3 = 0 THEN (['Ann', 'Bo', 'Zoë', 'A.', 'B'])[c_nationkey % 5 + 1] END, (['Lee', 'Park', 'Diaz', 'L', 'Ann'])[c_nationkey % 5 + 1]) AS name FROM customer),
+p AS (SELECT id, list_sort(list_filter(string_split(replace(strip_accents(lower(name)), '.', ' '), ' '), lambda x: x <> '')) AS parts FROM n),
+a AS (SELECT DISTINCT parts AS l FROM p WHERE id % 2 = 0), b AS (SELECT DISTINCT parts AS r FROM p WHERE id % 2 = 1),
+o AS (SELECT l, r, list_permute FROM a, b, (SELECT unnest([[1, 2, 3], [1, 3, 2], [2, 1, 3], [2, 3, 1], [3, 1, 2], [3, 2, 1]]) AS list_permute) WHERE len(l) = len(r) AND l <> r AND len(list_filter(l, lambda x: length(x) > 1 AND list_contains(r, x))) > 0),
+q AS (SELECT l, r, list_transform(list_permute[1:3], lambda i: r[i]) AS s FROM o WHERE len(l) = 3 OR list_permute[3] = 3),
+f AS (SELECT DISTINCT l, r FROM q WHERE len(list_filter(range(1, len(l) + 1), lambda i: l[i] = s[i] OR (length(l[i]) = 1 AND starts_with(s[i], l[i])) OR (length(s[i]) = 1 AND starts_with(l[i], s[i])))) = len(l))
+SELECT array_to_string(l, ' ') AS l, array_to_string(r, ' ') AS r, 'initial' AS basis FROM f UNION ALL SELECT array_to_string(l, ' '), array_to_string(r, ' '), 'full' FROM a JOIN b ON l = r
+""")
+def fuzzy_name_join(spark, sf_dir):
+    """Names of even customers beside those of odd ones."""
+    part = lambda xs, at: F.element_at(F.array(*map(F.lit, xs)), (at % len(xs) + 1).cast("int"))
+    middle = F.when(F.col("c_nationkey") % 3 == 0, part(FIRST, F.col("c_nationkey")))
+    n = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws(" ", part(FIRST, F.col("c_custkey")), middle, part(FAMILY, F.col("c_nationkey"))).alias("name"))
+    out = joins.fuzzy_names(n.where("id % 2 = 0"), n.where("id % 2 = 1"))
+    return out.select(F.array_join("l", " ").alias("l"), F.array_join("r", " ").alias("r"), "basis")
+
+
+@query()
+def ordered_card_merge(spark, sf_dir):
+    """Orders as cards in turn, their parts as keys, their customers as ids; the first thousand stand already."""
+    ord_ = F.col("o_orderkey")
+    own = table(spark, sf_dir, "orders").select(ord_.alias("ord"), F.when(ord_ < 1000, -ord_ - 1).otherwise(F.col("o_custkey")).alias("id"), (ord_ < 1000).alias("existing"))
+    keys = table(spark, sf_dir, "lineitem").where("l_quantity < 3").select(F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("key"))
+    return cards.merge_in_order(own, keys.join(own.select("ord"), "ord", "left_semi"))
+
+
 @query("""
 WITH c AS (SELECT l_orderkey, list_distinct(list(l_suppkey % 10)) AS v, list(DISTINCT l_suppkey % 10) FILTER (l_linenumber <= 2) AS w FROM lineitem GROUP BY 1)
 SELECT l_orderkey, len(list_intersect(v, coalesce(w, []))) AS common, len(v) AS all_values FROM c
@@ -199,7 +230,8 @@ def ops_report(spark, sf_dir):
     from tidemill.functions.dates import iso_week
 
     failed = F.count_if(F.col("event_type") == "error")
-    out = instants(spark, sf_dir).groupBy(iso_week(F.to_date("ts")).alias("week")).agg(F.count("*").alias("runs"), failed.alias("failed"), F.median("value").alias("typical"))
+    rows = instants(spark, sf_dir).withColumn("week", iso_week(F.to_date("ts")))
+    out = rows.groupBy("week").agg(F.count("*").alias("runs"), failed.alias("failed")).join(selection.median(rows.withColumn("typical", F.col("value")), ["week"], "typical"), "week", "left")
     return out.withColumn("line", F.format_string("- %d runs, %d failed", "runs", "failed"))
 
 
@@ -238,7 +270,8 @@ WITH d AS (SELECT ts::DATE AS day, count(*) FILTER (event_type <> 'error') / cou
 SELECT day::VARCHAR AS day, rate, latency, CASE WHEN rate >= 0.9 AND latency < 60 THEN 'good' WHEN rate >= 0.7 THEN 'fair' ELSE 'poor' END AS verdict FROM d
 """)
 def probe_judgement(spark, sf_dir):
-    d = instants(spark, sf_dir).groupBy(F.to_date("ts").alias("d")).agg(F.try_divide(F.count_if(F.col("event_type") != "error"), F.count("*")).alias("rate"), F.median("value").alias("latency"))
+    rows = instants(spark, sf_dir).select(F.to_date("ts").alias("d"), "event_type", F.col("value").alias("latency"))
+    d = rows.groupBy("d").agg(F.try_divide(F.count_if(F.col("event_type") != "error"), F.count("*")).alias("rate")).join(selection.median(rows, ["d"], "latency"), "d", "left")
     return d.select(F.col("d").cast("string").alias("day"), "rate", "latency", F.when((F.col("rate") >= 0.9) & (F.col("latency") < 60), "good").when(F.col("rate") >= 0.7, "fair").otherwise("poor").alias("verdict"))
 
 

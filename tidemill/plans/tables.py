@@ -50,3 +50,23 @@ def table_compaction(spark, sf_dir):
     top = rows.agg(F.max("day")).first()[0]
     compact(t, "id", "day", "yyyy", F.lit(top), 90)
     return t.read().groupBy("part").agg(F.count("*").alias("n"))
+
+
+#: What query indexed_search asks for.
+ASKED = ("The der", "zzzz", "anders con", "Là")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS w FROM documents),
+q AS (SELECT asked, unnest(string_split(strip_accents(lower(asked)), ' ')) AS t FROM (VALUES {', '.join(f"('{a}')" for a in ASKED)}) v(asked)), n AS (SELECT asked, count(*) AS n FROM q GROUP BY 1),
+h AS (SELECT asked, doc_id, count(*) AS hit FROM q, d WHERE len(list_filter(w, lambda x: starts_with(x, t) OR (starts_with(t, x) AND length(x) >= length(t) * 0.6))) > 0 GROUP BY ALL)
+SELECT asked, doc_id AS id FROM h JOIN n USING (asked) WHERE hit = n
+""")
+def indexed_search(spark, sf_dir):
+    """Documents that answer each of some texts, from an index of all of them."""
+    from tidemill.sources import search_index
+
+    root = new_path(spark, "index")
+    search_index.build(table(spark, sf_dir, "documents"), "doc_id", "text", root, 32)
+    found = [search_index.search(spark, root, a).select(F.lit(a).alias("asked"), "id") for a in ASKED]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
