@@ -238,15 +238,15 @@ SIGNALS = (keywords.Group("result", ("steel", "brass")), keywords.Group("event",
 
 
 @query("""
-WITH s AS (SELECT p_partkey, p_type, lower(p_type) AS t, p_name || ' ' || (p_partkey % 9) || '-' || (p_partkey % 4) AS title FROM part),
+WITH s AS (SELECT p_partkey, p_type, lower(p_type) AS t, p_name AS title FROM part),
 g AS (SELECT *, list_has_any(string_split(t, ' '), ['steel', 'brass']) AS result, list_contains(string_split(regexp_replace(t, '\\bpolished steel\\b', ' ', 'g'), ' '), 'polished') AS event, list_has_any(string_split(t, ' '), ['large', 'small']) AS report, p_partkey % 2 = 0 AS subject FROM s)
-SELECT p_partkey, array_to_string(list_filter([CASE WHEN result THEN 'result' END, CASE WHEN event THEN 'event' END, CASE WHEN report THEN 'report' END], lambda x: x IS NOT NULL), ',') AS signals, true AS scored, (result AND subject) OR event OR report OR p_partkey % 3 = 0 AS spoiler FROM g
+SELECT p_partkey, array_to_string(list_filter([CASE WHEN result THEN 'result' END, CASE WHEN event THEN 'event' END, CASE WHEN report THEN 'report' END], lambda x: x IS NOT NULL), ',') AS signals, p_partkey % 5 <> 0 AS scored, (result AND subject) OR event OR report OR (p_partkey % 5 <> 0 AND p_partkey % 3 = 0) AS spoiler FROM g
 """)
 def text_signals(spark, sf_dir):
     k = F.col("p_partkey")
-    title = F.concat(F.col("p_name"), F.lit(" "), k % 9, F.lit("-"), k % 4)
+    title = F.concat(F.col("p_name"), F.lit(" "), k % 9, F.when(k % 5 == 0, "/").otherwise("-"), k % 4)
     rows = table(spark, sf_dir, "part").select("p_partkey", keywords.signals(F.col("p_type"), SIGNALS).alias("s"), F.size(text.scores(title)).alias("n"), title.alias("title"))
-    # every title has a score, so for the flag only every third one counts
+    # for the flag only the score of every third title counts
     flag = keywords.spoiler(F.col("s"), (F.col("n") > 0) & (k % 3 == 0), k % 2 == 0, likely=("result",), sure=("event", "report"))
     return rows.select("p_partkey", F.array_join(F.filter(F.array(*[F.when(F.col("s")[g.name], g.name) for g in SIGNALS]), lambda x: x.isNotNull()), ",").alias("signals"), (F.col("n") > 0).alias("scored"), flag.alias("spoiler"))
 

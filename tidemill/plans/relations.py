@@ -48,10 +48,10 @@ def window_apply(spark, sf_dir):
     return kept.select("event_id", F.unix_micros("ts").alias("at"), "clamped")
 
 
-@query("SELECT p_partkey FROM part WHERE list_has_any(string_split(p_type, ' '), ['STEEL', 'BRASS']) AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#13')")
+@query("SELECT p_partkey FROM part WHERE list_has_any(string_split(p_type, ' '), ['ECONOMY', 'SMALL']) AND p_brand IN ('Brand#2', 'Brand#17', 'Brand#13')")
 def facet_filter(spark, sf_dir):
     rows = table(spark, sf_dir, "part")
-    return rows.where(select.facet_match(F.split("p_type", " "), ["STEEL", "BRASS"]) & select.facet_match(F.array("p_brand"), ["Brand#11", "Brand#12", "Brand#13"]) & select.facet_match(F.array("p_name"), [])).select("p_partkey")
+    return rows.where(select.facet_match(F.split("p_type", " "), ["ECONOMY", "SMALL"]) & select.facet_match(F.array("p_brand"), ["Brand#2", "Brand#17", "Brand#13"]) & select.facet_match(F.array("p_name"), [])).select("p_partkey")
 
 
 @query("SELECT value, count(*) AS n FROM (SELECT p_partkey, unnest(list_distinct(string_split(p_type, ' '))) AS value FROM part) GROUP BY 1")
