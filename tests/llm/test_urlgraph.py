@@ -89,3 +89,28 @@ def test_long_lists_of_rules_are_joined(spark, monkeypatch):
     monkeypatch.setattr(urlgraph, "FEW_RULES", 0)
     assert sorted((tuple(r) for r in urlgraph.with_rules(urls.drop("suffix").withColumn("n", F.lit(1)), rules).collect()), key=repr) == few
     assert any(r[3] for r in few)
+
+
+def test_thousands_of_hosts_with_a_hub(spark):
+    """Random links among 3,000 hosts, a third of them to one hub that links back to many, against the solution of the linear system."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    hosts = [f"b{i}.bad.org" if i % 40 == 1 else f"g{i}.good.org" if i % 25 == 2 else f"h{i}.x{i % 7}.net" for i in range(3000)]
+    targets = [sorted({int(x) for x in rng.integers(0, 3000, rng.integers(0, 5))} | ({0} if i % 3 == 0 else set())) for i in range(3000)]
+    targets[0] = sorted({int(x) for x in rng.integers(0, 3000, 400)})
+    pages = [(i, f"http://{hosts[i]}/", "".join(f'<a href="https://{hosts[t]}/p">' for t in ts)) for i, ts in enumerate(targets)]
+    got = {r.host: r for r in urlgraph.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()}
+    a = np.zeros((3000, 3000))
+    for i, ts in enumerate(targets):
+        for t in ts:
+            a[i, t] = i != t
+    for kind, links, said in (("trust", a, "good.org"), ("distrust", a.T, "bad.org")):
+        out = links.sum(axis=1, keepdims=True)
+        seeds = np.array([h.endswith("." + said) for h in hosts], float)
+        want = np.linalg.solve(np.eye(3000) - urlgraph.DAMPING * (links / np.maximum(out, 1)).T, seeds)
+        assert max(abs(got[h][kind] - w) for h, w in zip(hosts, want)) < 1e-6
+    for r in got.values():
+        if r.rule is None:
+            assert r.verdict == ("block" if r.distrust >= 0.5 and r.distrust > r.trust else "allow")
+    assert sum(r.verdict == "block" for r in got.values()) > 100

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tidemill.scratch import materialise
 
-#: Rows of a block of queries and of a block of vectors; a tile's working set is their product in floats.
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
+#: Rows of a block of queries and of a block of vectors; a tile holds four matrices of doubles of their product at a time, 64 MB, beside its rows.
+QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
 #: float32 sums of int8 products are exact up to this many components.
 EXACT = 1024
 #: Tiles of one query whose lists are merged in the first step.
@@ -62,11 +62,16 @@ def bounds(q: tuple, v: tuple) -> tuple[np.ndarray, np.ndarray]:
         near += q8[:, d : d + EXACT].astype(np.float32) @ v8[:, d : d + EXACT].astype(np.float32).T
     near /= 127.0**2
     # |q.v - q'.v'| <= |q'||ev| + |eq||v'| + |eq||ev|, with room for the rounding of doubles
-    slack = (qn[:, None] * ve + qe[:, None] * (vn + ve)) * (1 + 1e-9) + 1e-12 * (qn + qe)[:, None] * (vn + ve)
+    slack = (qe * (1 + 1e-9))[:, None] * (vn + ve)
+    slack += (qn * (1 + 1e-9))[:, None] * ve
+    slack += (1e-12 * (qn + qe))[:, None] * (vn + ve)
+    low, high = near - slack, near
+    high += slack
     with np.errstate(over="ignore", under="ignore"):
-        scale = qs[:, None] * vs
-        low, high = (near - slack) * scale, (near + slack) * scale
-    wild = (scale < LEAST) | (scale * q8.shape[1] > MOST)
+        scale = np.multiply(qs[:, None], vs, out=slack)
+        low *= scale
+        high *= scale
+        wild = (scale < LEAST) | (scale > MOST / q8.shape[1])
     low[wild], high[wild] = -np.inf, np.inf
     return low, high
 
