@@ -86,6 +86,20 @@ def author_keys(byline: Column | str) -> Column:
     return F.array_distinct(F.filter(F.transform(parts, lambda p: F.lower(squeeze(p))), lambda p: p != ""))
 
 
+#: Unicode's composed form.
+composed = _text_udf(lambda x: unicodedata.normalize("NFC", x))
+
+
+def authors(byline: Column | str) -> Column:
+    """Authors of a byline as an array of (key, name): parted as by :func:`author_keys`, each once in the form that is written first; see :func:`composed` for bylines whose marks stand apart."""
+    named = F.regexp_replace(byline, r"[^\s,;&/|()]+@[^\s,;&/|()]+\s*\(([^()]*)\)", "$1")
+    parts = F.filter(F.transform(F.split(F.regexp_replace(named, r"(?i)[,;&/|]|\band\b", "\u0001"), "\u0001"), squeeze), lambda p: p != "")
+    keys = F.transform(parts, lambda p: F.lower(p))
+    # the place of a key's first occurrence is its own place for the form that stays
+    both = F.zip_with(parts, keys, lambda p, k: F.struct(k.alias("key"), p.alias("name")))
+    return F.filter(both, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
+
+
 def has_author(keys: Column, wanted: Column | None) -> Column:
     """Whether one of the author ``keys`` is the wanted one; without a wanted one all rows count."""
     return F.lit(True) if wanted is None else wanted.isNull() | F.exists(keys, lambda k: k == wanted)

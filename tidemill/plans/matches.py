@@ -333,6 +333,32 @@ def text_keys(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", text.fold_name(name).alias("folded"), text.latin_key(name).alias("latin"), text.encode_tags(F.array(tag)).alias("tag"), F.array_join(F.array_sort(authors), ",").alias("authors"))
 
 
+@query("""
+WITH b AS (SELECT s_suppkey, nfc_normalize(CASE s_suppkey % 4 WHEN 0 THEN 'Zoe' || chr(776) || ' Lee and ZOË lee, Bo' WHEN 1 THEN 'desk@x.org (Ann  Park); ann park' WHEN 2 THEN s_name || ' | Anderson' ELSE ' , ' END) AS line FROM supplier)
+SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'zoë lee=Zoë Lee,bo=Bo' WHEN 1 THEN 'ann park=Ann Park' WHEN 2 THEN lower(trim(split_part(line, '|', 1))) || '=' || trim(split_part(line, '|', 1)) || ',anderson=Anderson' ELSE '' END AS authors FROM b
+""")
+def byline_authors(spark, sf_dir):
+    k = F.col("s_suppkey") % 4
+    line = F.when(k == 0, "Zoe\u0308 Lee and ZOË lee, Bo").when(k == 1, "desk@x.org (Ann  Park); ann park").when(k == 2, F.concat("s_name", F.lit(" | Anderson"))).otherwise(" , ")
+    found = F.transform(text.authors("line"), lambda a: F.concat_ws("=", a["key"], a["name"]))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.composed(line).alias("line")).select("s_suppkey", F.array_join(found, ",").alias("authors"))
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '손흥민 abc 12' WHEN 1 THEN lower(c_name) || ' 한글' ELSE lower(c_mktsegment) || ' x' END AS key,
+  CASE c_custkey % 3 WHEN 0 THEN '12,abc,손흥민' WHEN 1 THEN 'customer#' || c_name[10:] || ',한글' ELSE lower(c_mktsegment) || ',x' END AS parts FROM customer
+""")
+def hangul_keys(spark, sf_dir):
+    """Wide and narrow forms, letters of syllables on their own, and blanks of several kinds, as one key; and its parts as those of a name."""
+    from tidemill.operators.joins import name_parts
+
+    k = F.col("c_custkey") % 3
+    syllables = "\u1109\u1169\u11ab\u1112\u1173\u11bc\u1106\u1175\u11ab"  # the letters of a name of three syllables
+    raw = F.when(k == 0, syllables + "\u3000ＡＢＣ  １２").when(k == 1, F.concat("c_name", F.lit(" \u1112\u1161\u11ab\u1100\u1173\u11af "))).otherwise(F.concat(F.lit("\t"), "c_mktsegment", F.lit("\nＸ")))
+    key = text.wide_key(raw)
+    return table(spark, sf_dir, "customer").select("c_custkey", key.alias("key"), F.array_join(F.array_sort(name_parts(key)), ",").alias("parts"))
+
+
 @query("SELECT doc_id FROM documents WHERE source IS NOT NULL AND list_contains(['s1', lower(source)], lower(source)) AND doc_id % 3 = 0")
 def author_filter(spark, sf_dir):
     authors = F.when(F.col("doc_id") % 3 == 0, text.author_keys("source")).otherwise(F.array(F.lit("nobody")))
