@@ -113,3 +113,27 @@ def test_facts_take_the_best_of_several(spark):
     out = facts.verify(spark.createDataFrame(said, kind), "id", "refs", known, "ref", own, rules)
     assert {r.id: (r.fact, r.codes) for r in out.collect()} == {1: (1, []), 2: (None, ["ref-unknown"]), 3: (None, ["newline", "ref-unknown"]), 4: (2, []), 5: (1, ["winner-mismatch", "minute"])}
     assert len({r.code for r in own + rules}) >= 15
+
+
+def test_positions_and_intervals_of_a_hot_key(spark):
+    from tidemill.operators import windows
+
+    rng = random.Random(11)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i) for i in range(400)]
+    got = {(r.k, r.i): (r._i, r._n) for r in windows.positions(spark.createDataFrame(rows, "k int, i int"), ["k"], [F.desc("i")]).collect()}
+    for key in (1, 2, None):
+        mine = sorted((i for k, i in rows if k == key), reverse=True)
+        assert all(got[key, i] == (p, len(mine)) for p, i in enumerate(mine))
+    d0 = datetime.date(2024, 1, 20)
+    spans = [(rng.choice([1, 1, 2, None]), d0 + datetime.timedelta(days=s), d0 + datetime.timedelta(days=s + rng.randrange(40))) for s in rng.choices(range(700), k=90)]
+    want = []
+    for key in (1, 2, None):
+        last = None
+        for s, e in sorted((s, e) for k, s, e in spans if k == key):
+            if last and s <= last[2] + datetime.timedelta(days=1):
+                last[2], last[3] = max(last[2], e), last[3] + 1
+            else:
+                last = [key, s, e, 1]
+                want.append(last)
+    out = windows.merge_intervals(spark.createDataFrame(spans, "k int, s date, e date"), "k", "s", "e").collect()
+    assert sorted(((r.k, r.s, r.e, r.n) for r in out), key=repr) == sorted((tuple(w) for w in want), key=repr)

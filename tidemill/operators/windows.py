@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators.selection import lower_median
+from tidemill.scratch import materialise
 
 
 def top(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rank") -> DataFrame:
@@ -63,11 +64,25 @@ def longest_run(rows: DataFrame, key: str, day: str, good: Column) -> DataFrame:
     return runs.groupBy(key).agg(F.max("n").alias("longest"))
 
 
+def positions(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``rows`` with _i, the place of a row in its key from 0, and _n, the key's rows; ``order`` tells the rows of a key apart.
+
+    Rows are dealt out by ranges of key and order and numbered inside their range, and a range begins where those before it end, so a key with most rows is spread over tasks.
+    """
+    dealt = materialise(rows.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    held = dealt.groupBy(*keys, "_p").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    held = held.select(*[F.col(k).alias(f"_j{k}") for k in keys], F.col("_p").alias("_q"), "_b", "_n")
+    inside = Window.partitionBy(*keys, "_p").orderBy(*order)
+    on = [F.col(k).eqNullSafe(F.col(f"_j{k}")) for k in keys] + [F.col("_p") == F.col("_q")]
+    out = dealt.withColumn("_r", F.row_number().over(inside) - 1).join(held, on)
+    return out.select(*rows.columns, (F.col("_b") + F.col("_r")).alias("_i"), "_n")
+
+
 def chunks(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], size: int) -> DataFrame:
     """Even chunks of at most ``size`` rows per key, the first ones larger by one where it does not divide."""
-    w = Window.partitionBy(*keys)
-    out = rows.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-    out = out.withColumn("_k", F.ceil(F.col("_n") / size)).withColumn("_b", F.expr("_n div _k")).withColumn("_e", F.expr("_n % _k"))
+    out = positions(rows, keys, order).withColumn("_k", F.ceil(F.col("_n") / size)).withColumn("_b", F.expr("_n div _k")).withColumn("_e", F.expr("_n % _k"))
     return out.withColumn("chunk", F.expr("if(_i < _e * (_b + 1), _i div (_b + 1), _e + (_i - _e * (_b + 1)) div _b) + 1")).drop("_i", "_n", "_k", "_b", "_e")
 
 
@@ -94,19 +109,34 @@ def densify(rows: DataFrame, day: str, first: Column, last: Column) -> DataFrame
 
 def around(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], is_self: Column, span: int) -> DataFrame:
     """For each row that ``is_self`` picks (one per key): the min(n, 2 * span + 1) rows around it, shifted at the edges."""
-    w = Window.partitionBy(*keys)
-    out = rows.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-    out = out.withColumn("_s", F.max(F.when(is_self, F.col("_i"))).over(w))
+    out = positions(rows, keys, order)
+    # one row a key says where the others stand to it
+    own = out.where(is_self).groupBy(*keys).agg(F.max("_i").alias("_s")).select(*[F.col(k).alias(f"_j{k}") for k in keys], "_s")
+    out = out.join(own, [F.col(k).eqNullSafe(F.col(f"_j{k}")) for k in keys]).drop(*[f"_j{k}" for k in keys]) if keys else out.crossJoin(F.broadcast(own))
     out = out.withColumn("_from", F.greatest(F.lit(0), F.least(F.col("_s") - span, F.col("_n") - (2 * span + 1))))
     return out.where((F.col("_i") >= F.col("_from")) & (F.col("_i") < F.col("_from") + 2 * span + 1)).withColumn("row_no", F.col("_i") + 1).drop("_i", "_n", "_s", "_from")
 
 
-def merge_intervals(rows: DataFrame, key: str, start: str, end: str, gap_days: int = 1) -> DataFrame:
-    """Date intervals per key, joined where they overlap or lie at most ``gap_days`` apart."""
-    so_far = F.max(end).over(Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.col(start) > F.date_add(so_far, gap_days), 1).when(so_far.isNull(), 1).otherwise(0)
-    island = F.sum("_new").over(Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_new", new).withColumn("_g", island).groupBy(key, "_g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_g")
+def merge_intervals(rows: DataFrame, key: str, start: str, end: str, gap_days: int = 1, span: str = "month") -> DataFrame:
+    """Date intervals per key, joined where they overlap or lie at most ``gap_days`` apart; intervals without a start are left out.
+
+    A key is cut by the ``span`` of the starts: how far the intervals before a span reach, and how many are new before it, is handed on from span to span.
+    """
+    rows = rows.where(F.col(start).isNotNull()).withColumn("_r", F.date_trunc(span, start))
+    inside = Window.partitionBy(key, "_r").orderBy(start, end)
+    earlier = Window.partitionBy(key).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(df: DataFrame, fold: Column) -> DataFrame:
+        """``df`` with _b, what the spans before a row's own fold to."""
+        spans = df.groupBy(key, "_r").agg(fold.alias("_f"))
+        spans = spans.select(F.col(key).alias("_k"), F.col("_r").alias("_q"), (F.max if fold is reach else F.sum)("_f").over(earlier).alias("_b"))
+        return df.join(spans, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_r") == F.col("_q"))).drop("_k", "_q")
+
+    reach = F.max(end)
+    so_far = F.greatest(F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_b"))
+    fresh = carried(rows, reach).withColumn("_m", so_far).withColumn("_new", F.when(F.col("_m").isNull() | (F.col(start) > F.date_add("_m", gap_days)), 1).otherwise(0)).drop("_b", "_m")
+    numbered = carried(fresh, F.sum("_new")).withColumn("_g", F.coalesce("_b", F.lit(0)) + F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(key, "_g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_g")
 
 
 def lower_median_window(rows: DataFrame, keys: Sequence[str], at: str, reach_days: int, tail_hours: int) -> DataFrame:
