@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemill.scratch import materialise
 
 #: Rows of a block of queries and of a block of vectors; a tile holds four matrices of doubles of their product at a time, 64 MB, beside its rows.
-QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
+QUERY_BLOCK, VECTOR_BLOCK = 256, 8192
 #: float32 sums of int8 products are exact up to this many components.
 EXACT = 1024
 #: Tiles of one query whose lists are merged in the first step.
