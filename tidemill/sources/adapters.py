@@ -55,3 +55,25 @@ def score_pair(c: Column) -> Column:
     """(home, away) of a text like ``2 - 1``; null if it is none."""
     part = lambda i: F.regexp_extract(c, r"^\s*([0-9]{1,2})\s*[-:]\s*([0-9]{1,2})\s*$", i)
     return F.when(part(1) != "", F.struct(part(1).try_cast("int").alias("home"), part(2).try_cast("int").alias("away")))
+
+
+STANDINGS = "standings array<struct<type:string,table:array<struct<position:int,team:struct<id:long,name:string>,playedGames:int,won:int,draw:int,lost:int,goalsFor:int,goalsAgainst:int,points:int>>>>"
+
+
+def standing_rows(rows: DataFrame, json: str, competition: str, teams: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(standings, unmatched) of records with the total table of a competition.
+
+    standings: competition, pos, team (its slug), played, w, d, l, gf, ga, pts, zone, problem (``points`` where these are not three a win and one a draw, ``games`` where the games do not
+    add up), of teams that ``teams`` (id, slug) knows; unmatched: competition, id, name, rows of those that it does not.  ``zones``: competition, from, to, zone; the first that holds a
+    place counts.  Only tables of type TOTAL are read; places without a number are left out.
+    """
+    r = rows.select(F.col(competition).alias("competition"), F.explode(F.from_json(json, STANDINGS)["standings"]).alias("s")).where("s.type = 'TOTAL'")
+    r = r.select("competition", F.explode("s.table").alias("t")).where("t.position IS NOT NULL")
+    r = r.select("competition", F.col("t.position").alias("pos"), F.col("t.team.id").alias("id"), F.col("t.team.name").alias("name"), F.col("t.playedGames").alias("played"), F.col("t.won").alias("w"), F.col("t.draw").alias("d"), F.col("t.lost").alias("l"), F.col("t.goalsFor").alias("gf"), F.col("t.goalsAgainst").alias("ga"), F.col("t.points").alias("pts"))
+    slugs = teams.where("id IS NOT NULL").groupBy("id").agg(F.min("slug").alias("team"))
+    held = r.join(slugs, "id", "left")
+    places = zones.select("competition", F.explode(F.expr("sequence(`from`, `to`)")).alias("pos"), F.struct("from", "to", "zone").alias("z")).groupBy("competition", "pos").agg(F.min("z").alias("z"))
+    problem = F.when(F.col("played") != F.col("w") + F.col("d") + F.col("l"), "games").when(F.col("pts") != F.col("w") * 3 + F.col("d"), "points")
+    good = held.where("team IS NOT NULL").join(places, ["competition", "pos"], "left").withColumn("problem", problem)
+    unmatched = held.where("team IS NULL").groupBy("competition", "id").agg(F.min("name").alias("name"), F.count("*").alias("rows"))
+    return good.select("competition", "pos", "team", "played", "w", "d", "l", "gf", "ga", "pts", F.col("z.zone").alias("zone"), "problem"), unmatched
