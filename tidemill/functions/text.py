@@ -110,9 +110,14 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def without_marks(c: Column) -> Column:
+    """Without the marks of letters."""
+    return F.regexp_replace(F.translate(c, "".join(_MARKED), "".join(_MARKED.values())), r"\p{M}+", "")
+
+
 def bare_letters(c: Column) -> Column:
     """Lower case, without the marks of letters."""
-    return F.lower(F.regexp_replace(F.translate(c, "".join(_MARKED), "".join(_MARKED.values())), r"\p{M}+", ""))
+    return F.lower(without_marks(c))
 
 
 def search_tokens(c: Column) -> Column:
