@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.scratch import materialise
 from tidemill.sources.adapters import clock
 
 _PERSON = "struct<id:long,name:string>"
@@ -31,7 +32,8 @@ def _change(kind: Column, player: Column, other: Column) -> Column:
 
 def from_numbers(rows: DataFrame, json: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(listed, changes, ends) of records of the shape ``NUMBERS``; ends: match, minute, null if the record has none.  Texts that do not parse give nothing."""
-    r = rows.select(F.from_json(json, NUMBERS).alias("r")).select("r.*").where("id IS NOT NULL")
+    # read once for the three tables that come of it
+    r = materialise(rows.select(F.from_json(json, NUMBERS).alias("r")).where("r.id IS NOT NULL"), "numbers").select("r.*")
     people = F.concat(_listed(F.lit("home"), F.col("home.starters"), F.col("home.bench")), _listed(F.lit("away"), F.col("away.starters"), F.col("away.bench")))
     listed = r.select(F.col("id").alias("match"), F.inline(people))
     e = r.select(F.col("id").alias("match"), F.posexplode("events").alias("ord", "e"))
@@ -42,7 +44,7 @@ def from_numbers(rows: DataFrame, json: str) -> tuple[DataFrame, DataFrame, Data
 
 def from_texts(rows: DataFrame, json: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The same of records of the shape ``TEXTS``."""
-    r = rows.select(F.from_json(json, TEXTS).alias("r")).select("r.*").where("match IS NOT NULL")
+    r = materialise(rows.select(F.from_json(json, TEXTS).alias("r")).where("r.match IS NOT NULL"), "texts").select("r.*")
     listed = r.select("match", F.explode("lineups").alias("l")).select("match", F.inline(_listed(F.col("l.side"), F.flatten("l.initial"), F.col("l.substitutes"))))
     e = r.select("match", F.posexplode("events").alias("ord", "e")).withColumn("at", clock(F.col("e.time")))
     kind = F.when(F.lower("e.type") == "substitution", "sub").when(F.lower("e.type").isin("red card", "second yellow card"), "red")
