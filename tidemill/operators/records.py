@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemill.operators import folds
 from tidemill.operators.keywords import cascade
 
-#: Names of the ranks of :mod:`folds`.
+# The names of the ranks of :mod:`folds`.
 STATUS = ("rumor", "negotiating", "agreed", "official", "collapsed")
 
 

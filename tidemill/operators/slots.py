@@ -71,7 +71,8 @@ def matches(clauses: DataFrame, grammar: DataFrame) -> DataFrame:
     return clauses.join(tables, "lang").withColumn("found", F.aggregate("seq", begin, step, handed)).drop("rules")
 
 
-#: Progress of a move, the furthest last.
+# The stages of a move.
+#: The furthest last.
 PROGRESS = ("rumor", "negotiating", "agreed", "official")
 COLLAPSED = "collapsed"
 

@@ -79,7 +79,18 @@ def strip_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", body.alias("body"))
 
 
-@query()
+def _decoded(x: str) -> str:
+    """SQL for the entities that the pages hold, in three passes."""
+    for _ in range(3):
+        x = f"regexp_replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
+    return x
+
+
+@query(f"""
+WITH p AS (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS body, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages),
+d AS (SELECT page_id, rtrim(trim(regexp_replace(regexp_replace({_decoded('body')}, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')[:500], ' ') AS summary, trim(regexp_replace(regexp_replace({_decoded('title')}, '[\\r\\n]+', ' ', 'g'), '[\\x00-\\x1F]', '', 'g'), ' ') AS title FROM p)
+SELECT page_id, nullif(summary, '') AS summary, title FROM d
+""")
 def clean_summary(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.clean_summary(F.col("html")).alias("summary"), text.clean_title(F.regexp_extract("html", r"<title>([^<]*)", 1)).alias("title"))
 
@@ -176,10 +187,11 @@ def posting_lists(spark, sf_dir):
     return sinks.posting_lists(words, "page_id", "tokens")
 
 
-@query()
+@query("SELECT page_id, url AS title, url AS link, epoch(TIMESTAMP '2026-11-03 01:00:00')::BIGINT + page_id % 60 * 60 AS published FROM pages")
 def feed_parse(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    xml = F.concat(F.lit("<item><title>"), text.escape_xml(F.col("url")), F.lit("</title><link>"), text.escape_xml(F.col("url")), F.lit("</link><pubDate>Tue, 03 Nov 2026 10:15:00 +0900</pubDate></item>"))
-    return readers.feed_items(pages.select("page_id", xml.alias("xml")), "xml").select("page_id", "title", "link", "published")
+    minute = F.lpad((F.col("page_id") % 60).cast("string"), 2, "0")
+    xml = F.concat(F.lit("<item><title>"), text.escape_xml(F.col("url")), F.lit("</title><link>"), text.escape_xml(F.col("url")), F.lit("</link><pubDate>Tue, 03 Nov 2026 10:"), minute, F.lit(":00 +0900</pubDate></item>"))
+    return readers.feed_items(pages.select("page_id", xml.alias("xml")), "xml").select("page_id", "title", "link", F.unix_timestamp("published").alias("published"))
 
 
