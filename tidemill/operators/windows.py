@@ -122,7 +122,8 @@ def merge_intervals(rows: DataFrame, key: str, start: str, end: str, gap_days: i
 
     A key is cut by the ``span`` of the starts: how far the intervals before a span reach, and how many are new before it, is handed on from span to span.
     """
-    rows = rows.where(F.col(start).isNotNull()).withColumn("_r", F.date_trunc(span, start))
+    # equal intervals are one row, so that no two windows can order them differently
+    rows = rows.where(F.col(start).isNotNull()).groupBy(key, start, end).agg(F.count("*").alias("_n")).withColumn("_r", F.date_trunc(span, start))
     inside = Window.partitionBy(key, "_r").orderBy(start, end)
     earlier = Window.partitionBy(key).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -136,7 +137,7 @@ def merge_intervals(rows: DataFrame, key: str, start: str, end: str, gap_days: i
     so_far = F.greatest(F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_b"))
     fresh = carried(rows, reach).withColumn("_m", so_far).withColumn("_new", F.when(F.col("_m").isNull() | (F.col(start) > F.date_add("_m", gap_days)), 1).otherwise(0)).drop("_b", "_m")
     numbered = carried(fresh, F.sum("_new")).withColumn("_g", F.coalesce("_b", F.lit(0)) + F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "_g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_g")
+    return numbered.groupBy(key, "_g").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("_n").alias("n")).drop("_g")
 
 
 def lower_median_window(rows: DataFrame, keys: Sequence[str], at: str, reach_days: int, tail_hours: int) -> DataFrame:
