@@ -2,7 +2,13 @@
 
 import datetime
 
-from tidemill.operators import windows
+from tidemill.operators import observations, windows
+
+START = datetime.datetime(2026, 1, 1)
+
+
+def at(seconds):
+    return START + datetime.timedelta(seconds=seconds)
 
 
 def test_equal_intervals_are_one_row_before_any_window(spark):
@@ -13,3 +19,12 @@ def test_equal_intervals_are_one_row_before_any_window(spark):
     # two windows over rows of equal start and end may put them in two orders
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("Window") < plan.index("Aggregate [k", plan.rindex("Window")) and "count(1) AS _n" in plan
+
+
+def test_last_fact_at_one_time_is_the_least(spark):
+    texts = ["b", "d", "a", "c"]
+    wanted = [observations.Fact("first", "([a-z])", "first"), observations.Fact("last", "([a-z])", "last")]
+    for order in (texts, texts[::-1], sorted(texts)):
+        lines = spark.createDataFrame([(1, at(5), t) for t in order] + [(1, at(1), "z"), (1, None, "y")], "run int, at timestamp, text string").coalesce(1)
+        assert [(r.first, r.last) for r in observations.facts(lines.where("at IS NOT NULL"), "run", "at", "text", wanted).collect()] == [("z", "a")]
+        assert [r.last for r in observations.facts(lines, "run", "at", "text", wanted).collect()] == ["a"]

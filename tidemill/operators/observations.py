@@ -31,6 +31,7 @@ def stitched(lines: DataFrame, runs: DataFrame, key: str, at: str, started: str,
 
 def facts(lines: DataFrame, run: str, at: str, text: str, wanted: Sequence[Fact]) -> DataFrame:
     """(run, one column for each fact): what the lines of each run tell; null where no line matches, 0 for counts.  Lines without a run tell nothing; of texts at the same time the least counts."""
+    back = -(F.unix_micros(F.col(at).cast("timestamp")) if dict(lines.dtypes)[at].startswith(("timestamp", "date")) else F.col(at))
 
     def told(f: Fact) -> Column:
         hit, group = F.col(text).rlike(f.pattern), F.regexp_extract(text, f.pattern, 1) if "(" in f.pattern else F.lit("")
@@ -38,9 +39,8 @@ def facts(lines: DataFrame, run: str, at: str, text: str, wanted: Sequence[Fact]
             return F.count_if(F.coalesce(hit, F.lit(False)))
         if f.take in ("sum", "max"):
             return (F.sum if f.take == "sum" else F.max)(F.when(hit, group.try_cast("decimal(38,6)").cast("double")))
-        order = F.struct(at, group) if f.take == "first" else F.struct(at, F.lit(0))
-        said = F.when(hit, group)
-        return (F.min_by if f.take == "first" else F.max_by)(said, F.when(hit, order))
+        # of texts at the same time the least, for the last as for the first
+        return F.min_by(F.when(hit, group), F.when(hit, F.struct(at, group) if f.take == "first" else F.struct(F.col(at).isNull(), back, group)))
 
     return lines.where(F.col(run).isNotNull()).groupBy(run).agg(*[told(f).alias(f.name) for f in wanted], F.count("*").alias("lines"))
 
