@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +23,42 @@ def within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str,
     return a.join(b, [*keys, "_bucket"]).where(close).drop("_bucket")
 
 
+def met(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, seconds: int, take: dict[str, tuple[Callable[[Column], Column], Column]]) -> DataFrame:
+    """``left`` with each of ``take`` (F.min or F.max, and of what) over the rows of ``right`` with equal ``keys`` at most ``seconds`` apart; null where there are none.
+
+    No pair is made.  Time is cut into buckets of ``seconds``: a time meets all of its own bucket, the start of the next and the end of the last one, so a window over a bucket,
+    and one over the same bucket backwards, tell what every time in reach of it meets.  Work grows with the rows, and a hot key is spread over its times.
+    """
+    micros, wide = F.unix_micros(F.col(at).cast("timestamp")), seconds * 1_000_000
+    # answers hang on keys and time alone
+    held = right.groupBy(*keys, micros.alias("_x")).agg(*[f(c).alias(n) for n, (f, c) in take.items()])
+    asked = left.where(F.col(at).isNotNull()).select(*keys, micros.alias("_t")).distinct()
+    way = lambda b, d, x: F.struct(b.cast("long").alias("_b"), F.lit(d).alias("_d"), x.alias("_o"))
+    x, t = F.col("_x"), F.col("_t")
+    of = lambda c: F.floor(c / F.lit(wide)).cast("long")
+    rows = held.select(*keys, F.explode(F.array(way(of(x), 1, x), way(of(x), -1, -x))).alias("_w"), F.lit(None).cast("long").alias("_t"), *take)
+    ends = (way(of(t), 1, F.lit((1 << 63) - 1)), way(of(t) + 1, 1, t + wide), way(of(t) - 1, -1, wide - t))
+    probes = asked.select(*keys, F.explode(F.array(*ends)).alias("_w"), "_t")
+    every = rows.unionByName(probes, allowMissingColumns=True).select(*keys, "_w.*", "_t", *take)
+    # a row comes before what asks at its time
+    window = Window.partitionBy(*keys, "_b", "_d").orderBy("_o", F.col("_t").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    told = every.select(*keys, "_t", *[f(n).over(window).alias(n) for n, (f, _) in take.items()]).where("_t IS NOT NULL").groupBy(*keys, "_t").agg(*[f(n).alias(n) for n, (f, _) in take.items()])
+    return left.withColumn("_t", micros).join(told, [*keys, "_t"], "left").drop("_t")
+
+
+def lone_links(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, seconds: int) -> DataFrame:
+    """(a, b): the pairs of ``left`` (a, keys, at) and ``right`` (b, keys, at) with equal ``keys`` at most ``seconds`` apart that are each other's only ones; a row may have several keys.  No other pair is made."""
+
+    def only(rows: DataFrame, others: DataFrame, id_: str, other: str) -> DataFrame:
+        # the least and the greatest partner; a row with one has the same twice
+        both = met(rows.select(id_, *keys, at), others, keys, at, seconds, {"_l": (F.min, F.col(other)), "_h": (F.max, F.col(other))})
+        return both.groupBy(id_).agg(F.min("_l").alias(other), F.max("_h").alias("_h")).where(F.col(other) == F.col("_h")).select(id_, other)
+
+    one = materialise(only(left, right, "a", "b"), "lone")
+    back = only(right.join(one.select("b").distinct(), "b", "left_semi"), left, "b", "a")
+    return one.join(back, ["a", "b"], "left_semi")
+
+
 def unique_links(pairs: DataFrame, left: str, right: str | None = None) -> DataFrame:
     """Pairs whose left id (and right id, if named) occurs in no other pair; counted with partial aggregation, not in windows."""
     out = pairs.join(pairs.groupBy(left).count().where("count = 1").select(left), left, "left_semi")
@@ -131,6 +167,5 @@ def shared_links(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:
     teams = F.array_sort(F.array_distinct(F.coalesce("teams", F.array().cast("array<string>"))))
     two = F.flatten(F.transform(teams, lambda x: F.transform(F.filter(teams, lambda y: y > x), lambda y: F.to_json(F.array(x, y)))))
     players = F.transform(F.coalesce("players", F.array().cast("array<string>")), lambda p: F.concat(F.lit("p:"), p.cast("string")))
-    tagged = lambda df, id_, at: df.select(F.col("id").alias(id_), "category", F.col("at").alias(at), F.explode(F.array_distinct(F.concat(players, two))).alias("tag"))
-    pairs = within(tagged(left, "a", "_x"), tagged(right, "b", "_y"), ["category", "tag"], "_x", "_y", seconds).select("a", "b").distinct()
-    return unique_links(pairs, "a", "b").select("a", "b")
+    tagged = lambda df, id_: df.select(F.col("id").alias(id_), "category", "at", F.explode(F.array_distinct(F.concat(players, two))).alias("tag"))
+    return lone_links(tagged(left, "a"), tagged(right, "b"), ["category", "tag"], "at", seconds)
