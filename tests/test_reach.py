@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import joins
+from tidemill.operators import joins, matches
 
 START = datetime.datetime(2026, 1, 1)
 
@@ -35,3 +35,30 @@ def test_shared_links_make_no_pairs(spark):
     out = joins.shared_links(rows(300), rows(300), 60)
     assert out.count() == 0
     assert "_bucket" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evidence_links_equal_the_listed_pairs(spark):
+    rng = random.Random(8)
+    row = lambda i, away: (i, rng.randrange(3), rng.randrange(0, 400, 4), rng.randrange(2) + away, rng.randrange(3) + away, rng.choice([None, 0, 1, 2, 3]) if rng.random() < 0.2 else rng.randrange(4), rng.choice([None, 1, 2]))
+    left, right = [row(i, 0) for i in range(60)], [row(i, 100) for i in range(50)]
+    confirmed = [(0, 100), (1, 101)]
+    frame = lambda rows, id_: spark.createDataFrame([(r[0], r[1], at(r[2]), *r[3:]) for r in rows], f"{id_} int, slot int, at timestamp, home int, away int, score int, finish int")
+    pairs = [(x, y) for x in left for y in right if x[1] == y[1] and abs(x[2] - y[2]) <= 10]
+    lone = lambda ps: [(x, y) for x, y in ps if sum(p[0] is x for p in ps) == 1 and sum(p[1] is y for p in ps) == 1]
+    first = lone([(x, y) for x, y in pairs if (x[3], y[3]) in confirmed and (x[4], y[4]) in confirmed])
+    rest = [(x, y) for x, y in pairs if not any(x is p or y is q for p, q in first)]
+    dark = [(x, y) for x, y in rest if x[5] is None or y[5] is None]
+    same = [(x, y) for x, y in rest if x[5] is not None and x[5] == y[5]]
+    clear = [(x, y) for x, y in lone(same) if not any(x is p or y is q for p, q in dark)]
+    links = {x[0]: y[0] for x, y in first + [(x, y) for x, y in clear if x[6] == y[6]]}
+
+    def reason(x):
+        has = lambda ps: any(p[0] is x for p in ps)
+        if x[0] in links:
+            return None
+        tests = ((not has(pairs), "no-candidate"), (not has(rest), "taken"), (has(dark), "unknown-score"), (not has(same), "other-score"), (not has(clear), "many"))
+        return next((name for holds, name in tests if holds), "finish")
+
+    out = matches.evidence_links(frame(left, "a"), frame(right, "b"), spark.createDataFrame(confirmed, "team int, other int"), 10)
+    assert {r.a: (r.b, r.reason) for r in out.collect()} == {x[0]: (links.get(x[0]), reason(x)) for x in left}
+    assert "_u" not in out._jdf.queryExecution().optimizedPlan().toString()
