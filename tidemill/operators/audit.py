@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ERROR, WARN = "error", "warn"
+#: Rows that one task counts the values of, about.
+TASK_ROWS = 500_000
 ISSUE = "rule string, severity string, key string, n long"
 
 
@@ -81,7 +83,10 @@ def audit(tables: Mapping[str, DataFrame], keys: Mapping[str, str], rules: Seque
         for r in mine:
             if isinstance(r, Unique):
                 key = F.concat_ws(":", *[F.col(c).cast("string") for c in r.columns])
-                twice = df.dropna(subset=list(r.columns)).groupBy(*r.columns).agg(F.count("*").alias("n")).where("n > 1")
+                # values are mostly unique, so nothing is gained by counting before they are dealt; a task gets TASK_ROWS of them, however many there are
+                whole = df.dropna(subset=list(r.columns)).select(*r.columns)
+                parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
+                twice = whole.repartition(parts, *r.columns).groupBy(*r.columns).agg(F.count("*").alias("n")).where("n > 1")
                 out = out.unionByName(twice.select(F.lit(r.rule).alias("rule"), F.lit(r.severity).alias("severity"), key.alias("key"), "n"))
             if isinstance(r, Refers):
                 used = df.where(F.col(r.column).isNotNull()).groupBy(F.col(r.column).alias("_v")).agg(F.count("*").alias("n"))
