@@ -1,5 +1,6 @@
 import datetime
 import itertools
+import os
 import random
 
 import pytest
@@ -295,3 +296,27 @@ def test_gate_and_run_decision(spark):
     said = lambda hours: {r.k: r.decision for r in checks.run_decision(df, "k", "at", "day", "today", "now", hours, "waits").collect()}
     assert said(12) == {"a": "skip", "b": "retry", "c": "skip", "e": "run", "f": "run"}
     assert said(11) == {"a": "run", "b": "run", "c": "retry", "e": "run", "f": "run"}
+
+
+@pytest.mark.parametrize("most", [1 << 18, 20, 2])
+def test_components_of_any_size_are_merged_alike(spark, monkeypatch, most):
+    """In a task each, level by level, and in rounds."""
+    rng = random.Random(most)
+    pairs = [(i, j, rng.choice([1.0, 1.0, 0.9, 0.7, rng.random()]), 0.5, rng.random() < 0.7) for i in range(15) for j in range(i + 1, 15) if i // 5 == j // 5 or rng.random() < 0.2]
+    anchors = {i: rng.choice("xy") for i in range(0, 15, 4)}
+    monkeypatch.setattr(cluster, "TASK_PAIRS", most)
+    monkeypatch.setattr(cluster, "LEVELS", (1.0, 0.7))
+    made = cluster.complete_link(spark.createDataFrame(pairs, "a int, b int, sim double, floor double, linked boolean"), spark.createDataFrame(list(anchors.items()), "id int, anchor string"), 0.6)
+    got = {i: i for i in range(15)} | {r.id: r.cluster for r in made.collect()}
+    assert got == plain_clusters(15, pairs, 0.6, anchors) and len(set(got.values())) < 13
+
+
+def test_one_story_of_many_publishers_needs_no_rounds(spark, monkeypatch):
+    """Equally similar pairs are merged one after another, so a round merged one; and tables of rounds stayed on disk."""
+    written = []
+    monkeypatch.setattr(cluster, "materialise", lambda df, name, make=cluster.materialise: written.append(make(df, name)) or written[-1])
+    pairs = [(i, j, 1.0, 0.45, True) for i in range(12) for j in range(i + 1, 12)]
+    made = cluster.complete_link(spark.createDataFrame(pairs, "a long, b long, sim double, floor double, linked boolean"), spark.createDataFrame([], "id long, anchor string"), 0.6)
+    assert {(r.id, r.cluster) for r in made.collect()} == {(i, 0) for i in range(12)}
+    left = [t for t in written if os.path.exists(t.scratch_path.removeprefix("file://"))]
+    assert len(written) < 12 and len(left) <= 3
