@@ -15,8 +15,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.scratch import materialise
+
 #: The column of a row's partition, and the same in the folders' names.
 PART, FOLDER = "part", "_part"
+#: Rows that a task compares or writes, about.
+TASK_ROWS = 500_000
 
 
 class Conflict(RuntimeError):
@@ -75,7 +79,13 @@ class Snapshots:
         write = f"data/{uuid.uuid4().hex}"
         step("write")
         if new:
-            rows.where(F.col(PART).isin(list(new))).withColumn(FOLDER, F.col(PART)).repartition(FOLDER).write.partitionBy(FOLDER).parquet(f"{self.root}/{write}")
+            # a partition of more than TASK_ROWS is written by several tasks, as files of its own
+            cuts = {p: -(-d["rows"] // TASK_ROWS) for p, d in new.items()}
+            cut = F.lit(1)
+            for n in set(cuts.values()) - {1}:
+                cut = F.when(F.col(PART).isin([p for p, c in cuts.items() if c == n]), n).otherwise(cut)
+            tasks = max(sum(cuts.values()), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            rows.where(F.col(PART).isin(list(new))).withColumn(FOLDER, F.col(PART)).repartition(tasks, FOLDER, F.pmod(F.xxhash64(*columns), cut)).write.partitionBy(FOLDER).parquet(f"{self.root}/{write}")
         folders = {}
         if new:
             for status in self.fs.listStatus(self._path(write)):
@@ -129,11 +139,14 @@ def compact(table: Snapshots, key: str, day: str, coarse: str, today: Column, ke
     versions = table.versions()
     rows = table.read()
     period = F.date_format(day, coarse)
-    plain = rows.drop(PART).distinct().withColumn("_p", period)
     ends = {"yyyy-MM": F.last_day(F.min(day)), "yyyy": F.last_day(F.add_months(F.date_trunc("year", F.min(day)).cast("date"), 11))}[coarse]
-    due = plain.where("_p IS NOT NULL").groupBy("_p").agg((F.date_add(ends, keep_days) < today).alias("due")).where("due").select("_p")
-    conflicts = plain.join(due, "_p", "left_semi").groupBy("_p", key).agg(F.count("*").alias("n")).where("n > 1").groupBy(F.col("_p").alias("period")).agg(F.count("*").alias("keys"))
-    merged = plain.join(due, "_p", "left_semi").join(conflicts.select(F.col("period").alias("_p")), "_p", "left_anti").withColumn(PART, F.col("_p"))
+    due = rows.withColumn("_p", period).where("_p IS NOT NULL").groupBy("_p").agg((F.date_add(ends, keep_days) < today).alias("due")).where("due").select("_p")
+    # rows are mostly unique, so they are dealt as they are; a task gets TASK_ROWS of them, however many there are
+    tasks = max(-(-rows.count() // TASK_ROWS), int(table.spark.conf.get("spark.sql.shuffle.partitions")))
+    plain = rows.drop(PART).withColumn("_p", period).join(due, "_p", "left_semi").repartition(tasks, key).distinct()
+    conflicts = plain.groupBy("_p", key).agg(F.count("*").alias("n")).where("n > 1").groupBy(F.col("_p").alias("period")).agg(F.count("*").alias("keys"))
+    conflicts = materialise(conflicts, "conflicts")
+    merged = materialise(plain.join(conflicts.select(F.col("period").alias("_p")), "_p", "left_anti").withColumn(PART, F.col("_p")), "merged")
     # partitions that hold rows of merged periods only are replaced by them
     of_part = rows.select(PART, period.alias("_p")).distinct().join(merged.select("_p").distinct().withColumn("_m", F.lit(True)), "_p", "left")
     drop = [r[PART] for r in of_part.groupBy(PART).agg(F.bool_and(F.coalesce("_m", F.lit(False))).alias("all")).where("all").select(PART).collect()]
