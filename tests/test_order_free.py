@@ -47,6 +47,16 @@ def test_merge_in_order_equals_the_sequential_rule(spark, seed):
     assert cards.merge_in_order(df.limit(0), k.limit(0)).count() == 0
 
 
+def test_rounds_hold_only_cards_with_keys_of_others(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(cards, "materialise", lambda df, name, make=cards.materialise: written.setdefault(name, []).append(out := make(df, name)) or (out, setattr(out, "n", out.count()))[0])
+    df = spark.range(500).selectExpr("id AS ord", "id % 100 AS id", "id < 3 AS existing")
+    k = spark.createDataFrame([(5, 0, 1), (7, 0, 1), (9, 0, 2)], "ord long, pos int, key int")
+    got = sorted((r.ord, r.owner, r.action) for r in cards.merge_in_order(df, k).collect())
+    assert got == merged([(i, i % 100, i < 3) for i in range(500)], {5: [1], 7: [1], 9: [2]})
+    assert [t.n for t in written["cards"]] == [500, 2] and {t.n for t in written["refused"]} == {0}
+
+
 def one_person(a, b):
     if sorted(a) == sorted(b):
         return "full"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import keywords
 from tidemill.operators.components import components
-from tidemill.scratch import materialise
+from tidemill.scratch import discard, materialise
 
 
 def source_order(sources: Column, lead: Column) -> Column:
@@ -40,28 +40,44 @@ def merge_in_order(cards: DataFrame, keys: DataFrame) -> DataFrame:
     ``added`` and an owner itself.  A refused card owns nothing.  ``owner`` is the ord of the owning card, null if refused.
 
     Each step depends on earlier cards alone, so the same end is reached without taking turns: the owner of a key is that of the first card with the key that was not refused,
-    which makes every attached card point at an earlier one; the refused are found again from the last round's refused until they no longer change, and then the
+    which makes every attached card point at an earlier one; the refused are found again from the last round's refused until they no longer change, among cards with a key of others alone, and then the
     pointers are followed to their ends.  ``ord`` is unique, existing cards come first; null keys join nothing, null ids collide with nothing; a key that a card repeats counts where it stands first.
     """
     cards = materialise(cards.select(F.col("ord").cast("long").alias("ord"), "id", F.coalesce("existing", F.lit(False)).alias("existing")), "cards")
-    keys = materialise(keys.where("key IS NOT NULL").groupBy(F.col("ord").cast("long").alias("ord"), "key").agg(F.min("pos").alias("pos")), "card-keys")
-    new = cards.where("NOT existing").select("ord")
-    refused = cards.where("false").select("ord")
+    keys = keys.where("key IS NOT NULL").groupBy(F.col("ord").cast("long").alias("ord"), "key").agg(F.min("pos").alias("pos"))
+    # a key of one card joins nothing; cards without others are never attached, so the rounds need no more of them than the first of each id
+    every = materialise(keys, "card-keys")
+    shared = materialise(every.join(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key", "left_semi"), "shared-keys")
+    discard(every)
+    tied = cards.join(shared.select("ord").distinct().withColumn("_tied", F.lit(True)), "ord", "left")
+    tied = materialise(tied.withColumn("_tied", F.coalesce("_tied", F.lit(False))), "tied-cards")
+    mine = tied.where("_tied").drop("_tied")
+    free = tied.where("NOT _tied AND id IS NOT NULL").join(mine.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("ord").alias("free"))
+    mine = materialise(mine.join(free, "id", "left"), "cards")
+    discard(tied)
+    new = mine.where("NOT existing").select("ord")
+    refused = mine.where("false").select("ord")
+    pointers = None
     before = 0
     while True:
-        first = keys.join(refused, "ord", "left_anti").groupBy("key").agg(F.min("ord").alias("first"))
-        pointers = keys.join(new, "ord", "left_semi").join(first, "key").where("first < ord").groupBy("ord").agg(F.min_by("first", "pos").alias("to"))
-        pointers = materialise(pointers, "pointers")
-        roots = cards.join(pointers, "ord", "left_anti")
-        kept = roots.where("id IS NOT NULL").groupBy("id").agg(F.min("ord").alias("least"))
+        first = shared.join(refused, "ord", "left_anti").groupBy("key").agg(F.min("ord").alias("first"))
+        to = shared.join(new, "ord", "left_semi").join(first, "key").where("first < ord").groupBy("ord").agg(F.min_by("first", "pos").alias("to"))
+        last, pointers = pointers, materialise(to, "pointers")
+        roots = mine.join(pointers, "ord", "left_anti").where("id IS NOT NULL")
+        kept = roots.groupBy("id").agg(F.least(F.min("ord"), F.min("free")).alias("least"))
         again = materialise(roots.join(kept, "id").where("NOT existing AND ord > least").select("ord"), "refused")
         n = again.count()
-        if n == before and again.join(refused, "ord", "left_anti").isEmpty():
+        done = n == before and again.join(refused, "ord", "left_anti").isEmpty()
+        discard(refused, *([last] if last else []))
+        if done:
             break
         refused, before = again, n
     ends = components(pointers.select(F.col("to").alias("a"), F.col("ord").alias("b")))
-    out = cards.join(refused.withColumn("_r", F.lit(True)), "ord", "left").join(ends.select(F.col("id").alias("ord"), "label"), "ord", "left").join(pointers, "ord", "left")
-    action = F.when(F.col("existing"), "existing").when(F.col("_r"), "refused").when(F.col("to").isNotNull(), "attached").otherwise("added")
+    tied = pointers.select("ord").join(ends.select(F.col("id").alias("ord"), "label"), "ord")
+    out = cards.join(tied, "ord", "left")
+    least = out.where("label IS NULL AND id IS NOT NULL").groupBy("id").agg(F.min("ord").alias("_least"))
+    out = out.join(least, "id", "left")
+    action = F.when(F.col("existing"), "existing").when(F.col("label").isNotNull(), "attached").when(F.col("ord") > F.col("_least"), "refused").otherwise("added")
     return out.select("ord", "id", F.when(action != "refused", F.coalesce("label", "ord")).alias("owner"), action.alias("action"))
 
 
