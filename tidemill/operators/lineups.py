@@ -15,6 +15,8 @@ NUMBERS = f"id long, home struct<starters:array<{_PERSON}>,bench:array<{_PERSON}
 TEXTS = f"match long, lineups array<struct<side:string,initial:array<array<{_PERSON}>>,substitutes:array<{_PERSON}>>>, events array<struct<type:string,side:string,player:long,substituted:long,time:string>>, clock string"
 #: (match, side, player, name, start) and (match, ord, side, player, kind, minute, extra).
 CHANGES = "array<struct<kind: string, player: bigint>>"
+#: Rows of players that a task sweeps, about.
+TASK_ROWS = 500_000
 
 
 def _listed(side: Column, starters: Column, bench: Column) -> Column:
@@ -64,8 +66,12 @@ def minutes(listed: DataFrame, changes: DataFrame, ends: DataFrame) -> DataFrame
     Problems: ``in-twice`` (on already: the second counts for nothing), ``out-without-in``, ``not-listed``, ``no-clock`` (a change without a minute counts for nothing), ``no-end`` (on to an end
     that is unknown: minutes are null).  Players and matches without an id are left out; rows of one player that repeat count once.
     """
-    people = listed.where("match IS NOT NULL AND player IS NOT NULL").groupBy("match", "player").agg(F.min("side").alias("side"), F.bool_or("start").alias("start"))
-    known = changes.where("match IS NOT NULL AND player IS NOT NULL").dropDuplicates(["match", "player", "kind", "minute", "extra"])
+    # nearly every row is of a player of its own, so rows are dealt as they are; a task gets TASK_ROWS of them, however many there are
+    spark = listed.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-listed.select("match").unionByName(changes.select("match")).count() // TASK_ROWS))
+    dealt = lambda df, *by: df.where(" AND ".join(f"{c} IS NOT NULL" for c in by)).repartition(parts, *by)
+    people = dealt(listed.select("match", "player", "side", "start"), "match", "player").groupBy("match", "player").agg(F.min("side").alias("side"), F.bool_or("start").alias("start"))
+    known = dealt(changes, "match", "player").dropDuplicates(["match", "player", "kind", "minute", "extra"])
     unclear = known.where("minute IS NULL").select("match", "player").distinct().withColumn("_unclear", F.lit(True))
     everyone = people.join(known.groupBy("match", "player").agg(F.min("side").alias("_side")), ["match", "player"], "full").withColumn("_listed", F.col("start").isNotNull())
     everyone = everyone.join(unclear, ["match", "player"], "left").select("match", "player", F.coalesce("side", "_side").alias("side"), F.coalesce("start", F.lit(False)).alias("start"), "_listed", F.coalesce("_unclear", F.lit(False)).alias("_unclear"))
@@ -76,15 +82,17 @@ def minutes(listed: DataFrame, changes: DataFrame, ends: DataFrame) -> DataFrame
     before = F.lag("kind").over(order)
     judged = events.withColumn("_on", before == "in").withColumn("problem", F.when((F.col("kind") == "in") & F.col("_on"), "in-twice").when((F.col("kind") == "out") & ~F.coalesce("_on", F.lit(False)), "out-without-in"))
     real = judged.where(F.col("problem").isNull()).withColumn("_next", F.lead("minute").over(order))
-    last = ends.groupBy("match").agg(F.max("minute").alias("_end"))
-    real = real.join(last, "match", "left").withColumn("_till", F.coalesce("_next", "_end"))
     on = F.col("kind") == "in"
+    stays = on & F.col("_next").isNull()
     swept = real.groupBy("match", "player").agg(
-        F.min(F.when(on, F.col("minute"))).alias("entered"), F.max(F.when(on & F.col("_next").isNotNull(), F.col("_next"))).alias("left"), F.sum(F.when(on, F.greatest(F.col("_till") - F.col("minute"), F.lit(0)))).alias("_sum"),
-        F.bool_or(on & F.col("_till").isNull()).alias("_open"), F.bool_or(on & F.col("_next").isNull()).alias("_stays"), F.bool_or(F.col("kind") == "off").alias("dismissed"),
+        F.min(F.when(on, F.col("minute"))).alias("entered"), F.max(F.when(on & F.col("_next").isNotNull(), F.col("_next"))).alias("left"), F.sum(F.when(on, F.greatest(F.col("_next") - F.col("minute"), F.lit(0)))).alias("_sum"),
+        F.max(F.when(stays, F.col("minute"))).alias("_from"), F.bool_or(stays).alias("_stays"), F.bool_or(F.col("kind") == "off").alias("dismissed"),
     )
     wrong = judged.where("problem IS NOT NULL").groupBy("match", "player").agg(F.collect_set("problem").alias("_wrong"))
     out = everyone.join(swept, ["match", "player"], "left").join(wrong, ["match", "player"], "left")
-    played = F.when(F.col("entered").isNull(), 0).when(~F.col("_open"), F.greatest(F.col("_sum"), F.lit(1)))
+    # who stays, once at most, is on to the end
+    out = dealt(out, "match").join(dealt(ends, "match").groupBy("match").agg(F.max("minute").alias("_end")), "match", "left").withColumn("_open", F.col("_stays") & F.col("_end").isNull())
+    till = F.when(F.col("_stays"), F.greatest(F.col("_end") - F.col("_from"), F.lit(0))).otherwise(0)
+    played = F.when(F.col("entered").isNull(), 0).when(~F.col("_open"), F.greatest(F.coalesce("_sum", F.lit(0)) + till, F.lit(1)))
     problems = F.concat(F.coalesce("_wrong", F.array().cast("array<string>")), F.filter(F.array(F.when(~F.col("_listed"), F.lit("not-listed")), F.when(F.col("_unclear"), F.lit("no-clock")), F.when(F.col("_open"), F.lit("no-end"))), lambda x: x.isNotNull()))
     return out.select("match", "side", "player", "start", "entered", F.when(~F.col("_stays"), F.col("left")).alias("left"), played.cast("int").alias("minutes"), F.coalesce("dismissed", F.lit(False)).alias("dismissed"), F.array_sort(problems).alias("problems"))
