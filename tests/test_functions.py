@@ -1,4 +1,6 @@
 import datetime
+import html
+from html.entities import html5
 
 from pyspark.sql import functions as F
 
@@ -47,6 +49,22 @@ def test_clean(spark):
     assert one(spark, "Anna Lee, BOB and anna  lee & C|d", text.author_keys) == ["anna lee", "bob", "c", "d"]
 
 
+def test_whole_texts_are_decoded_without_python_workers(spark):
+    numbers = (0, 9, 13, 38, 65, 127, 0xD7FF, 0xD800, 0xFDD0, 0xFEFF, 0xFFFE, 0x10000, 0x1F600, 0x10FFFF, 0x110000, 10**8, 2**64)
+    cases = [f"a&{n}b&{n.rstrip(';')}c;" for n in html5] + [f"&#{n}&#00{n};&#x{n:x};&#X{n:X}z" for n in numbers] + ["&amp;amp;amp;lt;", "&ltfoo; &unknown; &;&#;&#x;&&lt" + "q" * 40 + ";", "", None]
+
+    def decoded(x):
+        for _ in range(3):
+            x = html.unescape(x)
+        return x
+
+    assert many(spark, cases, text.decode_entities) == [x and decoded(x) for x in cases]
+    # mended only after the last pass, so what a dropped control leaves is no entity
+    assert many(spark, ["&#128;\x80&#129;\x81", "&am\x81p;", "&#" + "9" * 5000 + ";"], text.decode_entities) == ["€€", "&amp;", "\ufffd"]
+    plan = spark.createDataFrame([("x",)], "x string").select(text.clean_summary(F.col("x")), text.clean_title(F.col("x")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
 def test_keys(spark):
     assert one(spark, "Müller–O’Neil", text.fold_name) == "muller-o'neil"
     kept = "ﬁne Ångström ½ 가\u0301"
