@@ -2,7 +2,8 @@
 
 import datetime
 
-from tidemill.operators import observations, windows
+from tidemill.operators import cards, observations, windows
+from tidemill.plans import catalog
 
 START = datetime.datetime(2026, 1, 1)
 
@@ -28,3 +29,19 @@ def test_last_fact_at_one_time_is_the_least(spark):
         lines = spark.createDataFrame([(1, at(5), t) for t in order] + [(1, at(1), "z"), (1, None, "y")], "run int, at timestamp, text string").coalesce(1)
         assert [(r.first, r.last) for r in observations.facts(lines.where("at IS NOT NULL"), "run", "at", "text", wanted).collect()] == [("z", "a")]
         assert [r.last for r in observations.facts(lines, "run", "at", "text", wanted).collect()] == ["a"]
+
+
+def test_keys_at_one_place_go_by_the_least(spark):
+    own = spark.createDataFrame([(1, 10, False), (2, 20, False), (3, 30, False)], "ord long, id long, existing boolean")
+    for order in (1, -1):
+        rows = [(1, 1, 8), (2, 1, 7), (3, 1, 8), (3, 1, 7)][::order]
+        keys = spark.createDataFrame(rows, "ord long, pos int, key long").coalesce(1)
+        assert sorted((r.ord, r.owner) for r in cards.merge_in_order(own, keys).collect()) == [(1, 1), (2, 2), (3, 2)]
+
+
+def test_every_line_of_an_order_is_a_key(spark, tmp_path):
+    spark.createDataFrame([(1001, 1), (1002, 2), (1003, 3)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(1001, 1, 5, 50.0), (1002, 1, 5, 3.0), (1003, 1, 6, 1.0), (1002, 2, 6, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = catalog.QUERIES["ordered_card_merge"](spark, str(tmp_path)).collect()
+    assert sorted((r.ord, r.owner, r.action) for r in rows) == [(1001, 1001, "added"), (1002, 1001, "attached"), (1003, 1001, "attached")]

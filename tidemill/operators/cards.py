@@ -41,7 +41,7 @@ def merge_in_order(cards: DataFrame, keys: DataFrame) -> DataFrame:
 
     Each step depends on earlier cards alone, so the same end is reached without taking turns: the owner of a key is that of the first card with the key that was not refused,
     which makes every attached card point at an earlier one; the refused are found again from the last round's refused until they no longer change, among cards with a key of others alone, and then the
-    pointers are followed to their ends.  ``ord`` is unique, existing cards come first; null keys join nothing, null ids collide with nothing; a key that a card repeats counts where it stands first.
+    pointers are followed to their ends.  ``ord`` is unique, existing cards come first; null keys join nothing, null ids collide with nothing; a key that a card repeats counts where it stands first, and of keys at one place the least.
     """
     cards = materialise(cards.select(F.col("ord").cast("long").alias("ord"), "id", F.coalesce("existing", F.lit(False)).alias("existing")), "cards")
     keys = keys.where("key IS NOT NULL").groupBy(F.col("ord").cast("long").alias("ord"), "key").agg(F.min("pos").alias("pos"))
@@ -61,7 +61,7 @@ def merge_in_order(cards: DataFrame, keys: DataFrame) -> DataFrame:
     before = 0
     while True:
         first = shared.join(refused, "ord", "left_anti").groupBy("key").agg(F.min("ord").alias("first"))
-        to = shared.join(new, "ord", "left_semi").join(first, "key").where("first < ord").groupBy("ord").agg(F.min_by("first", "pos").alias("to"))
+        to = shared.join(new, "ord", "left_semi").join(first, "key").where("first < ord").groupBy("ord").agg(F.min_by("first", F.struct("pos", "key")).alias("to"))
         last, pointers = pointers, materialise(to, "pointers")
         roots = mine.join(pointers, "ord", "left_anti").where("id IS NOT NULL")
         kept = roots.groupBy("id").agg(F.least(F.min("ord"), F.min("free")).alias("least"))

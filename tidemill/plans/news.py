@@ -187,7 +187,7 @@ def ordered_card_merge(spark, sf_dir):
     """Orders as cards in turn, their parts as keys, their customers as ids; the first thousand stand already."""
     ord_ = F.col("o_orderkey")
     own = table(spark, sf_dir, "orders").select(ord_.alias("ord"), F.when(ord_ < 1000, -ord_ - 1).otherwise(F.col("o_custkey")).alias("id"), (ord_ < 1000).alias("existing"))
-    keys = table(spark, sf_dir, "lineitem").where("l_quantity < 3").select(F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("key"))
+    keys = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("key"))
     return cards.merge_in_order(own, keys.join(own.select("ord"), "ord", "left_semi"))
 
 
